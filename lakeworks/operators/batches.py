@@ -68,11 +68,11 @@ def batch_state(log: DataFrame) -> DataFrame:
     )
 
 
-def batches_to_retry(plan: DataFrame, log: DataFrame, max_attempts: int = 3) -> DataFrame:
+def batches_to_retry(plan: DataFrame, log: DataFrame, max_attempts: int = 4) -> DataFrame:
     """Planned batches that have not succeeded, and what to do with each.
 
     ``run`` was never tried, ``retry`` failed but may be tried again, ``dead`` has used up
-    its attempts.
+    its attempts (by default the first and three more).
     """
     planned = plan.select("batch_id").distinct()
     attempts = F.coalesce(F.col("attempts"), F.lit(0))

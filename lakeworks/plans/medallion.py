@@ -15,6 +15,7 @@ from lakeworks.plans.migrate import migrate_dataframe
 from lakeworks.plans.runlog import log_run
 from lakeworks.sources.audit import Gate, WriteResult
 from lakeworks.sources.files import CORRUPT, bad_records, good_records, read_json_lines
+from lakeworks.sources.snapshots import SnapshotTable
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,15 @@ class IngestResult:
     quarantined: bool
 
 
+def layer_tables(root: str) -> tuple[SnapshotTable, SnapshotTable, SnapshotTable]:
+    """Bronze, silver and gold below a root, partitioned by day as their readers filter them."""
+    return (
+        SnapshotTable(f"{root}/bronze/transactions", ("transaction_date",)),
+        SnapshotTable(f"{root}/silver/transactions", ("transaction_date",)),
+        SnapshotTable(f"{root}/gold/daily_report", ("report_date",)),
+    )
+
+
 def ingest_json(
     spark: SparkSession,
     source_path: str,

@@ -114,7 +114,7 @@ def migrate_in_batches(
     schema: T.StructType | str | None = None,
     batch_bytes: int = 2 * GB,
     parallelism: int = 4,
-    max_attempts: int = 3,
+    max_retries: int = 3,
     backoff_seconds: float = 5.0,
     transform: Transform | None = None,
     sla_max_seconds: float | None = None,
@@ -154,10 +154,10 @@ def migrate_in_batches(
         return row | {"duration_seconds": time.time() - begun}
 
     # The loop goes over batch ids, not data: one round of first tries, then the retries.
-    for attempt in range(max_attempts):
+    for attempt in range(1 + max_retries):
         todo = [
             (r["batch_id"], r["attempts"])
-            for r in batches_to_retry(plan, _log(spark, log_path), max_attempts).collect()
+            for r in batches_to_retry(plan, _log(spark, log_path), 1 + max_retries).collect()
             if r["action"] != "dead"
         ]
         if not todo:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeworks.schemas import RAW
-from lakeworks.sources import fs
 
 FORMATS = ("parquet", "orc", "json", "csv", "avro")
 CORRUPT = "_corrupt_record"
@@ -76,28 +76,25 @@ def file_inventory(spark: SparkSession, tables: Mapping[str, str | Sequence[str]
     Only the file status is read, never the content. Spark sizes its tasks by file length,
     which means nothing here, so they are merged to a few per core.
     """
-    roots = {
-        name: [fs.qualified(spark, r) for r in ([given] if isinstance(given, str) else given)]
-        for name, given in tables.items()
-    }
-    listing = (
+    return reduce(DataFrame.unionAll, [_listing(spark, name, r) for name, r in tables.items()])
+
+
+def _listing(spark: SparkSession, name: str, roots: str | Sequence[str]) -> DataFrame:
+    parts = F.split("path", "/")
+    partition = F.filter(parts, lambda part: part.contains("=") & ~part.startswith("load="))
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .load([r for of_table in roots.values() for r in of_table])
-        .select("path", "length", "modificationTime")
+        .load([roots] if isinstance(roots, str) else list(roots))
+        .select(
+            F.lit(name).alias("table"),
+            F.array_join(partition, "/").alias("partition"),
+            "path",
+            "length",
+            "modificationTime",
+        )
         .coalesce(spark.sparkContext.defaultParallelism * 4)
     )
-    label = F.lit(None).cast("string")
-    for name, of_table in roots.items():
-        for root in of_table:
-            inside = (F.col("path") == root) | F.col("path").startswith(root.rstrip("/") + "/")
-            label = F.when(inside, F.lit(name)).otherwise(label)
-    partition = F.array_join(
-        F.filter(F.split("path", "/"), lambda part: part.contains("=") & ~part.startswith("load=")), "/"
-    )
-    return listing.select(
-        label.alias("table"), partition.alias("partition"), "path", "length", "modificationTime"
-    )
 
 
 def append_log(

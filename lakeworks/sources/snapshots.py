@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,9 +35,12 @@ MANIFEST = T.StructType(
         T.StructField("snapshot_id", T.LongType()),
         T.StructField("committed_at", T.TimestampType()),
         T.StructField("path", T.StringType()),
+        T.StructField("of_load", T.LongType()),
         T.StructField("schema", T.StringType()),
     ]
 )
+# Path of a directory below ``data`` -> number of directories its load has in all.
+Directories = dict[str, int]
 # Groups of small files rewritten by one job: bounds the size of its plan.
 GROUPS_PER_JOB = 200
 
@@ -60,9 +63,9 @@ class SnapshotTable:
         """snapshot_id, committed_at and path (a directory below ``data``) of every snapshot."""
         ids = self.snapshot_ids(spark)
         if not ids:
-            return spark.createDataFrame([], MANIFEST).drop("schema")
+            return spark.createDataFrame([], MANIFEST).drop("of_load", "schema")
         rows = spark.read.schema(MANIFEST).json([self._manifest_dir(i) for i in ids])
-        return rows.where("path IS NOT NULL").drop("schema")
+        return rows.where("path IS NOT NULL").drop("of_load", "schema")
 
     def read(self, spark: SparkSession, snapshot_id: int | None = None) -> DataFrame:
         """The newest version, or an older one that is still kept."""
@@ -72,7 +75,7 @@ class SnapshotTable:
     def files(self, spark: SparkSession, name: str = "table") -> DataFrame:
         """Listing of the data files of the newest version."""
         _, directories = self._contents(spark)
-        return file_inventory(spark, {name: [self._data(d) for d in directories]})
+        return self._listing(spark, directories, name)
 
     # ---- writing
 
@@ -90,20 +93,19 @@ class SnapshotTable:
         self._write_load(staged, load)
         observed = observation.get
         try:
-            directories = self._leaf_directories(spark, load)
+            directories, target_count, size = self._inspect(spark, df.schema, load)
             written = self._read_directories(spark, df.schema, directories)
             score = check(spark, self.root, gate, observed, written)
-            target_count = written.count()
         except Exception:
             fs.delete(spark, self._data(load))
             raise
-        keep = previous if mode == "append" else []
-        snapshot_id = self._commit(spark, df.schema, [*keep, *directories])
+        keep = previous if mode == "append" else {}
+        snapshot_id = self._commit(spark, df.schema, keep | directories)
         return WriteResult(
             target=self.root,
             rows=observed["row_count"],
             target_count=target_count,
-            bytes_written=self._bytes(spark, directories),
+            bytes_written=size,
             duration_seconds=time.time() - started,
             quality_score=score,
             snapshot_id=snapshot_id,
@@ -121,23 +123,33 @@ class SnapshotTable:
         and the partitions of one job run side by side. Returns the files saved.
         """
         schema, directories = self._contents(spark)
-        groups = self._groups(spark, directories, target_bytes)
-        todo = [g for g in groups if g["file_count"] > g["wanted"]]
-        if not todo:
+        groups = (
+            self._listing(spark, directories)
+            .withColumn("directory", self._relative_directory(spark))
+            .groupBy("partition")
+            .agg(
+                F.count(F.lit(1)).alias("file_count"),
+                F.ceil(F.sum("length") / F.lit(target_bytes)).cast("int").alias("wanted"),
+                F.collect_set("directory").alias("directories"),
+            )
+            .where("file_count > wanted")
+            .orderBy("partition")
+            .collect()
+        )
+        if not groups:
             return 0
         load = f"load={uuid.uuid4().hex}"
-        for at in range(0, len(todo), GROUPS_PER_JOB):
+        for at in range(0, len(groups), GROUPS_PER_JOB):
             merged = [
-                self._read_directories(spark, schema, g["directories"]).coalesce(g["wanted"])
-                for g in todo[at : at + GROUPS_PER_JOB]
+                self._read_paths(spark, schema, sorted(g["directories"])).coalesce(g["wanted"])
+                for g in groups[at : at + GROUPS_PER_JOB]
             ]
             self._write_load(reduce(DataFrame.unionAll, merged), load, "append")
-        replaced = [d for g in todo for d in g["directories"]]
-        new = self._leaf_directories(spark, load)
+        replaced = {d: directories[d] for g in groups for d in g["directories"]}
+        new = self._inspect(spark, schema, load)[0]
         self._verify(spark, schema, replaced, new, verify, load)
-        carried = sorted(set(directories) - set(replaced))
-        self._commit(spark, schema, [*carried, *new])
-        return sum(g["file_count"] for g in todo) - len(self._file_paths(spark, new))
+        self._commit(spark, schema, {d: n for d, n in directories.items() if d not in replaced} | new)
+        return sum(g["file_count"] for g in groups) - self._listing(spark, new).count()
 
     def rewrite_sorted(
         self,
@@ -166,10 +178,10 @@ class SnapshotTable:
         )
         load = f"load={uuid.uuid4().hex}"
         self._write_load(ordered, load)
-        new = self._leaf_directories(spark, load)
+        new = self._inspect(spark, schema, load)[0]
         self._verify(spark, schema, directories, new, verify, load)
         self._commit(spark, schema, new)
-        return len(self._file_paths(spark, new))
+        return self._listing(spark, new).count()
 
     def expire_snapshots(self, spark: SparkSession, retain_last: int = 30) -> list[str]:
         """Forget all but the newest snapshots; delete what only the forgotten ones used."""
@@ -185,10 +197,9 @@ class SnapshotTable:
 
     def orphan_files(self, spark: SparkSession, older_than: Column) -> DataFrame:
         """Data files no snapshot lists, such as those of a failed write."""
-        root = fs.qualified(spark, f"{self.root}/data")
-        listing = file_inventory(spark, {"data": root}).select(
+        listing = file_inventory(spark, {"data": self._data()}).select(
             F.col("path").alias("file"),
-            F.regexp_replace(F.substring("path", len(root) + 2, 1 << 20), "/[^/]*$", "").alias("path"),
+            self._relative_directory(spark).alias("path"),
             "length",
             "modificationTime",
         )
@@ -216,7 +227,7 @@ class SnapshotTable:
 
     def _contents(
         self, spark: SparkSession, snapshot_id: int | None = None
-    ) -> tuple[T.StructType, list[str]]:
+    ) -> tuple[T.StructType, Directories]:
         """Schema and directories of a version. As many directories as partition writes."""
         ids = self.snapshot_ids(spark)
         if snapshot_id is None:
@@ -225,21 +236,42 @@ class SnapshotTable:
             raise FileNotFoundError(f"{self.root}: no snapshot {snapshot_id}")
         rows = spark.read.schema(MANIFEST).json(self._manifest_dir(snapshot_id)).collect()
         schema = next(T._parse_datatype_json_string(r["schema"]) for r in rows if r["schema"])
-        return schema, sorted(r["path"] for r in rows if r["path"])
+        return schema, {r["path"]: r["of_load"] for r in rows if r["path"]}
+
+    def _paths(self, directories: Directories) -> list[str]:
+        """What to hand to a reader: a load that is there in full by its root alone."""
+        loads: dict[str, list[str]] = {}
+        for d in directories:
+            loads.setdefault(d.partition("/")[0], []).append(d)
+        whole = {load for load, inside in loads.items() if directories[inside[0]] == len(inside)}
+        return sorted(d for load, inside in loads.items() for d in ([load] if load in whole else inside))
 
     def _read_directories(
-        self, spark: SparkSession, schema: T.StructType, directories: Sequence[str]
+        self, spark: SparkSession, schema: T.StructType, directories: Directories
     ) -> DataFrame:
-        if not directories:
+        return self._read_paths(spark, schema, self._paths(directories))
+
+    def _read_paths(self, spark: SparkSession, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
+        if not paths:
             return spark.createDataFrame([], schema)
         reader = spark.read.schema(schema).option("basePath", self._data())
-        return reader.parquet(*[self._data(d) for d in directories]).select(*schema.fieldNames())
+        return reader.parquet(*[self._data(p) for p in paths]).select(*schema.fieldNames())
+
+    def _listing(self, spark: SparkSession, directories: Directories, name: str = "table") -> DataFrame:
+        if not directories:
+            return file_inventory(spark, {name: f"{self.root}/manifest"}).where(F.lit(False))
+        return file_inventory(spark, {name: [self._data(p) for p in self._paths(directories)]})
+
+    def _relative_directory(self, spark: SparkSession) -> Column:
+        """Directory of a listed file, below ``data``."""
+        root = fs.qualified(spark, self._data())
+        return F.regexp_replace(F.substring("path", len(root) + 2, 1 << 20), "/[^/]*$", "")
 
-    def _check_mode(self, spark: SparkSession, df: DataFrame, mode: str) -> list[str]:
+    def _check_mode(self, spark: SparkSession, df: DataFrame, mode: str) -> Directories:
         if mode not in ("create", "overwrite", "append"):
             raise ValueError(f"unknown mode {mode!r}; known: create, overwrite, append")
         if not self.snapshot_ids(spark):
-            return []
+            return {}
         if mode == "create":
             raise FileExistsError(f"{self.root} exists")
         schema, directories = self._contents(spark)
@@ -253,45 +285,31 @@ class SnapshotTable:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(self._data(load))
 
-    def _file_paths(self, spark: SparkSession, directories: Iterable[str]) -> list[str]:
-        directories = [self._data(d) for d in directories]
-        if not directories:
-            return []
-        return [r["path"] for r in file_inventory(spark, {"t": directories}).select("path").collect()]
+    def _bytes(self, spark: SparkSession, directories: Directories) -> int:
+        return self._listing(spark, directories).agg(F.sum("length")).first()[0] or 0
 
-    def _bytes(self, spark: SparkSession, directories: Sequence[str]) -> int:
-        if not directories:
-            return 0
-        listing = file_inventory(spark, {"t": [self._data(d) for d in directories]})
-        return listing.agg(F.sum("length")).first()[0] or 0
-
-    def _leaf_directories(self, spark: SparkSession, load: str) -> list[str]:
-        root = fs.qualified(spark, self._data())
+    def _inspect(
+        self, spark: SparkSession, schema: T.StructType, load: str
+    ) -> tuple[Directories, int, int]:
+        """Directories, rows and bytes of a load, read back from its files (no data column is)."""
         if not [n for n in fs.child_names(spark, self._data(load)) if not n.startswith(("_", "."))]:
-            return []
-        directory = F.regexp_replace(F.substring("path", len(root) + 2, 1 << 20), "/[^/]*$", "")
-        listing = file_inventory(spark, {"t": self._data(load)})
-        return sorted(r[0] for r in listing.select(directory).distinct().collect())
-
-    def _groups(self, spark: SparkSession, directories: Sequence[str], target_bytes: int) -> list:
-        if not directories:
-            return []
-        root = fs.qualified(spark, self._data())
-        relative = F.regexp_replace(F.substring("path", len(root) + 2, 1 << 20), "/[^/]*$", "")
-        return (
-            file_inventory(spark, {"t": [self._data(d) for d in directories]})
-            .withColumn("directory", relative)
-            .groupBy("partition")
-            .agg(
-                F.count(F.lit(1)).alias("file_count"),
-                F.ceil(F.sum("length") / F.lit(target_bytes)).cast("int").alias("wanted"),
-                F.sort_array(F.collect_set("directory")).alias("directories"),
-            )
-            .orderBy("partition")
+            return {}, 0, 0
+        reader = spark.read.schema(schema).option("basePath", self._data())
+        found = (
+            reader.parquet(self._data(load))
+            .select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("size"))
+            .groupBy("uri", "size")
+            .agg(F.count(F.lit(1)).alias("n"))
+            # Here paths come URI-encoded, where listings and readers take them as they are.
+            .withColumn("path", F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))))
+            .groupBy(self._relative_directory(spark).alias("directory"))
+            .agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
             .collect()
         )
+        directories = {d: len(found) for d in sorted(r["directory"] for r in found)}
+        return directories, sum(r["n"] for r in found), sum(r["size"] for r in found)
 
-    def _verify(self, spark, schema, old: Sequence[str], new: Sequence[str], how: str, load: str) -> None:
+    def _verify(self, spark, schema, old: Directories, new: Directories, how: str, load: str) -> None:
         before = self._read_directories(spark, schema, old)
         after = self._read_directories(spark, schema, new)
         result = (reconcile if how == "content" else reconcile_counts)(before, after).first()
@@ -299,13 +317,19 @@ class SnapshotTable:
             fs.delete(spark, self._data(load))
             raise RuntimeError(f"{self.root}: rewrite changed the rows: {result.asDict()}")
 
-    def _commit(self, spark: SparkSession, schema: T.StructType, directories: Sequence[str]) -> int:
+    def _commit(self, spark: SparkSession, schema: T.StructType, directories: Directories) -> int:
         ids = self.snapshot_ids(spark)
         snapshot_id = (ids[-1] if ids else 0) + 1
-        rows = [(snapshot_id, None, schema.json()), *[(snapshot_id, d, None) for d in directories]]
+        rows = [(None, None, schema.json()), *[(d, n, None) for d, n in sorted(directories.items())]]
         (
-            spark.createDataFrame(rows, "snapshot_id bigint, path string, schema string")
-            .select("snapshot_id", F.current_timestamp().alias("committed_at"), "path", "schema")
+            spark.createDataFrame(rows, "path string, of_load bigint, schema string")
+            .select(
+                F.lit(snapshot_id).alias("snapshot_id"),
+                F.current_timestamp().alias("committed_at"),
+                "path",
+                "of_load",
+                "schema",
+            )
             .coalesce(1)
             .write.mode("errorifexists")
             .json(self._manifest_dir(snapshot_id))
