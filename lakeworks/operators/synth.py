@@ -161,7 +161,7 @@ def _correlation(df: DataFrame, grids: Mapping, shares: Mapping) -> np.ndarray:
     if pairs:
         row = (
             df.select(*scores)
-            .agg(*[F.corr(f"z{i}", f"z{j}").alias(f"c{i}_{j}") for i, j in pairs])
+            .agg(*[_corr(F.col(f"z{i}"), F.col(f"z{j}")).alias(f"c{i}_{j}") for i, j in pairs])
             .first()
         )
         for i, j in pairs:
@@ -170,6 +170,12 @@ def _correlation(df: DataFrame, grids: Mapping, shares: Mapping) -> np.ndarray:
     return out
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Correlation over the rows that have both; null, not an error, for a constant column."""
+    both_a, both_b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(both_a) * F.stddev_pop(both_b))
+
+
 def _root(correlation: np.ndarray) -> np.ndarray:
     """Lower-triangular root; a matrix that is barely not positive is moved towards identity."""
     identity = np.eye(len(correlation))
@@ -187,6 +193,8 @@ def _constants(values: Sequence[float]) -> Column:
 
 def _grid_rank(col: Column, grid: Sequence[float]) -> Column:
     """Share of the distribution below a value, kept off 0 and 1."""
+    if not grid:
+        return F.lit(None).cast("double")
     below = F.size(F.filter(_constants(grid), lambda g: g < col.cast("double")))
     upto = F.size(F.filter(_constants(grid), lambda g: g <= col.cast("double")))
     share = (below + upto) / F.lit(2.0 * len(grid))

@@ -64,10 +64,11 @@ def bad_records(df: DataFrame) -> DataFrame:
 
 
 def _is_own_text(df: DataFrame):
-    # Never true: no value is its own whole line. Spark refuses to read nothing but the
-    # corrupt-record column, and a count would prune every other column away.
-    first = F.col(df.columns[0]).cast("string")
-    return F.coalesce(first == F.col(CORRUPT), F.lit(False))
+    # Never true, and only looked at for bad lines. It names every column because Spark parses
+    # just the columns a query asks for: a value of the wrong type in a column that was pruned
+    # away would not be noticed, and a count would depend on what else is selected.
+    values = F.struct(*[F.col(c) for c in df.columns if c != CORRUPT])
+    return F.coalesce(F.to_json(values) == F.col(CORRUPT), F.lit(False))
 
 
 def file_inventory(spark: SparkSession, tables: Mapping[str, str | Sequence[str]]) -> DataFrame:
