@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations_with_replacement
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,12 @@ STATUS_WEIGHTS = {"SUCCESS": 0.92, "FAILED": 0.05, "PENDING": 0.03}
 
 # More distinct values than this are not a category: their list would not fit an expression.
 MAX_CATEGORIES = 1000
+# Normal scores: how finely numbers are told apart when correlations are learned, and the
+# table that turns scores back into numbers.
+NORMAL = NormalDist()
+SCORE_BINS = 32
+SCORE_STEPS = 1000
+MAX_SCORE = 5.0
 
 
 def synthetic_transactions(ids: DataFrame, key: str = "id", seed: int = 0) -> DataFrame:
@@ -136,14 +143,12 @@ def sample(ids: DataFrame, profile: Profile, key: str = "id", seed: int = 0) ->
     scores = drawn.select(
         key,
         *[
-            _normal_cdf(
-                sum((F.col(f"e{j}") * F.lit(float(root[i, j])) for j in range(i + 1)), F.lit(0.0))
-            ).alias(c)
+            sum((F.col(f"e{j}") * F.lit(float(root[i, j])) for j in range(i + 1)), F.lit(0.0)).alias(c)
             for i, c in enumerate(columns)
         ],
     )
-    values = {c: _from_grid(F.col(c), grid) for c, grid in profile.grids.items()}
-    values |= {c: _from_shares(F.col(c), share) for c, share in profile.shares.items()}
+    values = {c: _number_at(F.col(c), grid) for c, grid in profile.grids.items()}
+    values |= {c: _category_at(F.col(c), share) for c, share in profile.shares.items()}
     return scores.select(key, *[values[c].alias(c) for c in columns])
 
 
@@ -152,30 +157,39 @@ def _pairs(columns: Sequence[str]) -> list[Column]:
 
 
 def _correlation(df: DataFrame, grids: Mapping, shares: Mapping) -> np.ndarray:
-    columns = [*grids, *shares]
-    scores = [_normal_score(_grid_rank(F.col(c), g)).alias(f"z{i}") for i, (c, g) in enumerate(grids.items())]
-    for c, share in shares.items():
-        scores.append(_normal_score(_share_rank(F.col(c), share)).alias(f"z{len(scores)}"))
-    out = np.eye(len(columns))
-    pairs = list(combinations(range(len(columns)), 2))
-    if pairs:
-        row = (
-            df.select(*scores)
-            .agg(*[_corr(F.col(f"z{i}"), F.col(f"z{j}")).alias(f"c{i}_{j}") for i, j in pairs])
-            .first()
+    """Correlations of the normal scores, from their sums and products in one aggregate.
+
+    A missing value counts as a middling one (score 0). Scores are small numbers around 0, so
+    plain sums lose nothing; a constant column has no correlation.
+    """
+    scores = [_number_score(F.col(c), grid) for c, grid in grids.items()]
+    scores += [_category_score(F.col(c), share) for c, share in shares.items()]
+    if len(scores) < 2:
+        return np.eye(len(scores))
+    z = [F.col(f"z{i}") for i in range(len(scores))]
+    pairs = list(combinations_with_replacement(range(len(scores)), 2))
+    row = (
+        df.select(*[F.coalesce(s, F.lit(0.0)).alias(f"z{i}") for i, s in enumerate(scores)])
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.sum(z[i]).alias(f"s{i}") for i in range(len(z))],
+            *[F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i, j in pairs],
         )
-        for i, j in pairs:
-            value = row[f"c{i}_{j}"]
-            out[i, j] = out[j, i] = 0.0 if value is None or math.isnan(value) else value
+        .first()
+    )
+    if not row["n"]:
+        return np.eye(len(scores))
+    mean = np.array([row[f"s{i}"] for i in range(len(z))]) / row["n"]
+    covariance = np.zeros((len(z), len(z)))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = row[f"p{i}_{j}"] / row["n"] - mean[i] * mean[j]
+    spread = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+    scale = np.outer(spread, spread)
+    out = np.divide(covariance, scale, out=np.zeros_like(covariance), where=scale > 1e-9)
+    np.fill_diagonal(out, 1.0)
     return out
 
 
-def _corr(a: Column, b: Column) -> Column:
-    """Correlation over the rows that have both; null, not an error, for a constant column."""
-    both_a, both_b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(both_a) * F.stddev_pop(both_b))
-
-
 def _root(correlation: np.ndarray) -> np.ndarray:
     """Lower-triangular root; a matrix that is barely not positive is moved towards identity."""
     identity = np.eye(len(correlation))
@@ -191,85 +205,67 @@ def _constants(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _grid_rank(col: Column, grid: Sequence[float]) -> Column:
-    """Share of the distribution below a value, kept off 0 and 1."""
-    if not grid:
-        return F.lit(None).cast("double")
-    below = F.size(F.filter(_constants(grid), lambda g: g < col.cast("double")))
-    upto = F.size(F.filter(_constants(grid), lambda g: g <= col.cast("double")))
-    share = (below + upto) / F.lit(2.0 * len(grid))
-    return F.when(col.isNotNull(), _inside(share, len(grid)))
+def _by_bounds(col: Column, bounds: Sequence[float], leaves: Sequence) -> Column:
+    """The leaf between whose bounds (sorted, one fewer than leaves) a value lies.
+
+    A tree of comparisons: it compiles to a handful of branches per row, where a search in an
+    array would call a lambda for every bound.
+    """
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(leaves[low])
+        middle = (low + high) // 2
+        return F.when(col >= F.lit(float(bounds[middle])), search(middle + 1, high)).otherwise(
+            search(low, middle)
+        )
+
+    return search(0, len(leaves) - 1)
 
 
-def _share_rank(col: Column, share: Mapping[str, float]) -> Column:
-    """Middle of the value's stretch of [0, 1]."""
-    out, at = F.lit(None).cast("double"), 0.0
-    for value, part in share.items():
-        out = F.when(col == value, F.lit(at + part / 2)).otherwise(out) if len(share) <= 50 else out
-        at += part
-    if len(share) > 50:
-        at, pairs = 0.0, []
-        for value, part in share.items():
-            pairs += [F.lit(value), F.lit(at + part / 2)]
-            at += part
-        out = F.try_element_at(F.create_map(*pairs), col)
-    return _inside(out, 1000)
+def _number_score(col: Column, grid: Sequence[float]) -> Column:
+    """Normal score of a number: of the middle of its stretch of the distribution."""
+    if not grid:
+        return F.lit(None).cast("double")
+    bounds = np.interp(np.arange(1, SCORE_BINS) / SCORE_BINS, np.linspace(0, 1, len(grid)), grid)
+    leaves = [NORMAL.inv_cdf((i + 0.5) / SCORE_BINS) for i in range(SCORE_BINS)]
+    return F.when(col.isNotNull(), _by_bounds(col.cast("double"), bounds, leaves))
 
 
-def _inside(share: Column, n: int) -> Column:
-    edge = 0.5 / n
-    return F.greatest(F.lit(edge), F.least(F.lit(1 - edge), share))
+def _category_score(col: Column, share: Mapping[str, float]) -> Column:
+    """Normal score of a category: of the middle of its stretch of [0, 1]."""
+    if not share:
+        return F.lit(None).cast("double")
+    parts = np.array(list(share.values()))
+    middles = [NORMAL.inv_cdf(float(m)) for m in np.cumsum(parts) - parts / 2]
+    position = F.array_position(F.array(*[F.lit(v) for v in share]), col.cast("string"))
+    return F.try_element_at(_constants(middles), F.nullif(position.cast("int"), F.lit(0)))
 
 
-def _from_grid(u: Column, grid: Sequence[float]) -> Column:
+def _number_at(z: Column, grid: Sequence[float]) -> Column:
+    """The number with a given normal score, from a table over evenly spaced scores."""
     if not grid:
         return F.lit(None).cast("double")
-    last = len(grid) - 1
-    at = u * F.lit(float(last))
-    low = F.least(F.floor(at), F.lit(last - 1)).cast("int")
-    left = F.element_at(_constants(grid), low + 1)
-    right = F.element_at(_constants(grid), low + 2)
+    scores = np.linspace(-MAX_SCORE, MAX_SCORE, SCORE_STEPS + 1)
+    shares = [NORMAL.cdf(float(x)) for x in scores]
+    table = _constants(np.interp(shares, np.linspace(0, 1, len(grid)), grid))
+    at = (z + F.lit(MAX_SCORE)) * F.lit(SCORE_STEPS / (2 * MAX_SCORE))
+    at = F.least(F.greatest(at, F.lit(0.0)), F.lit(float(SCORE_STEPS)))
+    low = F.least(at.cast("int"), F.lit(SCORE_STEPS - 1))
+    left, right = F.element_at(table, low + 1), F.element_at(table, low + 2)
     return left + (right - left) * (at - low)
 
 
-def _from_shares(u: Column, share: Mapping[str, float]) -> Column:
+def _category_at(z: Column, share: Mapping[str, float]) -> Column:
+    """The category in whose stretch a normal score falls."""
     if not share:
         return F.lit(None).cast("string")
-    bounds = np.cumsum(list(share.values()))[:-1]
-    index = F.size(F.filter(_constants(bounds), lambda b: b <= u)) + 1 if len(bounds) else F.lit(1)
-    return F.element_at(F.array(*[F.lit(v) for v in share]), index)
+    upto = np.cumsum(list(share.values()))[:-1]
+    bounds = [NORMAL.inv_cdf(min(float(u), 1 - 1e-12)) for u in upto]
+    return _by_bounds(z, bounds, list(share))
 
 
 def _normal_draw(seed: Column, salt: str) -> Column:
     """Standard normal draw, from two even ones (Box-Muller)."""
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(seed, salt + ":r")))
     return radius * F.cos(F.lit(2 * math.pi) * uniform(seed, salt + ":a"))
-
-
-def _normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, error below 8e-8.
-
-    Fixed values: formula 26.2.17 of Abramowitz and Stegun.
-    """
-    p = 0.2316419
-    b = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(p) * F.abs(z))
-    series = F.lit(0.0)
-    for coefficient in reversed(b):
-        series = (series + F.lit(coefficient)) * t
-    tail = F.exp(-z * z / F.lit(2.0)) / F.lit(math.sqrt(2 * math.pi)) * series
-    return F.when(z >= 0, F.lit(1.0) - tail).otherwise(tail)
-
-
-def _normal_score(u: Column) -> Column:
-    """Inverse of the standard normal distribution function, error below 5e-4.
-
-    Fixed values: formula 26.2.23 of Abramowitz and Stegun.
-    """
-    c = [2.515517, 0.802853, 0.010328]
-    d = [1.432788, 0.189269, 0.001308]
-    t = F.sqrt(F.lit(-2.0) * F.log(F.least(u, F.lit(1.0) - u)))
-    top = F.lit(c[0]) + F.lit(c[1]) * t + F.lit(c[2]) * t * t
-    bottom = F.lit(1.0) + F.lit(d[0]) * t + F.lit(d[1]) * t * t + F.lit(d[2]) * t * t * t
-    size = t - top / bottom
-    return F.when(u >= 0.5, size).otherwise(-size)
