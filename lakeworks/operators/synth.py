@@ -124,10 +124,10 @@ def learn(
             .limit(limit + 1)
             .collect()
         )
-        if len(counts) > limit:
-            raise ValueError(f"more than {MAX_CATEGORIES} values per categorical column")
         for c in categorical:
             found = sorted((-r["count"], r["value"]) for r in counts if r["column"] == c)
+            if len(found) > MAX_CATEGORIES or len(counts) > limit:
+                raise ValueError(f"more than {MAX_CATEGORIES} values per categorical column")
             total = -sum(n for n, _ in found)
             shares[c] = {value: -n / total for n, value in found}
     return Profile(grids, shares, _correlation(df, grids, shares))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeworks.operators.cleanse import bronze_enrich, bronze_to_silver
 from lakeworks.operators.quality import require_columns
 from lakeworks.operators.report import gold_daily_report
+from lakeworks.plans.generate import generate_json_lines
 from lakeworks.plans.migrate import migrate_dataframe
 from lakeworks.plans.runlog import log_run
 from lakeworks.sources.audit import Gate, WriteResult
@@ -76,3 +77,13 @@ def bronze_to_gold(
             raise
         log_run(spark, log, "bronze_to_report", "critical_etl", layer, results[layer])
     return results
+
+
+def generate_to_gold(
+    spark: SparkSession, root: str, target_bytes: int, log: str | None = None
+) -> dict[str, WriteResult]:
+    """Synthetic JSON lines, ingested, cleansed and reported, all below one root."""
+    bronze, silver, gold = layer_tables(root)
+    generate_json_lines(spark, f"{root}/raw", target_bytes)
+    ingested = ingest_json(spark, f"{root}/raw", bronze, quarantine_path=f"{root}/bad", log=log)
+    return {"bronze": ingested.bronze} | bronze_to_gold(spark, bronze, silver, gold, log=log)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lakeworks.operators.topk import latest_per_group
 from lakeworks.schemas import QUALITY_LOG, RUNS
 from lakeworks.sources.audit import WriteResult
 from lakeworks.sources.files import append_log, read_log
@@ -44,3 +46,13 @@ def read_runs(spark: SparkSession, log: str) -> DataFrame:
 
 def read_quality(spark: SparkSession, log: str) -> DataFrame:
     return read_log(spark, f"{log}/quality", QUALITY_LOG)
+
+
+def latest_lines(spark: SparkSession, log: str, k: int = 5) -> DataFrame:
+    """The last ``k`` lines of each log, newest first: log, ts, line (as JSON)."""
+    line = F.to_json(F.struct("*")).alias("line")
+    lines = [
+        frame.select(F.lit(name).alias("log"), "ts", line)
+        for name, frame in (("runs", read_runs(spark, log)), ("quality", read_quality(spark, log)))
+    ]
+    return latest_per_group(lines[0].unionAll(lines[1]), ["log"], k, ["ts", "line"]).orderBy("log", "rn")

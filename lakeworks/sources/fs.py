@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -32,3 +34,24 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> bool:
     """Delete a file, or a directory with all it holds."""
     return _fs(spark, path).delete(_path(spark, path), True)
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears whole or not at all, and never replaces another.
+
+    The file is written under another name and renamed without overwriting, which on HDFS is
+    one atomic step: of two writers of the same path, one gets an error.
+    """
+    folder, _, _ = path.rpartition("/")
+    hidden = _path(spark, f"{folder}/.{uuid.uuid4().hex}")
+    stream = _fs(spark, path).create(hidden, False)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(hidden.toUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+    try:
+        context.rename(_fs(spark, path).makeQualified(hidden), _fs(spark, path).makeQualified(_path(spark, path)), no_options)
+    except Exception:
+        _fs(spark, path).delete(hidden, False)
+        raise

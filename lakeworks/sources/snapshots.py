@@ -3,21 +3,24 @@
 Layout under the table's root::
 
     data/load=<id>/<partition dirs>/*.parquet    one directory per write, never changed
-    manifest/snapshot=<n>/*.json                 the directories that make up version n
+    manifest/<n>.json                            the directories that make up version n
 
 A write lands in a load directory of its own, is audited there, and becomes visible when its
-manifest (one small file) appears. Readers see a whole version or the one before; nothing is
-renamed and nothing published is touched, so this also suits object stores. There is no lock:
-two writers that commit at the same moment must be kept apart by the caller; one that finds
-its version taken fails and leaves the table as it was.
+manifest (one small file) appears. Readers see a whole version or the one before, and no data
+file is ever moved or changed. Of two writers that want to commit the same version, one finds
+it taken, fails, and leaves the table as the other made it; it may simply run again. (Where
+the storage cannot rename in one step, as some object stores, the caller must keep writers of
+one table apart.)
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -56,15 +59,14 @@ class SnapshotTable:
 
     def snapshot_ids(self, spark: SparkSession) -> list[int]:
         names = fs.child_names(spark, f"{self.root}/manifest")
-        whole = [n for n in names if fs.exists(spark, f"{self.root}/manifest/{n}/_SUCCESS")]
-        return sorted(int(n.partition("=")[2]) for n in whole if n.startswith("snapshot="))
+        return sorted(int(n.removesuffix(".json")) for n in names if n[0].isdigit())
 
     def manifest(self, spark: SparkSession) -> DataFrame:
         """snapshot_id, committed_at and path (a directory below ``data``) of every snapshot."""
         ids = self.snapshot_ids(spark)
         if not ids:
             return spark.createDataFrame([], MANIFEST).drop("of_load", "schema")
-        rows = spark.read.schema(MANIFEST).json([self._manifest_dir(i) for i in ids])
+        rows = spark.read.schema(MANIFEST).json([self._manifest_file(i) for i in ids])
         return rows.where("path IS NOT NULL").drop("of_load", "schema")
 
     def read(self, spark: SparkSession, snapshot_id: int | None = None) -> DataFrame:
@@ -86,7 +88,7 @@ class SnapshotTable:
         last shuffle, where Spark counts each task once even if it runs again.
         """
         spark, started, gate = df.sparkSession, time.time(), gate or Gate()
-        previous = self._check_mode(spark, df, mode)
+        version, previous = self._check_mode(spark, df, mode)
         load = f"load={uuid.uuid4().hex}"
         observation = Observation()
         staged = clustered(df, self.partition_by).observe(observation, *observed_measures(gate))
@@ -100,7 +102,7 @@ class SnapshotTable:
             fs.delete(spark, self._data(load))
             raise
         keep = previous if mode == "append" else {}
-        snapshot_id = self._commit(spark, df.schema, keep | directories)
+        snapshot_id = self._commit(spark, df.schema, keep | directories, version)
         return WriteResult(
             target=self.root,
             rows=observed["row_count"],
@@ -122,7 +124,8 @@ class SnapshotTable:
         No shuffle: a partition's scan splits are merged to as many tasks as it needs files,
         and the partitions of one job run side by side. Returns the files saved.
         """
-        schema, directories = self._contents(spark)
+        version = self._version(spark)
+        schema, directories = self._contents(spark, version)
         groups = (
             self._listing(spark, directories)
             .withColumn("directory", self._relative_directory(spark))
@@ -148,7 +151,8 @@ class SnapshotTable:
         replaced = {d: directories[d] for g in groups for d in g["directories"]}
         new = self._inspect(spark, schema, load)[0]
         self._verify(spark, schema, replaced, new, verify, load)
-        self._commit(spark, schema, {d: n for d, n in directories.items() if d not in replaced} | new)
+        carried = {d: n for d, n in directories.items() if d not in replaced}
+        self._commit(spark, schema, carried | new, version)
         return sum(g["file_count"] for g in groups) - self._listing(spark, new).count()
 
     def rewrite_sorted(
@@ -164,7 +168,8 @@ class SnapshotTable:
         ends the range key, so one value that holds most rows is still cut into many files.
         Returns the number of files written.
         """
-        schema, directories = self._contents(spark)
+        version = self._version(spark)
+        schema, directories = self._contents(spark, version)
         if not directories:
             return 0
         files = max(1, -(-self._bytes(spark, directories) // target_bytes))
@@ -180,7 +185,7 @@ class SnapshotTable:
         self._write_load(ordered, load)
         new = self._inspect(spark, schema, load)[0]
         self._verify(spark, schema, directories, new, verify, load)
-        self._commit(spark, schema, new)
+        self._commit(spark, schema, new, version)
         return self._listing(spark, new).count()
 
     def expire_snapshots(self, spark: SparkSession, retain_last: int = 30) -> list[str]:
@@ -190,7 +195,7 @@ class SnapshotTable:
         ids = [r["snapshot_id"] for r in expired_snapshots(manifest, retain_last).collect()]
         # Forgotten first, then deleted: no reader finds a version with files missing.
         for snapshot_id in ids:
-            fs.delete(spark, self._manifest_dir(snapshot_id))
+            fs.delete(spark, self._manifest_file(snapshot_id))
         for directory in doomed:
             fs.delete(spark, self._data(directory))
         return sorted(doomed)
@@ -222,8 +227,8 @@ class SnapshotTable:
     def _data(self, relative: str = "") -> str:
         return f"{self.root}/data/{relative}".rstrip("/")
 
-    def _manifest_dir(self, snapshot_id: int) -> str:
-        return f"{self.root}/manifest/snapshot={snapshot_id:08d}"
+    def _manifest_file(self, snapshot_id: int) -> str:
+        return f"{self.root}/manifest/{snapshot_id:08d}.json"
 
     def _contents(
         self, spark: SparkSession, snapshot_id: int | None = None
@@ -234,7 +239,7 @@ class SnapshotTable:
             snapshot_id = ids[-1] if ids else None
         if snapshot_id not in ids:
             raise FileNotFoundError(f"{self.root}: no snapshot {snapshot_id}")
-        rows = spark.read.schema(MANIFEST).json(self._manifest_dir(snapshot_id)).collect()
+        rows = spark.read.schema(MANIFEST).json(self._manifest_file(snapshot_id)).collect()
         schema = next(T._parse_datatype_json_string(r["schema"]) for r in rows if r["schema"])
         return schema, {r["path"]: r["of_load"] for r in rows if r["path"]}
 
@@ -267,17 +272,22 @@ class SnapshotTable:
         root = fs.qualified(spark, self._data())
         return F.regexp_replace(F.substring("path", len(root) + 2, 1 << 20), "/[^/]*$", "")
 
-    def _check_mode(self, spark: SparkSession, df: DataFrame, mode: str) -> Directories:
+    def _version(self, spark: SparkSession) -> int:
+        """Number of the newest version, 0 when there is none."""
+        return max(self.snapshot_ids(spark), default=0)
+
+    def _check_mode(self, spark: SparkSession, df: DataFrame, mode: str) -> tuple[int, Directories]:
         if mode not in ("create", "overwrite", "append"):
             raise ValueError(f"unknown mode {mode!r}; known: create, overwrite, append")
-        if not self.snapshot_ids(spark):
-            return {}
+        version = self._version(spark)
+        if not version:
+            return 0, {}
         if mode == "create":
             raise FileExistsError(f"{self.root} exists")
-        schema, directories = self._contents(spark)
+        schema, directories = self._contents(spark, version)
         if mode == "append" and _shape(schema) != _shape(df.schema):
             raise ValueError(f"{self.root}: appended rows have another schema")
-        return directories
+        return version, directories
 
     def _write_load(self, df: DataFrame, load: str, mode: str = "errorifexists") -> None:
         writer = df.write.mode(mode)
@@ -317,23 +327,14 @@ class SnapshotTable:
             fs.delete(spark, self._data(load))
             raise RuntimeError(f"{self.root}: rewrite changed the rows: {result.asDict()}")
 
-    def _commit(self, spark: SparkSession, schema: T.StructType, directories: Directories) -> int:
-        ids = self.snapshot_ids(spark)
-        snapshot_id = (ids[-1] if ids else 0) + 1
-        rows = [(None, None, schema.json()), *[(d, n, None) for d, n in sorted(directories.items())]]
-        (
-            spark.createDataFrame(rows, "path string, of_load bigint, schema string")
-            .select(
-                F.lit(snapshot_id).alias("snapshot_id"),
-                F.current_timestamp().alias("committed_at"),
-                "path",
-                "of_load",
-                "schema",
-            )
-            .coalesce(1)
-            .write.mode("errorifexists")
-            .json(self._manifest_dir(snapshot_id))
-        )
+    def _commit(self, spark: SparkSession, schema: T.StructType, directories: Directories, after: int) -> int:
+        """Publish the version that follows ``after``, the one this write started from."""
+        snapshot_id = after + 1
+        version = {"snapshot_id": snapshot_id, "committed_at": datetime.now(timezone.utc).isoformat()}
+        rows = [{"schema": schema.json()}]
+        rows += [{"path": d, "of_load": n} for d, n in sorted(directories.items())]
+        text = "".join(json.dumps(version | row) + "\n" for row in rows)
+        fs.write_new(spark, self._manifest_file(snapshot_id), text)
         return snapshot_id
 
 

@@ -12,8 +12,8 @@ from lakeworks.operators import quality as q
 from lakeworks.operators.metrics import latest_throughput, quality_summary, sla_compliance
 from lakeworks.plans import migrate
 from lakeworks.plans.generate import generate_json_lines
-from lakeworks.plans.medallion import bronze_to_gold, ingest_json, layer_tables
-from lakeworks.plans.runlog import read_quality, read_runs
+from lakeworks.plans.medallion import bronze_to_gold, generate_to_gold, ingest_json, layer_tables
+from lakeworks.plans.runlog import latest_lines, read_quality, read_runs
 from lakeworks.schemas import RAW
 from lakeworks.sources import fs
 from lakeworks.sources.audit import Gate
@@ -74,6 +74,15 @@ def test_json_to_gold(spark, root):
     assert quality_summary(read_quality(spark, f"{root}/log")).first()["checks"] == 3
 
 
+def test_generated_rows_to_gold(spark, root):
+    done = generate_to_gold(spark, root, 60_000, f"{root}/log")
+    assert done["bronze"].rows > done["silver"].rows >= done["gold"].rows > 0
+    assert not fs.exists(spark, f"{root}/bad")
+    lines = latest_lines(spark, f"{root}/log", 2).collect()
+    assert [(r["log"], r["rn"]) for r in lines] == [("quality", 1), ("quality", 2), ("runs", 1), ("runs", 2)]
+    assert '"layer":"gold"' in lines[2]["line"] and '"layer":"silver"' in lines[3]["line"]
+
+
 def test_ingest_replay_gives_the_same_rows(spark, root):
     path = lines(spark, root, GOOD)
     bronze, _, _ = layer_tables(root)

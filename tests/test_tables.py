@@ -109,6 +109,17 @@ def test_snapshot_modes(spark, root):
         t.read(spark, 9)
 
 
+def test_of_two_writers_of_a_version_one_fails(spark, root):
+    t = SnapshotTable(f"{root}/t")
+    t.write(numbers(spark, 6))
+    schema, directories = t._contents(spark)
+    assert t._commit(spark, schema, directories, 1) == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        t._commit(spark, schema, {}, 1)
+    assert t.read(spark).count() == 6 and t.snapshot_ids(spark) == [1, 2]
+    assert not [n for n in fs.child_names(spark, f"{root}/t/manifest") if n.startswith(".") and not n.endswith(".crc")]
+
+
 def test_overwriting_what_is_being_read_is_safe(spark, root):
     t = SnapshotTable(f"{root}/t")
     t.write(numbers(spark, 6))
