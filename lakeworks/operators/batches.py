@@ -18,6 +18,8 @@ def batch_plan(files: DataFrame, batch_bytes: int = 2 * GB, digits: int = 3) ->
     Ids run from 0; a file larger than a batch leaves the ids it covers unused. A listing
     names every path once, so the md5 spreads it evenly.
     """
+    if not 1 <= digits <= 4:
+        raise ValueError("digits must be 1 to 4: the prefix totals are broadcast")
     keyed = files.select("path", "length", F.md5("path").alias("digest")).withColumn(
         "bucket", F.substring("digest", 1, digits)
     )

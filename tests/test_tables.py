@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 import pytest
 from frames import rows
@@ -56,6 +57,21 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+class Session:
+    """As much of a session as says where it runs."""
+
+    def __init__(self, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+        self.sparkContext = type("Context", (), {"applicationId": "app"})
+
+
+def test_only_a_local_session_gets_a_folder_of_its_own():
+    local = Session(spark_master="local[2]")
+    assert shared_root(local) == shared_root(local) and Path(shared_root(local)).is_dir()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session(spark_master="spark://host:7077"))
+
+
 # ---- catalog
 
 
