@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeworks.operators.batches import GB, batch_plan, batches_to_retry, migration_progress
+from lakeworks.operators.batches import (
+    GB,
+    batch_plan,
+    batch_state,
+    batches_to_retry,
+    migration_progress,
+)
 from lakeworks.operators.dedup import dedup
 from lakeworks.operators.quality import require_columns
 from lakeworks.plans.runlog import log_run
@@ -174,8 +180,9 @@ def migrate_in_batches(
 
 
 def read_batches(spark: SparkSession, target_root: str) -> DataFrame:
-    """All rows of the batches that succeeded."""
-    return spark.read.parquet(f"{target_root}/rows").drop("batch_id")
+    """All rows of the batches that succeeded; what an interrupted one left is not read."""
+    done = batch_state(_log(spark, f"{target_root}/log")).where("done").select("batch_id")
+    return spark.read.parquet(f"{target_root}/rows").join(done, "batch_id", "left_semi").drop("batch_id")
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:

@@ -200,8 +200,14 @@ class SnapshotTable:
             fs.delete(spark, self._data(directory))
         return sorted(doomed)
 
-    def orphan_files(self, spark: SparkSession, older_than: Column) -> DataFrame:
-        """Data files no snapshot lists, such as those of a failed write."""
+    def orphan_files(self, spark: SparkSession, older_than: Column | None = None) -> DataFrame:
+        """Data files no snapshot lists, such as those of a failed write.
+
+        Younger ones than ``older_than`` (by default three days) may belong to a write that is
+        still under way.
+        """
+        if older_than is None:
+            older_than = F.current_timestamp() - F.expr("INTERVAL 3 DAYS")
         listing = file_inventory(spark, {"data": self._data()}).select(
             F.col("path").alias("file"),
             self._relative_directory(spark).alias("path"),
@@ -213,7 +219,7 @@ class SnapshotTable:
         )
 
     def remove_orphan_files(
-        self, spark: SparkSession, older_than: Column, dry_run: bool = True
+        self, spark: SparkSession, older_than: Column | None = None, dry_run: bool = True
     ) -> list[str]:
         """Delete the orphans; by default only name them."""
         paths = [r["path"] for r in self.orphan_files(spark, older_than).toLocalIterator()]

@@ -180,6 +180,8 @@ def test_batches_resume_after_failures(spark, root):
     ).first()
     assert (progress["failed_batches"], progress["total_rows"], progress["processed_bytes"]) == (0, 1000, size)
     assert migrate.read_batches(spark, f"{root}/out").distinct().count() == 1000
+    spark.range(5).write.parquet(f"{root}/out/rows/batch_id=999")
+    assert migrate.read_batches(spark, f"{root}/out").count() == 1000
     done = len(calls)
     migrate.migrate_in_batches(spark, f"{root}/in", f"{root}/out", transform=flaky, **arguments)
     assert len(calls) == done

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakeworks.operators import quality as q
 from lakeworks.operators.reconcile import reconcile
 from lakeworks.plans.maintain import analyze, maintain
+from lakeworks.schemas import TableStandard
 from lakeworks.sources import fs
 from lakeworks.sources.audit import Gate
 from lakeworks.sources.catalog import CatalogTable, ensure_namespace, is_readable
@@ -174,6 +175,20 @@ def test_failed_audit_leaves_the_table(spark, root):
     assert t.write(numbers(spark, 6), "overwrite", lenient).quality_score == 0.5
 
 
+def test_a_table_standard_as_a_gate(spark, root):
+    t = SnapshotTable(f"{root}/t")
+    standard = TableStandard("numbers", {"id": "bigint", "v": "double"}, {"v": 0.1})
+    df = numbers(spark, 20)
+    assert t.write(df, gate=Gate(q.standard_rules(df, standard))).quality_score == 1.0
+    holes = df.withColumn("v", F.when(F.col("id") > 5, F.col("v")))
+    with pytest.raises(q.DataQualityError, match="v null ratio 0.3000"):
+        t.write(holes, gate=Gate(q.standard_rules(holes, standard)))
+    with pytest.raises(q.DataQualityError, match="v missing"):
+        t.write(df.drop("v"), gate=Gate(q.standard_rules(df.drop("v"), standard)))
+    # The share that must pass can be lowered, as an operator would to 0.95.
+    assert t.write(holes, gate=Gate(q.standard_rules(holes, standard), min_score=0.6)).quality_score == pytest.approx(2 / 3)
+
+
 def test_compaction_keeps_rows_and_touches_only_small_files(spark, root):
     t = SnapshotTable(f"{root}/t", ("part",))
     for i in range(3):
@@ -229,7 +244,7 @@ def test_expiry_and_orphans(spark, root):
     assert not any(fs.exists(spark, f"{root}/t/data/{d}") for d in doomed)
     numbers(spark, 3).write.parquet(f"{root}/t/data/load=lost")
     soon, past = F.current_timestamp() + F.expr("INTERVAL 1 HOUR"), F.lit("2020-01-01").cast("timestamp")
-    assert t.remove_orphan_files(spark, past) == []
+    assert t.remove_orphan_files(spark, past) == t.remove_orphan_files(spark) == []
     named = t.remove_orphan_files(spark, soon)
     assert named and all("load=lost" in p for p in named)
     assert t.remove_orphan_files(spark, soon, dry_run=False) == named
