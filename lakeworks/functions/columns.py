@@ -30,8 +30,3 @@ def money(col: Column | str) -> Column:
 def iso_text(col: Column | str) -> Column:
     """Timestamp as ISO-8601 text with seconds and no zone."""
     return F.date_format(as_column(col), ISO_SECONDS)
-
-
-def text_array(values) -> Column:
-    """A constant array of strings."""
-    return F.array(*[F.lit(v) for v in values])

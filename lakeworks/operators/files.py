@@ -68,20 +68,32 @@ def maintenance_plan(
     )
 
 
-def expired_snapshots(manifest: DataFrame, retain_last: int = 30, by: Sequence[str] = ()) -> DataFrame:
+NEWEST_BY = ("committed_at", "snapshot_id")
+
+
+def expired_snapshots(
+    manifest: DataFrame,
+    retain_last: int = 30,
+    by: Sequence[str] = (),
+    newest_by: Sequence[str] = NEWEST_BY,
+) -> DataFrame:
     """Snapshots older than the newest ``retain_last`` (of each table, with ``by``)."""
-    snapshots = manifest.select(*by, "snapshot_id", "committed_at").distinct()
-    kept = _newest(snapshots, retain_last, by)
+    snapshots = _snapshots(manifest, by)
+    kept = _newest(snapshots, retain_last, by, newest_by)
     return snapshots.join(kept.select(*by, "snapshot_id"), [*by, "snapshot_id"], "left_anti")
 
 
-def expired_files(manifest: DataFrame, retain_last: int = 30, by: Sequence[str] = ()) -> DataFrame:
+def expired_files(
+    manifest: DataFrame,
+    retain_last: int = 30,
+    by: Sequence[str] = (),
+    newest_by: Sequence[str] = NEWEST_BY,
+) -> DataFrame:
     """Paths that only expired snapshots use: safe to delete once those are gone.
 
     A path of an old snapshot that a kept one still uses stays.
     """
-    snapshots = manifest.select(*by, "snapshot_id", "committed_at").distinct()
-    kept = _newest(snapshots, retain_last, by).select(*by, "snapshot_id")
+    kept = _newest(_snapshots(manifest, by), retain_last, by, newest_by).select(*by, "snapshot_id")
     in_use = manifest.join(kept, [*by, "snapshot_id"], "left_semi").select(*by, "path").distinct()
     return manifest.select(*by, "path").distinct().join(in_use, [*by, "path"], "left_anti")
 
@@ -97,8 +109,14 @@ def orphan_files(listing: DataFrame, manifest: DataFrame, older_than: Column | N
     return listing.join(known, "path", "left_anti")
 
 
-def _newest(snapshots: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
-    order = [F.desc("committed_at"), F.desc("snapshot_id")]
+def _snapshots(manifest: DataFrame, by: Sequence[str]) -> DataFrame:
+    return manifest.select(*by, "snapshot_id", "committed_at").distinct()
+
+
+def _newest(snapshots: DataFrame, n: int, by: Sequence[str], newest_by: Sequence[str]) -> DataFrame:
+    if n < 1:
+        raise ValueError("at least the newest snapshot must be kept")
+    order = [F.desc(c) for c in newest_by]
     if not by:
         return snapshots.orderBy(*order).limit(n)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor, as_completed
+from concurrent.futures import Future, ThreadPoolExecutor, as_completed
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from lakeworks.sources.audit import Gate, WriteResult
 from lakeworks.sources.files import append_log, file_inventory, read_files, read_log
 
 Transform = Callable[[DataFrame], DataFrame]
+LOG_SECONDS = 30.0
 
 
 def migrate_dataframe(
@@ -136,7 +137,9 @@ def migrate_in_batches(
     plan_path, log_path = f"{target_root}/plan", f"{target_root}/log"
     if not fs.exists(spark, f"{plan_path}/_SUCCESS"):
         listing = file_inventory(spark, {"source": source_path})
-        batch_plan(listing, batch_bytes).write.mode("overwrite").parquet(plan_path)
+        # Sorted, so that looking up one batch reads one file's row group.
+        planned = batch_plan(listing, batch_bytes).orderBy("batch_id", "path")
+        planned.write.mode("overwrite").parquet(plan_path)
     plan = spark.read.parquet(plan_path)
     total = plan.agg(F.count_distinct("batch_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
 
@@ -172,8 +175,7 @@ def migrate_in_batches(
             time.sleep(backoff_seconds * attempt)
         with ThreadPoolExecutor(min(parallelism, len(todo))) as pool:
             jobs = [pool.submit(run, batch_id, tried + 1) for batch_id, tried in todo]
-            for job in as_completed(jobs):
-                append_log(spark, log_path, BATCH_LOG, [job.result()])
+            _log_as_they_finish(spark, log_path, jobs)
     return migration_progress(
         _log(spark, log_path), total[0], total[1], time.time() - started, sla_max_seconds
     )
@@ -185,6 +187,18 @@ def read_batches(spark: SparkSession, target_root: str) -> DataFrame:
     return spark.read.parquet(f"{target_root}/rows").join(done, "batch_id", "left_semi").drop("batch_id")
 
 
+def _log_as_they_finish(spark: SparkSession, path: str, jobs: Sequence[Future]) -> None:
+    """Log results together every so often: with many thousand batches, one write each would
+    be what the run waits for. What a lost driver had not logged yet is run again, which
+    replaces the same rows."""
+    finished, flushed = [], time.time()
+    for left, job in zip(range(len(jobs) - 1, -1, -1), as_completed(jobs)):
+        finished.append(job.result())
+        if not left or time.time() - flushed >= LOG_SECONDS:
+            append_log(spark, path, BATCH_LOG, finished)
+            finished, flushed = [], time.time()
+
+
 def _log(spark: SparkSession, path: str) -> DataFrame:
     if not fs.exists(spark, path):
         return spark.createDataFrame([], BATCH_LOG)

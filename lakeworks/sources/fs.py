@@ -43,15 +43,16 @@ def write_new(spark: SparkSession, path: str, text: str) -> None:
     one atomic step: of two writers of the same path, one gets an error.
     """
     folder, _, _ = path.rpartition("/")
-    hidden = _path(spark, f"{folder}/.{uuid.uuid4().hex}")
-    stream = _fs(spark, path).create(hidden, False)
+    storage = _fs(spark, path)
+    hidden = storage.makeQualified(_path(spark, f"{folder}/.{uuid.uuid4().hex}"))
+    stream = storage.create(hidden, False)
     stream.write(bytearray(text, "utf-8"))
     stream.close()
     jvm = spark._jvm.org.apache.hadoop.fs
     context = jvm.FileContext.getFileContext(hidden.toUri(), spark._jsc.hadoopConfiguration())
     no_options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
     try:
-        context.rename(_fs(spark, path).makeQualified(hidden), _fs(spark, path).makeQualified(_path(spark, path)), no_options)
+        context.rename(hidden, storage.makeQualified(_path(spark, path)), no_options)
     except Exception:
-        _fs(spark, path).delete(hidden, False)
+        storage.delete(hidden, False)
         raise

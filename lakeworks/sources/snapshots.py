@@ -132,7 +132,7 @@ class SnapshotTable:
             .groupBy("partition")
             .agg(
                 F.count(F.lit(1)).alias("file_count"),
-                F.ceil(F.sum("length") / F.lit(target_bytes)).cast("int").alias("wanted"),
+                F.greatest(F.lit(1), F.ceil(F.sum("length") / F.lit(target_bytes))).cast("int").alias("wanted"),
                 F.collect_set("directory").alias("directories"),
             )
             .where("file_count > wanted")
@@ -190,9 +190,10 @@ class SnapshotTable:
 
     def expire_snapshots(self, spark: SparkSession, retain_last: int = 30) -> list[str]:
         """Forget all but the newest snapshots; delete what only the forgotten ones used."""
-        manifest = self.manifest(spark)
-        doomed = [r["path"] for r in expired_files(manifest, retain_last).collect()]
-        ids = [r["snapshot_id"] for r in expired_snapshots(manifest, retain_last).collect()]
+        # By number alone: the clocks of the drivers that committed may differ.
+        manifest, order = self.manifest(spark), {"newest_by": ["snapshot_id"]}
+        doomed = [r["path"] for r in expired_files(manifest, retain_last, **order).collect()]
+        ids = [r["snapshot_id"] for r in expired_snapshots(manifest, retain_last, **order).collect()]
         # Forgotten first, then deleted: no reader finds a version with files missing.
         for snapshot_id in ids:
             fs.delete(spark, self._manifest_file(snapshot_id))

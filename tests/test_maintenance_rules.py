@@ -56,6 +56,8 @@ def test_expiry(spark):
     assert rows(f.expired_files(manifest(spark), 2)) == [("a",)]
     assert rows(f.expired_files(manifest(spark), 1)) == [("a",), ("b",)]
     assert rows(f.expired_files(manifest(spark), 3)) == []
+    with pytest.raises(ValueError, match="newest"):
+        f.expired_files(manifest(spark), 0)
     two = manifest(spark).unionAll(manifest(spark).withColumn("table", F.lit("u")).where("snapshot_id < 3"))
     assert rows(f.expired_files(two, 1, by=["table"])) == [("t", "a"), ("t", "b"), ("u", "a")]
 
