@@ -32,6 +32,10 @@ class IcebergTable:
     location: str | None = None
     target_bytes: int = TARGET_FILE_BYTES
 
+    @property
+    def catalog(self) -> str:
+        return self.name.split(".")[0] if self.name.count(".") > 1 else "spark_catalog"
+
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.table(self.name)
 
@@ -44,6 +48,7 @@ class IcebergTable:
 
     def write(self, df: DataFrame, mode: str = "overwrite", gate: Gate | None = None) -> WriteResult:
         spark, started, gate, score = df.sparkSession, time.time(), gate or Gate(), 1.0
+        self._require(spark)
         if gate.rules or gate.min_rows:
             counts = df.agg(*measures(gate.observable)).first().asDict()
             score = check(spark, self.name, gate, counts, df)
@@ -88,6 +93,10 @@ class IcebergTable:
         self._call(spark, "remove_orphan_files")
 
     def _call(self, spark: SparkSession, procedure: str, arguments: str = "") -> None:
-        catalog = self.name.split(".")[0] if self.name.count(".") > 1 else "spark_catalog"
+        self._require(spark)
         rest = f", {arguments}" if arguments else ""
-        spark.sql(f"CALL {catalog}.system.{procedure}(table => '{self.name}'{rest})")
+        spark.sql(f"CALL {self.catalog}.system.{procedure}(table => '{self.name}'{rest})")
+
+    def _require(self, spark: SparkSession) -> None:
+        if not is_iceberg_catalog(spark, self.catalog):
+            raise RuntimeError(f"{self.catalog} is no Iceberg catalog in this session")

@@ -40,8 +40,10 @@ MANIFEST = T.StructType(
         T.StructField("path", T.StringType()),
         T.StructField("of_load", T.LongType()),
         T.StructField("schema", T.StringType()),
+        T.StructField("partition_by", T.ArrayType(T.StringType())),
     ]
 )
+SNAPSHOT_COLUMNS = ["snapshot_id", "committed_at", "path"]
 # Path of a directory below ``data`` -> number of directories its load has in all.
 Directories = dict[str, int]
 # Groups of small files rewritten by one job: bounds the size of its plan.
@@ -55,6 +57,14 @@ class SnapshotTable:
     root: str
     partition_by: tuple[str, ...] = ()
 
+    @classmethod
+    def existing(cls, spark: SparkSession, root: str) -> SnapshotTable:
+        """A table that has been written, with the partition columns it was written with."""
+        unpartitioned = cls(root)
+        if not unpartitioned.snapshot_ids(spark):
+            raise FileNotFoundError(f"{root}: no snapshots")
+        return cls(root, unpartitioned._stored_partitions(spark))
+
     # ---- reading
 
     def snapshot_ids(self, spark: SparkSession) -> list[int]:
@@ -65,9 +75,9 @@ class SnapshotTable:
         """snapshot_id, committed_at and path (a directory below ``data``) of every snapshot."""
         ids = self.snapshot_ids(spark)
         if not ids:
-            return spark.createDataFrame([], MANIFEST).drop("of_load", "schema")
+            return spark.createDataFrame([], MANIFEST).select(*SNAPSHOT_COLUMNS)
         rows = spark.read.schema(MANIFEST).json([self._manifest_file(i) for i in ids])
-        return rows.where("path IS NOT NULL").drop("of_load", "schema")
+        return rows.where("path IS NOT NULL").select(*SNAPSHOT_COLUMNS)
 
     def read(self, spark: SparkSession, snapshot_id: int | None = None) -> DataFrame:
         """The newest version, or an older one that is still kept."""
@@ -124,6 +134,7 @@ class SnapshotTable:
         No shuffle: a partition's scan splits are merged to as many tasks as it needs files,
         and the partitions of one job run side by side. Returns the files saved.
         """
+        self._check_partitions(spark)
         version = self._version(spark)
         schema, directories = self._contents(spark, version)
         groups = (
@@ -168,6 +179,7 @@ class SnapshotTable:
         ends the range key, so one value that holds most rows is still cut into many files.
         Returns the number of files written.
         """
+        self._check_partitions(spark)
         version = self._version(spark)
         schema, directories = self._contents(spark, version)
         if not directories:
@@ -292,10 +304,20 @@ class SnapshotTable:
         if mode == "create":
             raise FileExistsError(f"{self.root} exists")
         schema, directories = self._contents(spark, version)
-        if mode == "append" and _shape(schema) != _shape(df.schema):
-            raise ValueError(f"{self.root}: appended rows have another schema")
+        if mode == "append":
+            self._check_partitions(spark)
+            if _shape(schema) != _shape(df.schema):
+                raise ValueError(f"{self.root}: appended rows have another schema")
         return version, directories
 
+    def _stored_partitions(self, spark: SparkSession) -> tuple[str, ...]:
+        newest = self._manifest_file(self._version(spark))
+        return tuple(spark.read.schema(MANIFEST).json(newest).where("schema IS NOT NULL").first()["partition_by"])
+
+    def _check_partitions(self, spark: SparkSession) -> None:
+        if self.snapshot_ids(spark) and self._stored_partitions(spark) != tuple(self.partition_by):
+            raise ValueError(f"{self.root} is partitioned by {self._stored_partitions(spark)}")
+
     def _write_load(self, df: DataFrame, load: str, mode: str = "errorifexists") -> None:
         writer = df.write.mode(mode)
         if self.partition_by:
@@ -338,7 +360,7 @@ class SnapshotTable:
         """Publish the version that follows ``after``, the one this write started from."""
         snapshot_id = after + 1
         version = {"snapshot_id": snapshot_id, "committed_at": datetime.now(timezone.utc).isoformat()}
-        rows = [{"schema": schema.json()}]
+        rows = [{"schema": schema.json(), "partition_by": list(self.partition_by)}]
         rows += [{"path": d, "of_load": n} for d, n in sorted(directories.items())]
         text = "".join(json.dumps(version | row) + "\n" for row in rows)
         fs.write_new(spark, self._manifest_file(snapshot_id), text)

@@ -116,3 +116,22 @@ def test_a_key_with_a_third_of_all_rows(spark):
     got = dedup(df, ["k"], ["v"])
     assert got.count() == n - n // 3 + 1
     assert got.where("k IS NULL").first()["v"] == df.where("k IS NULL").agg(F.max("v")).first()[0]
+
+
+def test_a_report_group_with_a_third_of_all_rows(spark):
+    n = 30000
+    hot = F.col("id") % 3 == 0
+    silver = spark.range(n).select(
+        F.lit(date(2024, 1, 1)).alias("transaction_date"),
+        F.when(hot, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 50)).alias("merchant_category"),
+        F.lit("ATM").alias("channel"),
+        F.lit("INR").alias("currency"),
+        F.lit(1).cast("decimal(18,2)").alias("amount"),
+        (F.col("id") % 7000).cast("string").alias("customer_id"),
+    )
+    report = gold_daily_report(silver)
+    got = report.where("merchant_category = 'hot'").first()
+    assert (got["transaction_count"], got["total_amount"]) == (n // 3, n // 3)
+    assert got["unique_customers"] == silver.where("merchant_category = 'hot'").select("customer_id").distinct().count()
+    # Customers are counted in a step of their own, spread by group and customer.
+    assert re.search(r"Exchange hashpartitioning\([^)]*customer_id", plan(report))

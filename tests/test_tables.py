@@ -137,6 +137,18 @@ def test_of_two_writers_of_a_version_one_fails(spark, root):
     assert not [n for n in fs.child_names(spark, f"{root}/t/manifest") if n.startswith(".") and not n.endswith(".crc")]
 
 
+def test_a_table_keeps_its_partition_columns(spark, root):
+    t = SnapshotTable(f"{root}/t", ("part",))
+    t.write(numbers(spark, 6))
+    assert SnapshotTable.existing(spark, t.root) == t
+    for careless in (lambda o: o.write(numbers(spark, 1), "append"), lambda o: o.compact(spark)):
+        with pytest.raises(ValueError, match="partitioned by"):
+            careless(SnapshotTable(t.root))
+    assert rows(SnapshotTable(t.root).read(spark)) == rows(numbers(spark, 6))
+    with pytest.raises(FileNotFoundError):
+        SnapshotTable.existing(spark, f"{root}/nothing")
+
+
 def test_overwriting_what_is_being_read_is_safe(spark, root):
     t = SnapshotTable(f"{root}/t")
     t.write(numbers(spark, 6))
