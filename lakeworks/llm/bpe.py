@@ -24,19 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeworks.llm.common import id_and_text, list_array, over_batches
+from lakeworks.llm.spans import NOT_SPACE, Words, blocks
 
-#: Distinct chunks, and words, a Python worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 800_000
+#: Distinct chunks and distinct words a Python worker remembers; beyond, its memory starts afresh.
+CHUNKS_REMEMBERED = 300_000
+WORDS_REMEMBERED = 800_000
 
-# Python's split() also cuts at these four, which the vocabulary's white space does not contain.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_SPACE = regex.compile(r"\p{White_Space}+")
-
-
-def chunks_of(text: str) -> list[str]:
-    if _SEPARATORS.search(text):
-        return [c for c in _SPACE.split(text) if c]
-    return text.split()
+# White space beyond ASCII, which the cutting by bytes does not see.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def byte_characters() -> list[str]:
@@ -150,19 +145,6 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-class _Codes(dict):
-    """Chunk -> code; new chunks get the next code and wait in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        code = self[chunk] = len(self)
-        self.new.append(chunk)
-        return code
-
-
 class _Memory:
     """Ids of the distinct items seen so far, as flat arrays; ``encode`` fills in new ones."""
 
@@ -171,19 +153,24 @@ class _Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.flat = _Codes(), np.empty(0, np.int32)
+        self.codes: dict = {}
+        self.flat = np.empty(0, np.int32)
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def of(self, items: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all items in a row, and how many each run of ``counts`` items has."""
-        codes = np.fromiter(map(self.codes.__getitem__, items), np.int64, len(items))
-        if self.codes.new:
-            flat, lengths = self.encode(self.codes.new)
+    def known(self, items: list) -> np.ndarray:
+        """The code of each of distinct items; new ones are encoded first."""
+        new = [item for item in items if item not in self.codes]
+        if new:
+            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+            flat, lengths = self.encode(new)
             starts = len(self.flat) + np.cumsum(lengths) - lengths
             self.flat = np.concatenate([self.flat, flat])
             self.start = np.concatenate([self.start, starts])
             self.length = np.concatenate([self.length, lengths])
-            self.codes.new = []
+        return np.fromiter(map(self.codes.__getitem__, items), np.int64, len(items))
+
+    def of(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all codes in a row, and how many each run of ``counts`` codes has."""
         lengths = self.length[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         places = np.repeat(self.start[codes] - ends[:-1], lengths) + np.arange(ends[-1])
@@ -198,16 +185,22 @@ class TextMemory:
 
     def __init__(self, known: Vocabulary, encode_words):
         self.words = _Memory(encode_words)
-        self.chunks = _Memory(lambda chunks: self.words.of(*known.words(chunks)))
+        self.chunks = _Memory(lambda chunks: self._of_chunks(known, chunks))
+
+    def _of_chunks(self, known: Vocabulary, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words, counts = known.words([c.decode("utf-8", "surrogatepass") for c in chunks])
+        distinct = list(dict.fromkeys(words))
+        code = dict(zip(distinct, self.words.known(distinct).tolist()))
+        return self.words.of(np.fromiter(map(code.__getitem__, words), np.int64, len(words)), counts)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
-        for memory in (self.chunks, self.words):
-            if len(memory.codes) > REMEMBERED:
+        for memory, limit in ((self.chunks, CHUNKS_REMEMBERED), (self.words, WORDS_REMEMBERED)):
+            if len(memory.codes) > limit:
                 memory.clear()
-        per_text = [chunks_of(text) for text in texts]
-        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        return self.chunks.of([c for chunks in per_text for c in chunks], counts)
+        cut = Words([_WIDE_SPACE.sub(" ", t) if not t.isascii() else t for t in texts], NOT_SPACE)
+        distinct, number = cut.distinct()
+        return self.chunks.of(self.chunks.known(distinct)[number], cut.count)
 
 
 def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,15 +219,6 @@ def _memory(path: str) -> TextMemory:
     return TextMemory(known, lambda words: flattened(known.encode_words(words)))
 
 
-#: Texts whose ids are gathered at a time.
-TEXTS_AT_ONCE = 200
-
-
-def _blocks(texts: list[str]):
-    for start in range(0, len(texts), TEXTS_AT_ONCE):
-        yield texts[start : start + TEXTS_AT_ONCE]
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``ids`` (array<int>) of each row's whole text.
 
@@ -244,7 +228,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         memory = _memory(path)
-        parts = [memory.ids(texts) for texts in _blocks(batch.column("text").to_pylist())]
+        texts = batch.column("text").to_pylist()
+        parts = [memory.ids(texts[some]) for some in blocks(texts)]
         ids = np.concatenate([p[0] for p in parts])
         lengths = np.concatenate([p[1] for p in parts])
         return pa.RecordBatch.from_arrays(
@@ -274,8 +259,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         memory, known = _memory(path), vocabulary(path)
         all_ids, all_lengths, decoded = [], [], []
-        for texts in _blocks(batch.column("text").to_pylist()):
-            ids, lengths = memory.ids(texts)
+        texts = batch.column("text").to_pylist()
+        for some in blocks(texts):
+            ids, lengths = memory.ids(texts[some])
             tokens, start = ids.tolist(), 0
             for end in np.cumsum(lengths).tolist():
                 decoded.append(known.decode(tokens[start:end]))

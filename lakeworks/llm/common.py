@@ -46,7 +46,7 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
 #: Rows that a task holds at once beyond Spark's own Arrow batch.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:

@@ -18,20 +18,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeworks.llm.bpe import TEXTS_AT_ONCE, TextMemory, vocabulary
+from lakeworks.llm.bpe import TextMemory, vocabulary
 from lakeworks.llm.common import id_and_text, list_array, over_batches
+from lakeworks.llm.spans import blocks
 
 #: Fixed values of the format.
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Text bytes that one file's task takes, about.
-FILE_TEXT_BYTES = 32 << 20
+FILE_TEXT_BYTES = 16 << 20
 
 
 #: Words given to the library in one string, and strings at a time.
 WORDS_JOINED = 200
-STRINGS_AT_ONCE = 200
+STRINGS_AT_ONCE = 50
 
 
 @lru_cache(maxsize=2)
@@ -79,8 +80,8 @@ def tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         memory, texts = _memory(path), batch.column("text").to_pylist()
         parts, lengths = [], []
-        for start in range(0, len(texts), TEXTS_AT_ONCE):
-            ids, counts = memory.ids(texts[start : start + TEXTS_AT_ONCE])
+        for some in blocks(texts):
+            ids, counts = memory.ids(texts[some])
             parts.append(np.insert(ids, np.cumsum(counts), END_ID))
             lengths.append(counts + 1)
         counts = np.concatenate(lengths)
