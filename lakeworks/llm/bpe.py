@@ -27,8 +27,8 @@ from lakeworks.llm.common import id_and_text, list_array, over_batches
 from lakeworks.llm.spans import NOT_SPACE, Words, blocks
 
 #: Distinct chunks and distinct words a Python worker remembers; beyond, its memory starts afresh.
-CHUNKS_REMEMBERED = 300_000
-WORDS_REMEMBERED = 800_000
+CHUNKS_REMEMBERED = 200_000
+WORDS_REMEMBERED = 500_000
 
 # White space beyond ASCII, which the cutting by bytes does not see.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

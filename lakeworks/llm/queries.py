@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeworks.llm import bpe, hnsw, mtree, token_files
-from lakeworks.llm.common import table
+from lakeworks.llm import bpe, hnsw, mixing, mtree, quality, token_files, toxicity
+from lakeworks.llm.common import remainder, table
 from lakeworks.sources.scratch import new_folder
 
 
@@ -19,6 +19,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels, remainder("doc_id", 5) != 0)
+    return toxicity.scored(documents, model).select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -27,6 +39,23 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels, remainder("doc_id", 4) != 2)
+    return quality.scored(documents, model).select(
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.DECISION).cast("int").alias("predicted"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the files, and takes everything it returns from them."""
     documents = table(spark, sf_dir, "documents")
@@ -44,8 +73,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_topk": op3_topk,
     "op4_neighbours": op4_neighbours,
+    "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
