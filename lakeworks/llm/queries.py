@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeworks.llm import bpe, hnsw, mixing, mtree, quality, token_files, toxicity
+from lakeworks.llm import bpe, hnsw, licenses, mixing, mtree, pii, quality, token_files, toxicity
 from lakeworks.llm.common import remainder, table
 from lakeworks.sources.scratch import new_folder
 
@@ -31,6 +31,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +43,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(documents, labels, remainder("doc_id", 4) != 2)
@@ -74,8 +82,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op3_topk": op3_topk,
     "op4_neighbours": op4_neighbours,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op9_token_files": op9_token_files,

@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The vocabulary are the words whose presence goes with the label in the training rows (chi
-square); their document frequencies are counted over all documents. The training rows' vectors
+The vocabulary are the words that come with label 1 more often than without, in the training
+rows and beyond chance (chi square); their document frequencies are counted over all documents. The training rows' vectors
 lie in an inverted index: examples are numbered in blocks, and every word knows its largest
 weight in each block. A query adds these up to a bound per block and looks into blocks in
 falling order, until no bound reaches its k-th best similarity: the neighbours are exact. They
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Examples:
     chi = F.lit(n) * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
     picked = (
         _word_counts(chosen.select("text", "label"), counts)
-        .where(F.col("n") >= LEAST_ROWS)
+        .where((F.col("n") >= LEAST_ROWS) & (a * F.lit(n) > F.col("n") * F.lit(p)))
         .withColumn("chi", chi)
         .where(F.col("chi") >= LEAST_CHI_SQUARE)
         .orderBy(F.desc("chi"), "word")
