@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeworks.llm import bpe, hnsw, licenses, mixing, mtree, pii, quality, token_files, toxicity
+from lakeworks.llm import bpe, hnsw, licenses, mixing, mtree, neardup, pii, quality, token_files, toxicity
 from lakeworks.llm.common import remainder, table
 from lakeworks.sources.scratch import new_folder
 
@@ -64,6 +64,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the files, and takes everything it returns from them."""
     documents = table(spark, sf_dir, "documents")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
