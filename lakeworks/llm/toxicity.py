@@ -28,6 +28,7 @@ LEAST_CHI_SQUARE = 30.0
 LEAST_ROWS = 3
 NEIGHBOURS = 16
 BLOCK_EXAMPLES = 64
+BLOCKS_AT_ONCE = 16
 #: Weight of the base rate among the votes, and the distance at which a vote counts half.
 PRIOR_VOTES = 0.5
 HALF_DISTANCE = 0.1
@@ -100,23 +101,31 @@ class Examples:
     def nearest(self, word: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and similarities of the ``k`` nearest, nearest first, ties to the smaller number."""
         bound = weight @ self.most[word]
-        found = np.empty(0, np.int64)
-        score = np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(found) == k and bound[block] < score[-1] - 1e-12):
-                break
-            local = np.zeros(BLOCK_EXAMPLES)
-            first = block * BLOCK_EXAMPLES
-            for w, x in zip(word, weight):
-                cell = w * self.n_blocks + block
-                own = slice(self.begin[cell], self.begin[cell + 1])
-                local[self.example[own] - first] += x * self.weight[own]
-            if first <= but < first + BLOCK_EXAMPLES:
-                local[but - first] = 0
-            some = np.flatnonzero(local)
-            found = np.concatenate([found, some + first])
-            score = np.concatenate([score, local[some]])
-            best = np.lexsort((found, -np.round(score, 12)))[:k]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, score = np.empty(0, np.int64), np.empty(0)
+        for start in range(0, len(order), BLOCKS_AT_ONCE):
+            some = order[start : start + BLOCKS_AT_ONCE]
+            if len(found) == k:
+                some = some[bound[some] >= score[-1] - 1e-12]
+                if not len(some):
+                    break
+            # The postings of all words in these blocks, and which of the words each one has.
+            cells = (word[:, None] * self.n_blocks + some[None, :]).ravel()
+            low, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+            ends = np.cumsum(size)
+            postings = np.repeat(low - (ends - size), size) + np.arange(ends[-1])
+            own = np.repeat(np.repeat(weight, len(some)), size)
+            slot = np.repeat(np.tile(np.arange(len(some)), len(word)), size)
+            local = slot * BLOCK_EXAMPLES + self.example[postings] % BLOCK_EXAMPLES
+            sums = np.round(np.bincount(local, own * self.weight[postings], len(some) * BLOCK_EXAMPLES), 12)
+            if len(found) == k:
+                sums[sums < score[-1]] = 0
+            here = np.flatnonzero(sums)
+            numbers = some[here // BLOCK_EXAMPLES] * BLOCK_EXAMPLES + here % BLOCK_EXAMPLES
+            here, numbers = here[numbers != but], numbers[numbers != but]
+            found, score = np.concatenate([found, numbers]), np.concatenate([score, sums[here]])
+            best = np.lexsort((found, -score))[:k]
             found, score = found[best], score[best]
         return found, score
 
