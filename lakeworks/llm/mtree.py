@@ -66,7 +66,6 @@ class MTree:
         norms = (self.vectors**2).sum(1)
         self.top = float(norms.max(initial=0))
         points = np.hstack([self.vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
-        self.exact = self.top < 2**52
         self.nodes: list[Node] = []
         leaves = [self._node(points, points, rows, np.zeros(len(rows)), True) for rows in _groups(points, PAGE_ROWS)]
         centres = np.array([self.nodes[i].centre for i in leaves])
@@ -86,9 +85,9 @@ class MTree:
         self.nodes.append(Node(centre, float((distance + radii).max()), entries, distance, leaf))
         return len(self.nodes) - 1
 
-    def scores(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def scores(self, queries: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
         """Integer inner products: in doubles while these are exact, else in Python integers."""
-        if self.exact and (queries**2).sum(1).max(initial=0) < 2**52:
+        if exact:
             return (queries @ self.vectors[rows].T).astype(np.int64)
         as_int = np.vectorize(int, otypes=[object])
         return as_int(queries) @ as_int(self.vectors[rows]).T
@@ -109,8 +108,10 @@ class MTree:
         distance[:, self.roots] = to_root
         # A key orders by score, then by the smaller id: rows are ascending by id.
         rows_total = len(self.ids)
-        worst = -(2**62)
-        best = np.full((n, k), worst, object if not self.exact else np.int64)
+        largest = max(self.top, (queries**2).sum(1).max(initial=0))
+        exact = largest < 2**52 and (largest + 1) * rows_total < 2**62
+        worst = -(2**62) if exact else -(2**200)
+        best = np.full((n, k), worst, np.int64 if exact else object)
         reach = np.full(n, np.inf)  # distance of the k-th best
         alive = np.arange(n)
         while len(alive):
@@ -136,7 +137,7 @@ class MTree:
                 rows = node.entries[(apart <= limit).any(0)]
                 if not len(rows):
                     continue
-                keys = self.scores(queries[who], rows) * rows_total + (rows_total - 1 - rows)
+                keys = self.scores(queries[who], rows, exact) * rows_total + (rows_total - 1 - rows)
                 keys[self.ids[rows][None, :] == query_ids[who][:, None]] = worst
                 some = (keys > best[who, 0][:, None]).any(1)
                 who, keys = who[some], keys[some]
