@@ -161,7 +161,9 @@ def mix(docs: DataFrame) -> Mix:
         .withColumn("offset", F.col("ahead") + F.col("local"))
         .drop("local", "ahead", "name", "source")
     )
-    return Mix(staged(documents, "mix-documents"), _slots(spark, np.array(quota, np.int64), np.array(blocks, np.int64)))
+    # Written out, so that the planner sees the size of what _expand makes of a few runs.
+    slots = staged(_slots(spark, np.array(quota, np.int64), np.array(blocks, np.int64)), "mix-slots")
+    return Mix(staged(documents, "mix-documents"), slots)
 
 
 def _slots(spark, quota: np.ndarray, blocks: np.ndarray) -> DataFrame:
@@ -259,16 +261,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "tie", "s", "bucket", "n", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.first("size").alias("size"))
     )
-    # Equal rows take turns: the n-th of them within its source is told apart by its number.
-    same = Window.partitionBy("doc_id", "tie", "s").orderBy("bucket", "n")
-    numbered = plan.documents.withColumn("copy", F.row_number().over(same)).select("s", "bucket", "n", "copy")
-    parts = parts.join(numbered, ["s", "bucket", "n"]).select("doc_id", "tie", "s", "copy", "pass", "parts", "size")
+    parts = parts.select("doc_id", "tie", "pass", "parts", "size")
     parts = parts.withColumnsRenamed({c: f"_{c}" for c in parts.columns})
-    once = parts.where("_copy = 1").join(
-        docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_own"])
-        if _has_repeats(plan.documents)
-        else docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))),
-        F.col("_doc_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_tie") == F.col("_own")),
+    texts = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    if _has_repeats(plan.documents):
+        texts = texts.dropDuplicates(["doc_id", "_own"])  # each copy has parts of its own
+    once = parts.join(
+        texts, F.col("_doc_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_tie") == F.col("_own"))
     )
     columns = docs.columns
 

@@ -196,6 +196,13 @@ def find(rows: DataFrame) -> DataFrame:
     mentions = staged(
         _with_pattern(mentions.where(F.col("valid") | candidate)).drop("before", "value", "loose"), "pii-mentions"
     )
+    # What a seed covers is no candidate.
+    covers = mentions.where("valid").select(
+        F.col("row").alias("r"), F.col("start").alias("from"), F.col("end").alias("to")
+    )
+    covered = (F.col("row") == F.col("r")) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
+    free = mentions.where(~F.col("valid")).join(covers, covered, "left_anti")
+    mentions = mentions.where("valid").unionByName(free)
     sure = sure_candidates(mentions.withColumnRenamed("valid", "seed"))
     span = F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"))
     base = mentions.where("valid").select("row", F.lit(True).alias("is_base"), span.alias("span"))
@@ -204,11 +211,8 @@ def find(rows: DataFrame) -> DataFrame:
     both = base.unionByName(more).groupBy("row").agg(F.collect_set(F.struct("is_base", "span")).alias("all"))
     fixed = F.transform(F.filter("all", lambda x: x["is_base"]), lambda x: x["span"])
     added = F.transform(F.filter("all", lambda x: ~x["is_base"]), lambda x: x["span"])
-    free = F.filter(
-        added, lambda x: ~F.exists(fixed, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
-    )
     return both.select(
-        "row", F.array_sort(fixed).alias("base"), F.array_sort(F.concat(fixed, free)).alias("spans")
+        "row", F.array_sort(fixed).alias("base"), F.array_sort(F.concat(fixed, added)).alias("spans")
     )
 
 
