@@ -41,7 +41,8 @@ def sla_compliance(runs: DataFrame, slas: Sequence[Sla] = SLAS) -> DataFrame:
 
     A run complies when it did not fail and stayed within the limit; it breaches when it
     finished late and is at risk past the alert share of the limit. An SLA holds when all
-    its runs stayed within the limit and enough of them succeeded. Runs are counted per SLA
+    its runs stayed within the limit and enough of them succeeded. Runs of an unknown SLA, or of
+    none, have a row too, with a null verdict. Runs are counted per SLA
     before the (constant-size) profile table is joined, so no run is shuffled for the join.
     """
     ok = F.coalesce(F.col("success"), F.lit(False))
@@ -65,7 +66,7 @@ def sla_compliance(runs: DataFrame, slas: Sequence[Sla] = SLAS) -> DataFrame:
     )
     rate = F.try_divide(F.col("runs") - F.col("failed"), F.col("runs"))
     return (
-        counted.join(F.broadcast(profiles), "sla_name")
+        counted.join(F.broadcast(profiles), "sla_name", "left")
         .withColumn("success_rate", rate)
         .select(
             "sla_name",

@@ -45,8 +45,9 @@ def ingest_json(
 ) -> IngestResult:
     """Read JSON lines, add the ingest columns, publish as bronze, check the counts.
 
-    The lines are parsed once. Bad lines are seen on the way; only if there are any, and a
-    place to put them, a second pass writes them out whole.
+    The lines are parsed once. Bad lines are seen on the way; only if there are any, a second
+    pass writes them out whole: to ``quarantine_path``, or else beside the bronze table. Where
+    bronze is overwritten they are too, so a replay does not double them.
     """
     raw = read_json_lines(spark, source_path)
     seen = Observation()
@@ -54,8 +55,12 @@ def ingest_json(
     rows = bronze_enrich(good_records(watched), source_path, ingest_ts)
     result = migrate_dataframe(rows, bronze, mode, log=log, job="json_to_bronze", layer="bronze")
     has_bad = bool(seen.get["bad"])
-    if has_bad and quarantine_path:
-        bad_records(raw).write.mode("append").json(quarantine_path)
+    if has_bad:
+        place = bad_records(raw).write.mode("overwrite" if mode == "overwrite" else "append")
+        if quarantine_path or isinstance(bronze, SnapshotTable):
+            place.json(quarantine_path or f"{bronze.root}.bad_lines")
+        else:
+            place.saveAsTable(f"{bronze.name}_bad_lines")
     return IngestResult(result, has_bad)
 
 

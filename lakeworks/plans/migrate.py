@@ -159,7 +159,7 @@ def migrate_in_batches(
             row |= {"row_count": count.get["n"], "success": True}
             row["bytes_processed"] = sum(f["length"] for f in files)
         except Exception as error:
-            row |= {"success": False, "error": str(error)[:2000]}
+            row |= {"success": False, "error": str(error)}
         return row | {"duration_seconds": time.time() - begun}
 
     # The loop goes over batch ids, not data: one round of first tries, then the retries.

@@ -331,7 +331,9 @@ class SnapshotTable:
         self, spark: SparkSession, schema: T.StructType, load: str
     ) -> tuple[Directories, int, int]:
         """Directories, rows and bytes of a load, read back from its files (no data column is)."""
-        if not [n for n in fs.child_names(spark, self._data(load)) if not n.startswith(("_", "."))]:
+        # As readers see it, a directory of a partition column may begin with an underscore.
+        names = fs.child_names(spark, self._data(load))
+        if not [n for n in names if "=" in n or not n.startswith(("_", "."))]:
             return {}, 0, 0
         reader = spark.read.schema(schema).option("basePath", self._data())
         found = (

@@ -41,15 +41,16 @@ def parse_values(stream: DataFrame, schema: T.StructType = RAW) -> DataFrame:
 def silver_stream(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The silver rules on a stream.
 
-    State is kept per transaction id only as long as the watermark allows. The first copy to
-    arrive stays, where a batch keeps the newest: they agree when copies are equal and arrive
-    within ``delay``. Rows later than the watermark are dropped, and rows without a timestamp,
-    which no watermark can place.
+    State is kept per transaction id for ``delay`` after it arrived. The first copy to arrive
+    stays, where a batch keeps the newest: they agree when copies are equal and arrive within
+    ``delay`` of each other. The watermark follows arrival, not the transactions' own time, so
+    no row is late, however old it is and however the input is cut into batches; rows without
+    a timestamp stay as well.
     """
     rows = raw.transform(typed).transform(successful).transform(positive)
     return (
-        rows.where(F.col("transaction_ts").isNotNull())
-        .withWatermark("transaction_ts", delay)
+        rows.withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", delay)
         .dropDuplicatesWithinWatermark(["transaction_id"])
         .select(*SILVER_COLUMNS)
     )
