@@ -255,30 +255,30 @@ def redacted(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first stays (the longer of two with one start). All other columns
     and all rows are kept.
     """
-    rows = _numbered(docs)
-    spans = find(rows.select("row", F.coalesce("text", F.lit("")).alias("text"))).select(
-        F.col("row").alias("_row"), F.col("spans").alias("_spans")
+    rows = docs.withColumn("_pii_row", F.monotonically_increasing_id())
+    spans = find(rows.select(F.col("_pii_row").alias("row"), F.coalesce("text", F.lit("")).alias("text"))).select(
+        F.col("row").alias("_pii_of"), F.col("spans").alias("_pii_spans")
     )
-    joined = rows.join(spans, F.col("row") == F.col("_row"), "left")
+    joined = rows.join(spans, F.col("_pii_row") == F.col("_pii_of"), "left")
     empty = F.expr("named_struct('end', 0L, 'kept', array())").cast(
         "struct<end:bigint,kept:array<struct<start:bigint,kind:int,end:bigint>>>"
     )
     kept = F.aggregate(
-        F.col("_spans"),
+        F.col("_pii_spans"),
         empty,
         lambda state, s: F.when(s["start"] >= state["end"], F.struct(s["end"].alias("end"), F.concat(state["kept"], F.array(s)).alias("kept"))).otherwise(state),
     )["kept"]
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    joined = joined.withColumn("_kept", kept)
+    joined = joined.withColumn("_pii_kept", kept)
     parts = F.transform(
-        F.col("_kept"),
+        F.col("_pii_kept"),
         lambda s, i: F.concat(
-            _between(F.when(i > 0, F.col("_kept")[i - 1]["end"]).otherwise(F.lit(0)), s["start"]),
+            _between(F.when(i > 0, F.col("_pii_kept")[i - 1]["end"]).otherwise(F.lit(0)), s["start"]),
             names[s["kind"]],
         ),
     )
-    tail = F.substring(F.col("text"), F.element_at("_kept", -1)["end"].cast("int") + 1, F.length("text"))
-    text = F.when(F.size("_kept") > 0, F.concat(F.concat_ws("", parts), tail)).otherwise(F.col("text"))
+    tail = F.substring(F.col("text"), F.element_at("_pii_kept", -1)["end"].cast("int") + 1, F.length("text"))
+    text = F.when(F.size("_pii_kept") > 0, F.concat(F.concat_ws("", parts), tail)).otherwise(F.col("text"))
     columns = [
         text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
         for c in docs.columns
