@@ -2,10 +2,10 @@
 
 The vocabulary are the words that come with label 1 more often than without, in the training
 rows and beyond chance (chi square); their document frequencies are counted over all documents. The training rows' vectors
-lie in an inverted index: examples are numbered in blocks, and every word knows its largest
-weight in each block. A query adds these up to a bound per block and looks into blocks in
-falling order, until no bound reaches its k-th best similarity: the neighbours are exact. They
-vote, weighted by nearness; a monotone map, learned on the training rows with each one left
+lie in an inverted index: examples are numbered in blocks, like ones together, and every word
+knows its largest weight in each block. A query adds these up to a bound per block and looks into
+blocks in falling order, until no bound reaches its k-th best similarity, or reaches it with
+larger ids only: the neighbours are exact. They vote, weighted by nearness; a monotone map, learned on the training rows with each one left
 out, turns votes into probabilities. The neighbours' ids are the evidence.
 """
 
@@ -28,7 +28,11 @@ LEAST_CHI_SQUARE = 30.0
 LEAST_ROWS = 3
 NEIGHBOURS = 16
 BLOCK_EXAMPLES = 64
-BLOCKS_AT_ONCE = 16
+LEADING_BITS = 20
+BLOCKS_AT_ONCE = 8
+#: Similarities are rounded to so many digits, so that equal ones tie.
+DIGITS = 12
+SLACK = 1e-11
 #: Weight of the base rate among the votes, and the distance at which a vote counts half.
 PRIOR_VOTES = 0.5
 HALF_DISTANCE = 0.1
@@ -38,12 +42,27 @@ def lowered(texts: list[str]) -> list[str]:
     return [text.lower() for text in texts]
 
 
-def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word hash, occurrences) of the distinct words of each text, by text."""
+def _heaviest_first(vector: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, float]]:
+    word, weight = vector
+    order = np.lexsort((word, -weight))
+    return list(zip(word[order].tolist(), weight[order].tolist()))
+
+
+def _distinct(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word hash, occurrences) of the distinct words of each text, by text; with a sorted
+    vocabulary, only its words."""
     words = Words(lowered(texts), WORD)
-    text = np.repeat(np.arange(len(texts)), words.count)
-    order = np.lexsort((words.hash, text))
-    text, word = text[order], words.hash[order]
+    text, word = np.repeat(np.arange(len(texts)), words.count), words.hash
+    if vocabulary is not None:
+        # Most words fall out by their first bits, without a search.
+        likely = np.zeros(1 << LEADING_BITS, bool)
+        shift = np.uint64(64 - LEADING_BITS)
+        likely[vocabulary >> shift] = True
+        text, word = text[likely[word >> shift]], word[likely[word >> shift]]
+        here = vocabulary[np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)] == word
+        text, word = text[here], word[here]
+    order = np.lexsort((word, text))
+    text, word = text[order], word[order]
     new = np.ones(len(word), bool)
     new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
     first = np.flatnonzero(new)
@@ -65,11 +84,9 @@ class Examples:
         if not len(self.vocabulary):
             return result
         for some in blocks(texts):
-            text, word, times = _distinct(texts[some])
-            place = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
-            here = self.vocabulary[place] == word
-            text, place = text[here], place[here]
-            weight = (1 + np.log(times[here])) * self.idf[place]
+            text, word, times = _distinct(texts[some], self.vocabulary)
+            place = np.searchsorted(self.vocabulary, word)
+            weight = (1 + np.log(times)) * self.idf[place]
             bounds = np.searchsorted(text, np.arange(some.stop - some.start + 1))
             for i in np.unique(text):
                 own = slice(bounds[i], bounds[i + 1])
@@ -77,17 +94,24 @@ class Examples:
         return result
 
     def index(self, ids: np.ndarray, labels: np.ndarray, vectors: list) -> None:
+        """Index the examples that have words; they are known by their number among these."""
         self.rate = (labels.sum() + 0.5) / (len(labels) + 1)
         filled = np.array([len(v[0]) > 0 for v in vectors], bool)
         without = labels[~filled]
         self.rate_without = (without.sum() + self.rate) / (len(without) + 1)
         vectors = [v for v in vectors if len(v[0])]
         self.ids, self.labels = ids[filled], labels[filled].astype(float)
+        # Like examples get neighbouring places, equal ones in the given order.
+        self.number = np.array(sorted(range(len(vectors)), key=lambda i: _heaviest_first(vectors[i])), np.int64)
+        vectors = [vectors[i] for i in self.number]
         count = np.array([len(v[0]) for v in vectors], np.int64)
         example = np.repeat(np.arange(len(vectors)), count)
         word = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
         self.n_blocks = -(-len(vectors) // BLOCK_EXAMPLES)
+        # The smallest number in each block: what it can win a tie with.
+        starts = np.arange(0, len(vectors), BLOCK_EXAMPLES)
+        self.first = np.minimum.reduceat(self.number, starts) if vectors else self.number
         # Postings by word, block and example; where each (word, block) begins; its largest weight.
         order = np.lexsort((example, word))
         self.example, self.weight = example[order], weight[order]
@@ -100,16 +124,19 @@ class Examples:
 
     def nearest(self, word: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and similarities of the ``k`` nearest, nearest first, ties to the smaller number."""
-        bound = weight @ self.most[word]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        bound = np.round(weight @ self.most[word], DIGITS)
+        order = np.flatnonzero(bound)
+        order = order[np.lexsort((self.first[order], -bound[order]))]
         found, score = np.empty(0, np.int64), np.empty(0)
         for start in range(0, len(order), BLOCKS_AT_ONCE):
             some = order[start : start + BLOCKS_AT_ONCE]
             if len(found) == k:
-                some = some[bound[some] >= score[-1] - 1e-12]
-                if not len(some):
+                if bound[some[0]] < score[-1] - SLACK:
                     break
+                ahead = self.first[some] < found[-1]
+                some = some[(bound[some] > score[-1] + SLACK) | ((bound[some] >= score[-1] - SLACK) & ahead)]
+                if not len(some):
+                    continue
             # The postings of all words in these blocks, and which of the words each one has.
             cells = (word[:, None] * self.n_blocks + some[None, :]).ravel()
             low, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
@@ -118,11 +145,11 @@ class Examples:
             own = np.repeat(np.repeat(weight, len(some)), size)
             slot = np.repeat(np.tile(np.arange(len(some)), len(word)), size)
             local = slot * BLOCK_EXAMPLES + self.example[postings] % BLOCK_EXAMPLES
-            sums = np.round(np.bincount(local, own * self.weight[postings], len(some) * BLOCK_EXAMPLES), 12)
+            sums = np.round(np.bincount(local, own * self.weight[postings], len(some) * BLOCK_EXAMPLES), DIGITS)
             if len(found) == k:
                 sums[sums < score[-1]] = 0
             here = np.flatnonzero(sums)
-            numbers = some[here // BLOCK_EXAMPLES] * BLOCK_EXAMPLES + here % BLOCK_EXAMPLES
+            numbers = self.number[some[here // BLOCK_EXAMPLES] * BLOCK_EXAMPLES + here % BLOCK_EXAMPLES]
             here, numbers = here[numbers != but], numbers[numbers != but]
             found, score = np.concatenate([found, numbers]), np.concatenate([score, sums[here]])
             best = np.lexsort((found, -score))[:k]
@@ -149,6 +176,15 @@ class Examples:
             # Half a row of the base rate keeps a pool from being certain.
             self.chance_at = np.array([(y + 0.5 * self.rate) / (n + 0.5) for y, n, _ in pools])
 
+    def scores(self, vectors: list) -> list[tuple[float, np.ndarray]]:
+        """The score of each vector; equal ones are looked up once."""
+        known: dict[tuple[bytes, bytes], tuple[float, np.ndarray]] = {}
+        keys = [(word.tobytes(), np.round(weight, DIGITS).tobytes()) for word, weight in vectors]
+        for key, vector in zip(keys, vectors):
+            if key not in known:
+                known[key] = self.score(vector)
+        return [known[key] for key in keys]
+
     def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
         if not len(vector[0]) or not len(self.ids):
             return float(self.rate_without), np.empty(0, np.int64)
@@ -165,11 +201,7 @@ def _word_counts(rows: DataFrame, schema: str, vocabulary: np.ndarray | None = N
         label = batch.column("label").to_numpy(zero_copy_only=False) if "label" in batch.schema.names else None
         words, labels = [], []
         for some in blocks(texts):
-            text, word, _ = _distinct(texts[some])
-            if vocabulary is not None:
-                place = np.minimum(np.searchsorted(vocabulary, word), max(0, len(vocabulary) - 1))
-                here = vocabulary[place] == word if len(vocabulary) else np.zeros(len(word), bool)
-                text, word = text[here], word[here]
+            text, word, _ = _distinct(texts[some], vocabulary)
             words.append(word)
             labels.append(label[some][text] if label is not None else np.zeros(len(word)))
         word, number = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_inverse=True)
@@ -211,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Examples:
     vocabulary = np.sort(np.array([r["word"] for r in picked], np.int64).view(np.uint64))
     # One row per word of the bounded vocabulary, counted over every document.
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    seen = {r["word"]: r["n"] for r in _word_counts(texts, counts, vocabulary).collect()}
+    seen = {r["word"]: r["n"] for r in _word_counts(texts, counts, vocabulary).collect()} if picked else {}
     total = docs.count()
     frequency = np.array([seen.get(int(w), 0) for w in vocabulary.view(np.int64)], float)
     model = Examples(vocabulary, 1 + np.log((1 + total) / (1 + frequency)))
@@ -225,8 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Examples:
         np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], float), vectors
     )
     filled = [v for v in vectors if len(v[0])]
-    votes = _left_out(docs.sparkSession, model, filled)
-    model.calibrate(votes)
+    model.calibrate(_left_out(docs.sparkSession, model, filled))
     return model
 
 
@@ -268,7 +299,7 @@ def scored(docs: DataFrame, model: Examples) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = shared.value
-        found = [known.score(v) for v in known.vectors(batch.column("text").to_pylist())]
+        found = known.scores(known.vectors(batch.column("text").to_pylist()))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
