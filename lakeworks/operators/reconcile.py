@@ -15,10 +15,14 @@ def reconcile(source: DataFrame, target: DataFrame, columns: Sequence[str] | Non
 
     The checksum does not depend on row order: the xor of all row hashes, and their sum. The
     xor alone would not see a pair of equal rows too many; the sum does. Both sides run in
-    one job that shuffles one row per task.
+    one job that shuffles one row per task. Columns of different types are compared in their
+    common type: an int equals the same long.
     """
     columns = list(columns or source.columns)
-    sides = _side(source, columns, True).unionAll(_side(target, columns, False))
+    flag = "_is_source"
+    # The union brings both sides to common types before they are hashed.
+    both = _side(source, target, columns, True).unionAll(_side(target, source, columns, False))
+    sides = both.select(row_hash(columns).alias("h"), F.col(flag).alias("is_source"))
     h, is_source = F.col("h"), F.col("is_source")
     src, dst = F.when(is_source, h), F.when(~is_source, h)
     wide = "decimal(38,0)"
@@ -68,5 +72,12 @@ def _message():
     return F.when(F.col("counts_match"), F.lit("row counts match")).otherwise(different)
 
 
-def _side(df: DataFrame, columns: Sequence[str], is_source: bool) -> DataFrame:
-    return df.select(row_hash(columns).alias("h"), F.lit(is_source).alias("is_source"))
+def _side(df: DataFrame, other: DataFrame, columns: Sequence[str], is_source: bool) -> DataFrame:
+    """The columns, as text where the other side has text: text need not be a number or a date."""
+    as_text = [
+        F.col(c).cast("string").alias(c)
+        if "string" in (df.schema[c].dataType.simpleString(), other.schema[c].dataType.simpleString())
+        else F.col(c)
+        for c in columns
+    ]
+    return df.select(*as_text, F.lit(is_source).alias("_is_source"))

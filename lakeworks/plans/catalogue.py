@@ -216,6 +216,14 @@ def latest_k_per_group(spark, sf_dir):
     return newest.select("event_type", "event_id", "rn")
 
 
+@register
+def latest_2000_per_group(spark, sf_dir):
+    """More rows per group than Spark's own group limit takes."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber")
+    newest = latest_per_group(items, ["l_returnflag"], 2000, ["l_shipdate", "l_orderkey", "l_linenumber"])
+    return newest.select("l_returnflag", "l_orderkey", "l_linenumber", "rn")
+
+
 # ---- quality
 
 
@@ -329,6 +337,15 @@ def reconcile_content(spark, sf_dir):
     return same.unionByName(changed)
 
 
+@register
+def reconcile_types(spark, sf_dir):
+    """The same values, in a wider type on one side and as text in the other."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    wider = reconcile(events.withColumn("user_id", F.col("user_id").cast("int")), events)
+    text = reconcile(events, events.withColumn("user_id", F.col("user_id").cast("string")))
+    return wider.withColumn("pair", F.lit("wider")).unionByName(text.withColumn("pair", F.lit("text")))
+
+
 @register
 def batch_plan(spark, sf_dir):
     return batches.batch_plan(_orders_as_files(spark, sf_dir), 2000 * MB)
@@ -376,7 +393,10 @@ def _items_as_listing(spark, sf_dir):
 @register
 def file_inventory_(spark, sf_dir):
     """The data files of the given tables themselves."""
-    names = ["lineitem", "orders", "customer", "part", "supplier", "events", "documents"]
+    names = [
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+        "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    ]
     listing = file_inventory(spark, {n: f"{sf_dir}/{n}.parquet" for n in names})
     return files.file_stats(listing)
 
@@ -462,6 +482,15 @@ def sla_compliance(spark, sf_dir):
     return metrics.sla_compliance(_events_as_runs(spark, sf_dir))
 
 
+@register
+def sla_unknown(spark, sf_dir):
+    """Runs of an SLA without a profile, and runs of none, are reported as well."""
+    runs = _events_as_runs(spark, sf_dir)
+    # Clicks, which have no output count, and errors, which did not succeed.
+    other = F.when(F.col("output_count").isNull(), F.lit("nightly")).when(F.col("success"), F.col("sla_name"))
+    return metrics.sla_compliance(runs.withColumn("sla_name", other))
+
+
 @register
 def quality_summary(spark, sf_dir):
     mean = F.round("average_quality_score", 6).alias("average_quality_score")
@@ -566,6 +595,36 @@ def migrate_batched(spark, sf_dir):
     return plain(migrate.read_batches(spark, f"{root}/target"))
 
 
+@register
+def migrate_batched_drift(spark, sf_dir):
+    """JSON files that differ in their columns, copied batch by batch."""
+    root = new_folder(spark, "drift")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id")
+    for flag, column in ((True, "value"), (False, "user_id")):
+        part = events.where((F.col("event_type") == "click") == flag).select("event_id", "event_type", column)
+        part.repartition(3).write.mode("append").json(f"{root}/source")
+    size = file_inventory(spark, {"t": f"{root}/source"}).agg(F.sum("length")).first()[0]
+    migrate.migrate_in_batches(
+        spark, f"{root}/source", f"{root}/target", "json", batch_bytes=max(1, size // 4)
+    )
+    return migrate.read_batches(spark, f"{root}/target").select("event_id", "event_type", "value", "user_id")
+
+
+@register
+def ingest_quarantine(spark, sf_dir):
+    """JSON lines of which some are cut off: where each one went."""
+    root = new_folder(spark, "quarantine")
+    bronze = SnapshotTable(f"{root}/bronze")
+    lines = spark.read.text(_raw_json(spark, sf_dir, root))
+    key = F.get_json_object("value", "$.transaction_id")
+    cut = F.when(key.like("%-7"), F.expr("left(value, length(value) - 3)")).otherwise(F.col("value"))
+    lines.select(cut.alias("value")).write.text(f"{root}/cut")
+    medallion.ingest_json(spark, f"{root}/cut", bronze, quarantine_path=f"{root}/bad", ingest_ts=INGESTED_AT)
+    bad = spark.read.text(f"{root}/bad").select(F.lit("bad").alias("place"))
+    placed = bronze.read(spark).select(F.lit("bronze").alias("place")).unionAll(bad)
+    return placed.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register
 def copy_deduplicated(spark, sf_dir):
     """Table to table with one row per key, with a gate on the number of rows."""
@@ -616,14 +675,49 @@ def stream_silver(spark, sf_dir):
     root = new_folder(spark, "silver")
     silver = cleanse.bronze_to_silver(transactions(spark, sf_dir))
     raw = silver.withColumn("transaction_ts", iso_text("transaction_ts")).select(*RAW_COLUMNS)
-    raw.unionAll(raw).write.json(f"{root}/raw")
-    rows = append.silver_stream(append.read_stream(spark, "json", RAW, f"{root}/raw"))
+    raw.unionAll(raw).repartition(6).write.json(f"{root}/raw")
+    rows = append.silver_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=2))
     append.append_stream(
         rows, f"{root}/checkpoint", path=f"{root}/target", available_now=True
     ).awaitTermination()
     return plain(spark.read.parquet(f"{root}/target"))
 
 
+@register
+def stream_silver_damaged(spark, sf_dir):
+    """Rows whose time is no time stay on the stream, as they do in a batch."""
+    root = new_folder(spark, "damaged")
+    raw = transactions(spark, sf_dir).withColumn("transaction_ts", iso_text("transaction_ts"))
+    # One row per id first: which of several stays would hang on the order of arrival.
+    raw = dedup(raw, ["transaction_id"], ["transaction_ts", "amount", "merchant_name", "merchant_category"])
+    damaged(raw, transaction_ts="no time").repartition(6).write.json(f"{root}/raw")
+    rows = append.silver_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=2))
+    append.append_stream(
+        rows, f"{root}/checkpoint", path=f"{root}/target", available_now=True
+    ).awaitTermination()
+    return plain(spark.read.parquet(f"{root}/target"))
+
+
+@register
+def hybrid_partitions(spark, sf_dir):
+    """A hand-over in which every partition of the source has got to another place."""
+    root = new_folder(spark, "partitions")
+    events = table(spark, sf_dir, "events").withColumn("part", F.pmod("user_id", F.lit(4)))
+    events.repartition(4).write.json(f"{root}/arriving")
+    stream = append.read_stream(spark, "json", events.schema, f"{root}/arriving", per_batch=2)
+    hybrid.backfill_then_stream(
+        # The first has got furthest, the last has no row in the backfill.
+        events.where("part < 3 AND dayofmonth(ts) < 20 - 5 * part"),
+        stream,
+        "event_id",
+        f"{root}/target",
+        f"{root}/checkpoint",
+        available_now=True,
+        partition="part",
+    ).query.awaitTermination()
+    return plain(hybrid.read_hybrid(spark, f"{root}/target").drop("part"))
+
+
 @register
 def hybrid_append(spark, sf_dir):
     """Events of the first half of the month in a batch, the rest by the stream that follows."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor, as_completed
@@ -107,6 +108,7 @@ def copy_table(
         source,
         target,
         lambda df: dedup(df, dedup_keys),
+        required=dedup_keys,
         gate=Gate(min_rows=min_rows),
         log=log,
         job="table_to_table",
@@ -131,10 +133,13 @@ def migrate_in_batches(
     ``<target_root>/plan`` says which file is in which batch, ``rows/batch_id=<n>`` holds the
     rows of a batch (a second run of it replaces them), ``log`` every attempt. Calling this
     again carries on where it stopped: batches that succeeded are not run again. Each batch
-    is an ordinary Spark job; ``parallelism`` of them share the cluster.
+    is an ordinary Spark job; ``parallelism`` of them share the cluster. Without a ``schema``
+    one is inferred over the whole source and kept in ``schema`` for all batches and restarts,
+    so files with different columns end up with all of them.
     """
     started = time.time()
     plan_path, log_path = f"{target_root}/plan", f"{target_root}/log"
+    schema_path = f"{target_root}/schema"
     if not fs.exists(spark, f"{plan_path}/_SUCCESS"):
         listing = file_inventory(spark, {"source": source_path})
         # Sorted, so that looking up one batch reads one file's row group.
@@ -142,6 +147,8 @@ def migrate_in_batches(
         planned.write.mode("overwrite").parquet(plan_path)
     plan = spark.read.parquet(plan_path)
     total = plan.agg(F.count_distinct("batch_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if schema is None and total[0]:
+        schema = _common_schema(spark, source_path, fmt, schema_path)
 
     def run(batch_id: int, attempt: int) -> dict:
         begun = time.time()
@@ -181,6 +188,17 @@ def migrate_in_batches(
     )
 
 
+def _common_schema(spark: SparkSession, source_path: str, fmt: str, kept: str) -> T.StructType:
+    """The columns of all files together, inferred once and then read from ``kept``."""
+    if not fs.exists(spark, f"{kept}/_SUCCESS"):
+        # json is inferred over all lines; of parquet and orc all footers are merged, in tasks.
+        reader = spark.read.format(fmt).option("mergeSchema", fmt in ("parquet", "orc")).option("header", True)
+        found = reader.load(source_path).schema
+        text = spark.createDataFrame([(found.json(),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(kept)
+    return T.StructType.fromJson(json.loads(spark.read.text(kept).first()["value"]))
+
+
 def read_batches(spark: SparkSession, target_root: str) -> DataFrame:
     """All rows of the batches that succeeded; what an interrupted one left is not read."""
     done = batch_state(_log(spark, f"{target_root}/log")).where("done").select("batch_id")

@@ -309,6 +309,14 @@ ORACLES: dict[str, str] = {
     "latest_k_per_group": """
         SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn
         FROM events QUALIFY rn <= 5""",
+    "latest_2000_per_group": """
+        SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (
+          PARTITION BY l_returnflag ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+        FROM lineitem QUALIFY rn <= 2000""",
+    "reconcile_types": """
+        SELECT pair, (SELECT count(*) FROM events) AS source_count, (SELECT count(*) FROM events) AS target_count,
+               true AS counts_match, true AS checksum_match, true AS passed, 'row counts match' AS message
+        FROM (VALUES ('wider'), ('text')) p(pair)""",
     "dq_not_null": _with_tx(
         _null_rule("amount_strict", "amount", 0, damaged=True), _null_rule("amount_lenient", "amount", 0.5, damaged=True)
     ),
@@ -440,6 +448,21 @@ ORACLES: dict[str, str] = {
         SELECT sla_name, runs, failed, breaches, at_risk, compliant, (runs - failed) / runs AS success_rate,
                breaches = 0 AND (runs - failed) / runs >= min_rate AS sla_met
         FROM c""",
+    "sla_unknown": f"""
+        WITH {_RUNS}, sla(sla_name, max_s, min_rate) AS (
+          VALUES ('critical_etl', 1800, 0.995), ('batch_migration', 14400, 0.99), ('analytical_workload', 7200, 0.98)),
+        r AS (
+          SELECT CASE event_type WHEN 'click' THEN 'nightly' WHEN 'error' THEN NULL ELSE runs.sla_name END AS sla_name,
+                 success, duration_seconds FROM runs JOIN events USING (event_id)),
+        c AS (
+          SELECT r.sla_name, min_rate, count(*) AS runs, count(*) FILTER (NOT success) AS failed,
+                 count(*) FILTER (success AND duration_seconds > max_s) AS breaches,
+                 count(*) FILTER (duration_seconds > CAST(0.8 AS DOUBLE) * max_s) AS at_risk,
+                 count(*) FILTER (success AND (max_s IS NULL OR duration_seconds <= max_s)) AS compliant
+          FROM r LEFT JOIN sla ON r.sla_name = sla.sla_name GROUP BY r.sla_name, min_rate)
+        SELECT sla_name, runs, failed, breaches, at_risk, compliant, (runs - failed) / runs AS success_rate,
+               CASE WHEN min_rate IS NOT NULL THEN breaches = 0 AND (runs - failed) / runs >= min_rate END AS sla_met
+        FROM c""",
     "quality_summary": """
         SELECT event_type AS sla_name, count(*) AS checks,
                round(avg(least(value / 100, 1.0)), 6) AS average_quality_score
@@ -458,6 +481,13 @@ ORACLES: dict[str, str] = {
     "medallion_report": f"WITH {_GOLD} {_GOLD_OUT}",
     "migrate_dataset": f"{_ORDERS_OUT} UNION ALL {_ORDERS_OUT}",
     "migrate_batched": _LINEITEM_OUT,
+    "migrate_batched_drift": """
+        SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value END AS value,
+               CASE WHEN event_type <> 'click' THEN user_id END AS user_id
+        FROM events WHERE event_type IS NOT NULL""",
+    "ingest_quarantine": f"""
+        WITH {_TX}, placed AS (SELECT CASE WHEN {_BAD} THEN 'bad' ELSE 'bronze' END AS place FROM tx)
+        SELECT place, count(*) AS n FROM placed GROUP BY place""",
     "copy_deduplicated": f"""
         WITH {_TX}
         SELECT transaction_id, amount, strftime(transaction_ts, '%Y-%m-%d %H:%M:%S') AS transaction_ts, merchant_name
@@ -468,6 +498,11 @@ ORACLES: dict[str, str] = {
     "sorted_table": _LINEITEM_OUT,
     "stream_append": f"WITH {_VALID} {_VALID_OUT} FROM valid",
     "stream_silver": f"WITH {_SILVER} {_VALID_OUT} FROM silver",
+    "stream_silver_damaged": f"""
+        WITH {_SILVER} {_VALID_OUT.replace("strftime(transaction_ts", f"strftime(CASE WHEN NOT {_BAD} THEN transaction_ts END").replace("strftime(transaction_date", f"strftime(CASE WHEN NOT {_BAD} THEN transaction_date END")}
+        FROM silver""",
+    "hybrid_partitions": """
+        SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events""",
     "hybrid_append": """
         SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events""",
 }

@@ -8,7 +8,8 @@ Layout under the table's root::
 A write lands in a load directory of its own, is audited there, and becomes visible when its
 manifest (one small file) appears. Readers see a whole version or the one before, and no data
 file is ever moved or changed. Of two writers that want to commit the same version, one finds
-it taken, fails, and leaves the table as the other made it; it may simply run again. (Where
+it taken: an append follows the version that won, any other write fails, takes its files away and
+leaves the table as the other made it; it may simply run again. (Where
 the storage cannot rename in one step, as some object stores, the caller must keep writers of
 one table apart.)
 """
@@ -106,13 +107,16 @@ class SnapshotTable:
         observed = observation.get
         try:
             directories, target_count, size = self._inspect(spark, df.schema, load)
+            if target_count != observed["row_count"]:
+                raise RuntimeError(
+                    f"Row count mismatch: source={observed['row_count']}, target={target_count}"
+                )
             written = self._read_directories(spark, df.schema, directories)
             score = check(spark, self.root, gate, observed, written)
+            snapshot_id = self._publish(df, mode, directories, version, previous)
         except Exception:
             fs.delete(spark, self._data(load))
             raise
-        keep = previous if mode == "append" else {}
-        snapshot_id = self._commit(spark, df.schema, keep | directories, version)
         return WriteResult(
             target=self.root,
             rows=observed["row_count"],
@@ -358,6 +362,23 @@ class SnapshotTable:
             fs.delete(spark, self._data(load))
             raise RuntimeError(f"{self.root}: rewrite changed the rows: {result.asDict()}")
 
+    def _publish(
+        self, df: DataFrame, mode: str, directories: Directories, version: int, previous: Directories
+    ) -> int:
+        """Commit a write. Appends commute: one that lost the race follows the version that won."""
+        spark = df.sparkSession
+        while True:
+            keep = previous if mode == "append" else {}
+            try:
+                return self._commit(spark, df.schema, keep | directories, version)
+            except Exception:
+                taken = self._version(spark) > version
+                if taken and directories and directories.keys() <= self._contents(spark)[1].keys():
+                    return version + 1  # the rename went through before the error came
+                if mode != "append" or not taken:
+                    raise
+                version, previous = self._check_mode(spark, df, mode)
+
     def _commit(self, spark: SparkSession, schema: T.StructType, directories: Directories, after: int) -> int:
         """Publish the version that follows ``after``, the one this write started from."""
         snapshot_id = after + 1

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakeworks.operators.cleanse import positive, successful, typed
 from lakeworks.schemas import RAW, SILVER_COLUMNS
+from lakeworks.sources.files import CORRUPT
+
+_PLACE = ("partition", "offset", "timestamp")
 
 
 def read_stream(
@@ -19,13 +22,17 @@ def read_stream(
     schema: T.StructType = RAW,
     path: str | None = None,
     options: Mapping[str, str] | None = None,
+    per_batch: int | None = None,
 ) -> DataFrame:
     """Rows from Kafka (JSON values) or from files as they arrive.
 
-    Kafka starts at the latest offsets unless told otherwise, and needs its package on the
+    ``per_batch`` bounds a batch, in files or in Kafka's offsets; without it one batch takes
+    all there is. Kafka starts at the latest offsets unless told otherwise, and needs its package on the
     classpath.
     """
     reader = spark.readStream.format(fmt).options(**(options or {}))
+    if per_batch is not None:
+        reader = reader.option("maxOffsetsPerTrigger" if fmt == "kafka" else "maxFilesPerTrigger", per_batch)
     if fmt != "kafka":
         return reader.schema(schema).load(path)
     if "startingOffsets" not in (options or {}):
@@ -34,8 +41,16 @@ def read_stream(
 
 
 def parse_values(stream: DataFrame, schema: T.StructType = RAW) -> DataFrame:
-    """The JSON in a binary ``value`` column as columns; values that are no JSON become nulls."""
-    return stream.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+    """The JSON in a binary ``value`` column as columns.
+
+    A value that is no JSON, or holds one of the wrong type, has its text in ``_corrupt_record``.
+    The place of a Kafka message stays beside it, as ``kafka_partition``, ``kafka_offset`` and
+    ``kafka_timestamp``.
+    """
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(F.col("value").cast("string"), with_corrupt, {"columnNameOfCorruptRecord": CORRUPT})
+    place = {f"kafka_{c}": F.col(c) for c in _PLACE if c in stream.columns}
+    return stream.select(parsed.alias("r"), *[c.alias(n) for n, c in place.items()]).select("r.*", *place)
 
 
 def silver_stream(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -68,7 +83,7 @@ def append_stream(
     """Start appending a stream to a table or a Parquet path.
 
     ``checkpoint`` must outlive the driver: with it a restart goes on exactly where the last
-    run stopped. ``available_now`` works off what is there in bounded batches and stops;
+    run stopped. ``available_now`` works off what is there and stops;
     started again without it from the same checkpoint, the stream carries on from there.
     """
     if (table is None) == (path is None):

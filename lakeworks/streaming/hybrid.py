@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,10 +16,11 @@ from lakeworks.streaming.append import append_stream
 
 @dataclass(frozen=True)
 class Hybrid:
-    """The running stream and the position up to which the backfill went."""
+    """The running stream and the position up to which the backfill went: as text, or per
+    partition where there are some."""
 
     query: StreamingQuery
-    high_water_mark: object
+    high_water_mark: str | dict[str, str] | None
 
 
 def backfill_then_stream(
@@ -30,36 +31,46 @@ def backfill_then_stream(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     available_now: bool = False,
+    partition: str | None = None,
 ) -> Hybrid:
-    """Write all of ``backfill``, then append what the stream holds beyond it.
+    """Write ``backfill``, then append what the stream holds beyond it.
 
-    ``position`` must grow in the order rows arrive (an offset, an ingest sequence). Its
-    highest value in the backfill is noted while the rows are written and kept with the
-    checkpoint; the stream takes only rows beyond it, so rows that arrive during the backfill
-    are not lost and none comes twice. A restart after a finished backfill goes straight to
-    the stream; one in the middle of it writes the backfill anew, in place of the old.
+    ``position`` must grow in the order rows arrive (an offset, an ingest sequence): within
+    each value of ``partition``, if given, or else overall. Its highest values are noted first and
+    kept with the checkpoint; the backfill is written up to them and the stream takes what is
+    beyond, so rows that arrive during the backfill are not lost and none comes twice. Partitions
+    that the backfill does not have go to the stream whole. Rows without a position cannot be
+    told apart: both sides keep theirs. A restart after a finished backfill goes straight
+    to the stream; one in the middle of it writes the backfill anew, in place of the old.
     """
     spark = backfill.sparkSession
     kind = backfill.schema[position].dataType.simpleString()
-    mark = _read_mark(spark, checkpoint)
-    if mark is None:
-        seen = Observation()
-        # A maximum does not change when a task that ran before is counted again.
-        rows = backfill.observe(seen, F.max(F.col(position)).cast("string").alias("mark"))
+    key = F.lit("") if partition is None else F.coalesce(F.col(partition).cast("string"), F.lit(""))
+
+    def beyond(marks: dict[str, str]):
+        """True, false, or null for a row without a position."""
+        if not marks:
+            return F.col(position).isNotNull() | F.lit(None).cast("boolean")
+        known = F.create_map(*[F.lit(text) for mark in marks.items() for text in mark])
+        last = F.try_element_at(known, key).cast(kind)
+        return F.when(F.col(position).isNotNull(), F.coalesce(F.col(position) > last, F.lit(True)))
+
+    marks = _read_marks(spark, checkpoint)
+    if marks is None:
+        # One row per partition of the source, of which there are few.
+        highest = backfill.groupBy(key.alias("key")).agg(F.max(position).cast("string").alias("mark"))
+        marks = {r["key"]: r["mark"] for r in highest.where("mark IS NOT NULL").collect()}
+        rows = backfill.where(~F.coalesce(beyond(marks), F.lit(False)))
         rows.transform(transform).write.mode("overwrite").parquet(f"{target}/backfill")
-        mark = {"mark": seen.get["mark"]}
-        text = spark.createDataFrame([(json.dumps(mark),)], "value string")
+        text = spark.createDataFrame([(json.dumps(marks),)], "value string")
         text.coalesce(1).write.mode("overwrite").text(f"{checkpoint}/backfill")
-    beyond = stream
-    if mark["mark"] is not None:
-        beyond = stream.where(F.col(position) > F.lit(mark["mark"]).cast(kind))
     query = append_stream(
-        beyond.transform(transform),
+        stream.where(F.coalesce(beyond(marks), F.lit(True))).transform(transform),
         f"{checkpoint}/stream",
         path=f"{target}/stream",
         available_now=available_now,
     )
-    return Hybrid(query, mark["mark"])
+    return Hybrid(query, marks.get("") if partition is None else marks)
 
 
 def read_hybrid(spark: SparkSession, target: str) -> DataFrame:
@@ -71,7 +82,7 @@ def read_hybrid(spark: SparkSession, target: str) -> DataFrame:
     return backfill.unionByName(streamed)
 
 
-def _read_mark(spark: SparkSession, checkpoint: str) -> dict | None:
+def _read_marks(spark: SparkSession, checkpoint: str) -> dict[str, str] | None:
     if not fs.exists(spark, f"{checkpoint}/backfill/_SUCCESS"):
         return None
     return json.loads(spark.read.text(f"{checkpoint}/backfill").first()["value"])

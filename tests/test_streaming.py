@@ -113,3 +113,32 @@ def test_empty_backfill_streams_everything(spark, root):
         empty, stream, "seq", f"{root}/out", f"{root}/checkpoint", available_now=True
     ).query.awaitTermination()
     assert read_hybrid(spark, f"{root}/out").count() == 4
+
+
+def test_slower_partitions_and_rows_without_position_are_kept(spark, tmp_path):
+    schema = "part int, position long, name string"
+    backfill = spark.createDataFrame([(0, 10, "a"), (1, 2, "b")], schema)
+    arriving = [(0, 10, "a"), (0, 11, "c"), (1, 2, "b"), (1, 3, "d"), (2, 1, "e"), (0, None, "f")]
+    spark.createDataFrame(arriving, schema).write.json(str(tmp_path / "in"))
+    stream = read_stream(spark, "json", backfill.schema, str(tmp_path / "in"), per_batch=1)
+    handed = backfill_then_stream(
+        backfill,
+        stream,
+        "position",
+        str(tmp_path / "out"),
+        str(tmp_path / "checkpoint"),
+        available_now=True,
+        partition="part",
+    )
+    handed.query.awaitTermination()
+    assert handed.high_water_mark == {"0": "10", "1": "2"}
+    assert sorted(r.name for r in read_hybrid(spark, str(tmp_path / "out")).collect()) == list("abcdef")
+
+
+def test_messages_keep_their_place_and_bad_ones_their_text(spark):
+    df = spark.createDataFrame(
+        [('{"transaction_id": "x"}', 3, 7), ("broken", 4, 8)], "value string, partition int, offset long"
+    )
+    good, bad = parse_values(df).orderBy("kafka_offset").collect()
+    assert (good.transaction_id, good.kafka_partition, good._corrupt_record) == ("x", 3, None)
+    assert (bad.transaction_id, bad.kafka_offset, bad._corrupt_record) == (None, 8, "broken")

@@ -285,3 +285,38 @@ def test_maintenance_sweep(spark, root):
     assert [(r["table"], r["rewrite"]) for r in done] == [("busy", "compact"), ("quiet", "none")]
     assert busy.files(spark).count() == 1 and rows(busy.read(spark)) == rows(numbers(spark, 5000))
     assert busy.snapshot_ids(spark) == [2] and quiet.snapshot_ids(spark) == [1]
+
+
+def test_an_append_that_lost_the_race_follows_the_winner(spark, tmp_path, monkeypatch):
+    target = SnapshotTable(str(tmp_path / "race"))
+    target.write(spark.range(3))
+    check, raced = SnapshotTable._check_mode, []
+
+    def with_rival(self, session, df, mode):
+        seen = check(self, session, df, mode)
+        if not raced:
+            raced.append(True)
+            target.write(spark.range(10, 12), "append")
+        return seen
+
+    monkeypatch.setattr(SnapshotTable, "_check_mode", with_rival)
+    target.write(spark.range(20, 21), "append")
+    assert sorted(r.id for r in target.read(spark).collect()) == [0, 1, 2, 10, 11, 20]
+    assert target.snapshot_ids(spark) == [1, 2, 3]
+
+
+def test_rows_that_did_not_arrive_are_not_published(spark, tmp_path, monkeypatch):
+    target = SnapshotTable(str(tmp_path / "short"))
+    target.write(spark.range(3))
+    inspect = SnapshotTable._inspect
+
+    def one_short(self, *args):
+        directories, rows, size = inspect(self, *args)
+        return directories, rows - 1, size
+
+    monkeypatch.setattr(SnapshotTable, "_inspect", one_short)
+    with pytest.raises(RuntimeError, match="source=5, target=4"):
+        target.write(spark.range(5))
+    assert target.snapshot_ids(spark) == [1]
+    assert target.read(spark).count() == 3
+    assert len(list((tmp_path / "short" / "data").iterdir())) == 1
