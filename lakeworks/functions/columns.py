@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,21 @@ def money(col: Column | str) -> Column:
 def iso_text(col: Column | str) -> Column:
     """Timestamp as ISO-8601 text with seconds and no zone."""
     return F.date_format(as_column(col), ISO_SECONDS)
+
+
+def by_bounds(col: Column, bounds: Sequence[float], leaves: Sequence) -> Column:
+    """The leaf between whose bounds (sorted, one fewer than leaves) a value lies.
+
+    A tree of comparisons: it compiles to a handful of branches per row, where a search in an
+    array would call a lambda for every bound.
+    """
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(leaves[low])
+        middle = (low + high) // 2
+        return F.when(col >= F.lit(float(bounds[middle])), search(middle + 1, high)).otherwise(
+            search(low, middle)
+        )
+
+    return search(0, len(leaves) - 1)

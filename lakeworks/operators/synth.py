@@ -13,11 +13,13 @@ from itertools import combinations_with_replacement
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeworks.functions.columns import by_bounds, iso_text, parse_ts
 from lakeworks.functions.hashing import pick, pick_weighted, uniform, uniform_int
 from lakeworks.schemas import RAW_COLUMNS
+from lakeworks.sources.scratch import new_folder
 
 # The domains of the transaction columns.
 TRANSACTION_TYPES = ["DEBIT", "CREDIT", "TRANSFER", "UPI", "NEFT", "RTGS", "IMPS"]
@@ -36,10 +38,10 @@ MERCHANT_CATEGORIES = [
 ]
 STATUS_WEIGHTS = {"SUCCESS": 0.92, "FAILED": 0.05, "PENDING": 0.03}
 
-# More distinct values than this are not a category: their list would not fit an expression.
+# A column of more distinct values keeps their shares in a table, not in an expression.
 MAX_CATEGORIES = 1000
 # Normal scores: how finely numbers are told apart when correlations are learned, and the
-# table that turns scores back into numbers.
+# table that turns scores back into numbers. Defaults of ``learn`` and ``sample``.
 NORMAL = NormalDist()
 SCORE_BINS = 32
 SCORE_STEPS = 1000
@@ -81,88 +83,198 @@ def _uuid(text: Column) -> Column:
 # ---- learned from a table: a Gaussian copula over its columns
 
 
+@dataclass(frozen=True)
+class Shares:
+    """Value shares of a column with many values, as a table.
+
+    The rows that hold a value are numbered from 0 to ``total``, value by value. ``table`` has a row
+    for each value and each cell (``width`` numbers) it reaches into: ``cell``, ``first``, ``end``
+    (excluded) and ``value``. There are about as many cells as values, so a cell is met by few
+    rows and a frequent value is spread over many cells.
+    """
+
+    table: DataFrame
+    total: int
+    width: int
+
+
 @dataclass(frozen=True)
 class Profile:
-    """Distribution of each column and the correlation between them. Its size is bounded.
+    """Distribution of each column and the correlation between them.
 
-    ``grids`` holds evenly spaced quantiles of the numeric columns, ``shares`` the share of
-    each value of the categorical ones, most frequent first.
+    ``grids`` holds evenly spaced quantiles of the numeric columns (``times`` among them, in
+    seconds since 1970), ``shares`` the share of each value of the categorical ones, most
+    frequent first. Their size is bounded; ``tables`` are the shares of columns with more values.
+    ``nulls`` is the share of nulls by column. ``ids`` are made anew for every row.
     """
 
     grids: Mapping[str, Sequence[float]] = field(default_factory=dict)
     shares: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
     correlation: np.ndarray | None = None
+    tables: Mapping[str, Shares] = field(default_factory=dict)
+    nulls: Mapping[str, float] = field(default_factory=dict)
+    times: Sequence[str] = ()
+    ids: Sequence[str] = ()
 
     @property
-    def columns(self) -> list[str]:
+    def correlated(self) -> list[str]:
         return [*self.grids, *self.shares]
 
+    @property
+    def columns(self) -> list[str]:
+        return [*self.correlated, *self.tables, *self.ids]
+
 
 def learn(
-    df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), steps: int = 100
+    df: DataFrame,
+    numeric: Sequence[str] = (),
+    categorical: Sequence[str] = (),
+    steps: int = 100,
+    times: Sequence[str] = (),
+    ids: Sequence[str] = (),
+    bins: int = SCORE_BINS,
+    max_categories: int = MAX_CATEGORIES,
 ) -> Profile:
-    """Learn a profile: one pass for the quantiles, one for the shares, one for correlations.
+    """Learn a profile: one pass for quantiles and nulls, one for the shares, one for correlations.
 
-    Every pass is a plain aggregate that combines per task; what reaches the driver is
-    ``steps`` numbers per numeric column and at most ``MAX_CATEGORIES`` values per category.
+    Every pass is a plain aggregate that combines per task. What reaches the driver is ``steps``
+    numbers per numeric column and at most ``max_categories`` values per category; a column with
+    more values stays in a table and is drawn on its own. ``bins`` is how many levels of a number
+    the correlations tell apart. Columns of ``ids`` are not looked at.
     """
+    scored = [*numeric, *times]
+    df = df.select(
+        *[F.col(c).cast("double").alias(c) for c in numeric],
+        *[parse_ts(c).cast("double").alias(c) for c in times],
+        *[F.col(c).cast("string").alias(c) for c in categorical],
+    )
     probabilities = [i / steps for i in range(steps + 1)]
-    grids: dict[str, list[float]] = {}
-    if numeric:
-        row = df.agg(
-            *[F.percentile_approx(F.col(c).cast("double"), probabilities, 10000).alias(c) for c in numeric]
-        ).first()
-        grids = {c: list(row[c] or []) for c in numeric}
-    shares = {c: {} for c in categorical}
-    if categorical:
-        limit = MAX_CATEGORIES * len(categorical)
-        counts = (
-            df.select(F.explode(F.create_map(*_pairs(categorical))).alias("column", "value"))
-            .where("value IS NOT NULL")
-            .groupBy("column", "value")
-            .count()
-            .limit(limit + 1)
-            .collect()
-        )
-        for c in categorical:
-            found = sorted((-r["count"], r["value"]) for r in counts if r["column"] == c)
-            if len(found) > MAX_CATEGORIES or len(counts) > limit:
-                raise ValueError(f"more than {MAX_CATEGORIES} values per categorical column")
-            total = -sum(n for n, _ in found)
-            shares[c] = {value: -n / total for n, value in found}
-    return Profile(grids, shares, _correlation(df, grids, shares))
-
-
-def sample(ids: DataFrame, profile: Profile, key: str = "id", seed: int = 0) -> DataFrame:
-    """One row per key with the profile's columns, distributed and correlated like the source."""
-    columns = profile.columns
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(c).alias(f"n_{c}") for c in df.columns],
+        *[F.percentile_approx(c, probabilities, 10000).alias(f"q_{c}") for c in scored],
+    ).first()
+    nulls = {c: 1 - row[f"n_{c}"] / row["rows"] for c in df.columns} if row["rows"] else {}
+    grids = {c: list(row[f"q_{c}"] or []) for c in scored}
+    shares, tables = _value_shares(df, categorical, max_categories)
+    return Profile(grids, shares, _correlation(df, grids, shares, bins), tables, nulls, tuple(times), tuple(ids))
+
+
+def sample(
+    ids: DataFrame, profile: Profile, key: str = "id", seed: int = 0, max_score: float = MAX_SCORE
+) -> DataFrame:
+    """One row per key with the profile's columns, distributed and correlated like the source.
+
+    Normal scores beyond ``max_score`` count as that: with 5, one draw in 1.7 million.
+    """
+    columns = profile.correlated
     k = F.xxhash64(F.col(key), F.lit(seed))
     noise = [_normal_draw(k, f"noise:{c}") for c in columns]
-    drawn = ids.select(key, *[e.alias(f"e{i}") for i, e in enumerate(noise)])
-    root = np.eye(len(columns)) if profile.correlation is None else _root(profile.correlation)
-    scores = drawn.select(
+    places = {c: uniform_int(k, f"place:{c}", 0, t.total - 1) for c, t in profile.tables.items()}
+    drawn = ids.select(
         key,
-        *[
-            sum((F.col(f"e{j}") * F.lit(float(root[i, j])) for j in range(i + 1)), F.lit(0.0)).alias(c)
-            for i, c in enumerate(columns)
-        ],
+        k.alias("_k"),
+        *[e.alias(f"e{i}") for i, e in enumerate(noise)],
+        *[p.alias(f"_at_{c}") for c, p in places.items()],
+    )
+    root = np.eye(len(columns)) if profile.correlation is None else _root(profile.correlation)
+    scores = {
+        c: sum((F.col(f"e{j}") * F.lit(float(root[i, j])) for j in range(i + 1)), F.lit(0.0))
+        for i, c in enumerate(columns)
+    }
+    rows = drawn.select(
+        key, "_k", *[f"_at_{c}" for c in places], *[s.alias(f"_z_{c}") for c, s in scores.items()]
+    )
+    for c, t in profile.tables.items():
+        cells = t.table.select([F.col(n).alias(f"_{n}_{c}") for n in ("cell", "first", "end", "value")])
+        at = F.col(f"_at_{c}")
+        met = F.floor(at / t.width) == F.col(f"_cell_{c}")
+        rows = rows.join(cells, met & (at >= F.col(f"_first_{c}")) & (at < F.col(f"_end_{c}")))
+    values = {c: _number_at(F.col(f"_z_{c}"), grid, max_score) for c, grid in profile.grids.items()}
+    values |= {c: iso_text(F.timestamp_seconds(F.round(values[c]))) for c in profile.times}
+    values |= {c: _category_at(F.col(f"_z_{c}"), share) for c, share in profile.shares.items()}
+    values |= {c: F.col(f"_value_{c}") for c in profile.tables}
+    for c, share in profile.nulls.items():
+        if 0 < share:
+            values[c] = F.when(uniform("_k", f"null:{c}") >= F.lit(share), values[c])
+    values |= {c: _uuid(F.concat_ws(":", F.lit(seed), F.lit(c), F.col(key))) for c in profile.ids}
+    return rows.select(key, *[values[c].alias(c) for c in profile.columns])
+
+
+def learn_transactions(df: DataFrame) -> Profile:
+    """All 14 columns of raw transactions."""
+    special = {"transaction_id", "transaction_ts", "amount", "balance_after"}
+    return learn(
+        df,
+        ["amount", "balance_after"],
+        [c for c in RAW_COLUMNS if c not in special],
+        times=["transaction_ts"],
+        ids=["transaction_id"],
+    )
+
+
+def learned_transactions(ids: DataFrame, profile: Profile, key: str = "id", seed: int = 0) -> DataFrame:
+    """One raw transaction per key, drawn from what ``learn_transactions`` found."""
+    return sample(ids.select(F.col(key).alias("_key")), profile, "_key", seed).select(*RAW_COLUMNS)
+
+
+def _value_shares(df: DataFrame, columns: Sequence[str], most: int) -> tuple[dict, dict]:
+    """Shares of the values of each column: in a dictionary up to ``most`` values, else in a table."""
+    if not columns:
+        return {}, {}
+    folder = new_folder(df.sparkSession, "shares")
+    (
+        df.select(F.explode(F.create_map(*_pairs(columns))).alias("column", "value"))
+        .where("value IS NOT NULL")
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .write.parquet(f"{folder}/counts")
+    )
+    counts = df.sparkSession.read.parquet(f"{folder}/counts")
+    sizes = {
+        r["column"]: r
+        for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total")).collect()
+    }
+    large = [c for c in columns if c in sizes and sizes[c]["values"] > most]
+    found = counts.where(~F.col("column").isin(large)).collect()
+    shares = {}
+    for c in columns:
+        if c not in large:
+            own = sorted((-r["n"], r["value"]) for r in found if r["column"] == c)
+            shares[c] = {value: -n / sizes[c]["total"] for n, value in own}
+    return shares, {c: _share_table(counts, c, sizes[c], f"{folder}/{i}") for i, c in enumerate(large)}
+
+
+def _share_table(counts: DataFrame, column: str, size, path: str) -> Shares:
+    """Number the rows of a column's values: sums over at most 4,096 groups, then within each."""
+    width = -(-size["total"] // size["values"])
+    own = counts.where(F.col("column") == column).withColumn("group", F.substring(F.md5("value"), 1, 3))
+    before = Window.unboundedPreceding
+    ahead = own.groupBy("group").agg(F.sum("n").alias("n")).select(
+        "group",
+        F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(before, -1)), F.lit(0)).alias("ahead"),
     )
-    values = {c: _number_at(F.col(c), grid) for c, grid in profile.grids.items()}
-    values |= {c: _category_at(F.col(c), share) for c, share in profile.shares.items()}
-    return scores.select(key, *[values[c].alias(c) for c in columns])
+    within = Window.partitionBy("group").orderBy("value").rowsBetween(before, 0)
+    placed = own.withColumn("upto", F.sum("n").over(within)).join(ahead, "group")
+    placed = placed.select("value", (F.col("ahead") + F.col("upto")).alias("end"), "n")
+    first, cell = F.col("end") - F.col("n"), lambda at: F.floor(at / width)
+    placed.select(
+        F.explode(F.sequence(cell(first), cell(F.col("end") - 1))).alias("cell"), first.alias("first"), "end", "value"
+    ).write.parquet(path)
+    return Shares(counts.sparkSession.read.parquet(path), size["total"], width)
 
 
 def _pairs(columns: Sequence[str]) -> list[Column]:
     return [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
 
 
-def _correlation(df: DataFrame, grids: Mapping, shares: Mapping) -> np.ndarray:
+def _correlation(df: DataFrame, grids: Mapping, shares: Mapping, bins: int) -> np.ndarray:
     """Correlations of the normal scores, from their sums and products in one aggregate.
 
     A missing value counts as a middling one (score 0). Scores are small numbers around 0, so
     plain sums lose nothing; a constant column has no correlation.
     """
-    scores = [_number_score(F.col(c), grid) for c, grid in grids.items()]
+    scores = [_number_score(F.col(c), grid, bins) for c, grid in grids.items()]
     scores += [_category_score(F.col(c), share) for c, share in shares.items()]
     if len(scores) < 2:
         return np.eye(len(scores))
@@ -205,31 +317,13 @@ def _constants(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _by_bounds(col: Column, bounds: Sequence[float], leaves: Sequence) -> Column:
-    """The leaf between whose bounds (sorted, one fewer than leaves) a value lies.
-
-    A tree of comparisons: it compiles to a handful of branches per row, where a search in an
-    array would call a lambda for every bound.
-    """
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(leaves[low])
-        middle = (low + high) // 2
-        return F.when(col >= F.lit(float(bounds[middle])), search(middle + 1, high)).otherwise(
-            search(low, middle)
-        )
-
-    return search(0, len(leaves) - 1)
-
-
-def _number_score(col: Column, grid: Sequence[float]) -> Column:
+def _number_score(col: Column, grid: Sequence[float], bins: int) -> Column:
     """Normal score of a number: of the middle of its stretch of the distribution."""
     if not grid:
         return F.lit(None).cast("double")
-    bounds = np.interp(np.arange(1, SCORE_BINS) / SCORE_BINS, np.linspace(0, 1, len(grid)), grid)
-    leaves = [NORMAL.inv_cdf((i + 0.5) / SCORE_BINS) for i in range(SCORE_BINS)]
-    return F.when(col.isNotNull(), _by_bounds(col.cast("double"), bounds, leaves))
+    bounds = np.interp(np.arange(1, bins) / bins, np.linspace(0, 1, len(grid)), grid)
+    leaves = [NORMAL.inv_cdf((i + 0.5) / bins) for i in range(bins)]
+    return F.when(col.isNotNull(), by_bounds(col.cast("double"), bounds, leaves))
 
 
 def _category_score(col: Column, share: Mapping[str, float]) -> Column:
@@ -242,14 +336,14 @@ def _category_score(col: Column, share: Mapping[str, float]) -> Column:
     return F.try_element_at(_constants(middles), F.nullif(position.cast("int"), F.lit(0)))
 
 
-def _number_at(z: Column, grid: Sequence[float]) -> Column:
+def _number_at(z: Column, grid: Sequence[float], max_score: float) -> Column:
     """The number with a given normal score, from a table over evenly spaced scores."""
     if not grid:
         return F.lit(None).cast("double")
-    scores = np.linspace(-MAX_SCORE, MAX_SCORE, SCORE_STEPS + 1)
+    scores = np.linspace(-max_score, max_score, SCORE_STEPS + 1)
     shares = [NORMAL.cdf(float(x)) for x in scores]
     table = _constants(np.interp(shares, np.linspace(0, 1, len(grid)), grid))
-    at = (z + F.lit(MAX_SCORE)) * F.lit(SCORE_STEPS / (2 * MAX_SCORE))
+    at = (z + F.lit(max_score)) * F.lit(SCORE_STEPS / (2 * max_score))
     at = F.least(F.greatest(at, F.lit(0.0)), F.lit(float(SCORE_STEPS)))
     low = F.least(at.cast("int"), F.lit(SCORE_STEPS - 1))
     left, right = F.element_at(table, low + 1), F.element_at(table, low + 2)
@@ -262,7 +356,7 @@ def _category_at(z: Column, share: Mapping[str, float]) -> Column:
         return F.lit(None).cast("string")
     upto = np.cumsum(list(share.values()))[:-1]
     bounds = [NORMAL.inv_cdf(min(float(u), 1 - 1e-12)) for u in upto]
-    return _by_bounds(z, bounds, list(share))
+    return by_bounds(z, bounds, list(share))
 
 
 def _normal_draw(seed: Column, salt: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeworks.functions.columns import iso_text, money, parse_date, parse_ts
+from lakeworks.functions.columns import by_bounds, iso_text, money, parse_date, parse_ts
 from lakeworks.operators import batches, cleanse, files, metrics, profile, quality, report, synth
 from lakeworks.operators.dedup import dedup
 from lakeworks.operators.reconcile import reconcile, reconcile_counts
@@ -533,11 +533,78 @@ def synthetic_domains(spark, sf_dir):
 @register
 def synthetic_learned(spark, sf_dir):
     """As many rows as there are transactions, drawn from what is learned from all of them."""
-    columns = ["amount", "balance_after", "transaction_type", "merchant_category", "channel", "status"]
-    tx = transactions(spark, sf_dir, columns)
-    learned = synth.learn(tx, columns[:2], columns[2:])
+    learned = synth.learn_transactions(transactions(spark, sf_dir))
     keys = transactions(spark, sf_dir, ["transaction_id"])
-    return synth.sample(keys, learned, "transaction_id", seed=42)
+    return synth.learned_transactions(keys, learned, "transaction_id", seed=42)
+
+
+# Value shares of the learned rows may differ by this much from those of their source.
+SHARE_TOLERANCE = 0.03
+
+
+@register
+def synthetic_learned_fit(spark, sf_dir):
+    """Per column of the learned rows: how many there are, and whether they fit their source.
+
+    The source has nulls in some columns. ``nulls_fit`` and ``shares_fit`` compare shares of nulls
+    and of values (of numbers and times: of the tenths of the source they fall in) within
+    ``SHARE_TOLERANCE``; ``unknown_values`` counts rows with a value the source does not have.
+    """
+    root = new_folder(spark, "fit")
+    source = transactions(spark, sf_dir)
+    line = F.substring_index("transaction_id", "-", -1)
+    source = source.withColumns(
+        {
+            "merchant_name": F.when(line != "2", F.col("merchant_name")),
+            "channel": F.when(line != "3", F.col("channel")),
+            "amount": F.when(line != "4", F.col("amount")),
+        }
+    )
+    source.write.parquet(f"{root}/source")
+    source = spark.read.parquet(f"{root}/source")
+    learned = synth.learn_transactions(source)
+    keys = source.select("transaction_id")
+    synth.learned_transactions(keys, learned, "transaction_id", seed=42).write.parquet(f"{root}/made")
+    made = spark.read.parquet(f"{root}/made")
+    numbers = ["amount", "balance_after", "transaction_ts"]
+    seconds = {"transaction_ts": parse_ts("transaction_ts").cast("double")}
+    tenths = [i / 10 for i in range(1, 10)]
+    bounds = (
+        source.withColumns(seconds).agg(*[F.percentile_approx(c, tenths, 10000).alias(c) for c in numbers]).first()
+    )
+
+    def counted(rows, side):
+        rows = rows.withColumns(seconds)
+        values = {c: F.col(c).cast("string") for c in RAW_COLUMNS if c not in numbers and c != "transaction_id"}
+        for c in numbers:
+            tenth = by_bounds(F.col(c).cast("double"), bounds[c], [str(i) for i in range(10)])
+            values[c] = F.when(F.col(c).isNotNull(), tenth)
+        pairs = F.create_map(*[x for c, v in values.items() for x in (F.lit(c), v)])
+        counts = rows.select(F.explode(pairs).alias("column", "value"))
+        return counts.groupBy("column", "value").agg(F.count(F.lit(1)).alias(side))
+
+    n, wanted = made.count(), source.count()
+    here, there = counted(source, "here"), counted(made, "there")
+    both = here.withColumnRenamed("column", "c").withColumnRenamed("value", "v").join(
+        there, F.col("c").eqNullSafe(F.col("column")) & F.col("v").eqNullSafe(F.col("value")), "full"
+    )
+    share = lambda side, of: F.coalesce(F.col(side), F.lit(0)) / F.lit(float(max(of, 1)))
+    off = F.abs(share("there", n) - share("here", wanted)) > SHARE_TOLERANCE
+    known = F.coalesce("c", "column")
+    fits = both.groupBy(known.alias("column")).agg(
+        F.sum("there").alias("n"),
+        (F.count_if(off & F.coalesce("v", "value").isNull()) == 0).alias("nulls_fit"),
+        (F.count_if(off & F.coalesce("v", "value").isNotNull()) == 0).alias("shares_fit"),
+        F.coalesce(F.sum(F.when(F.col("here").isNull(), F.col("there"))), F.lit(0)).alias("unknown_values"),
+    )
+    ids = made.agg(
+        F.lit("transaction_id").alias("column"),
+        F.count_distinct("transaction_id").alias("n"),
+        F.lit(True).alias("nulls_fit"),
+        F.lit(True).alias("shares_fit"),
+        F.lit(0).cast("long").alias("unknown_values"),
+    )
+    return fits.unionByName(ids)
 
 
 # ---- writers, read back
@@ -738,10 +805,26 @@ def hybrid_append(spark, sf_dir):
 
 @register
 def generated_json_lines(spark, sf_dir):
-    """JSON lines for as many bytes as the orders have on storage; how much came out."""
+    """JSON lines like the transactions, for as many bytes as the orders have on storage.
+
+    The values of two columns, with whether the size was reached, whether there are as many lines
+    as the manifest says, and how many rows hold a country the source has not.
+    """
     root = new_folder(spark, "generate")
     wanted = file_inventory(spark, {"t": f"{sf_dir}/orders.parquet"}).agg(F.sum("length")).first()[0]
-    generate.generate_json_lines(spark, f"{root}/out", wanted)
-    size = F.octet_length("value") + 1
-    lines = spark.read.text(f"{root}/out")
-    return lines.agg(F.count(F.lit(1)).alias("n"), (F.sum(size) >= wanted).alias("reached"))
+    learned = synth.learn_transactions(transactions(spark, sf_dir))
+    manifest = generate.generate_json_lines(
+        spark, f"{root}/out", wanted, make=lambda ids: synth.learned_transactions(ids, learned)
+    )
+    size = F.sum(F.octet_length("value") + 1)
+    whole = spark.read.text(f"{root}/out").agg(
+        (size >= wanted).alias("reached"), (F.count(F.lit(1)) == manifest["total_rows"]).alias("counted")
+    )
+    rows = spark.read.schema(RAW).json(f"{root}/out")
+    foreign = rows.join(
+        table(spark, sf_dir, "nation").select(F.col("n_name").alias("country_code")), "country_code", "left_anti"
+    ).agg(F.count(F.lit(1)).alias("foreign_rows"))
+    names = ("transaction_type", "channel")
+    values = rows.select(F.explode(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))])).alias("column", "value"))
+    facts = whole.join(foreign, F.lit(True)).first()
+    return values.distinct().withColumns({c: F.lit(facts[c]) for c in facts.asDict()})

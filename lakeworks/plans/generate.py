@@ -24,7 +24,8 @@ def generate_json_lines(
 ) -> dict:
     """Write at least ``target_bytes`` of JSON lines, and a manifest of what was written.
 
-    ``make`` turns keys 0, 1, 2 ... into rows. The number of rows follows from the mean line
+    ``make`` turns keys 0, 1, 2 ... into rows, from fixed domains or (``learned_transactions``) from
+    what was learned of a table. No file gets much larger than ``file_bytes``. The number of rows follows from the mean line
     length of the first thousand; if that falls short, the next keys fill up the rest. The
     manifest lies in ``_manifest``, where readers of the directory do not see it.
     """
@@ -34,7 +35,8 @@ def generate_json_lines(
     while size < target_bytes or not rows:
         more = max(1, math.ceil((target_bytes - size) / mean))
         parts = max(1, math.ceil(more * mean / file_bytes))
-        make(spark.range(rows, rows + more, numPartitions=parts)).write.mode(mode).json(output_dir)
+        made = make(spark.range(rows, rows + more, numPartitions=parts))
+        made.write.mode(mode).option("maxRecordsPerFile", math.ceil(file_bytes / mean)).json(output_dir)
         rows, mode = rows + more, "append"
         listing = file_inventory(spark, {"out": output_dir})
         size, files = listing.agg(F.sum("length"), F.count(F.lit(1))).first()

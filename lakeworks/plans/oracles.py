@@ -476,6 +476,17 @@ ORACLES: dict[str, str] = {
                CAST(0 AS BIGINT) AS bad_balance, CAST(0 AS BIGINT) AS bad_type, CAST(0 AS BIGINT) AS bad_channel,
                CAST(0 AS BIGINT) AS bad_status, CAST(0 AS BIGINT) AS bad_ts, CAST(0 AS BIGINT) AS bad_account
         FROM lineitem""",
+    "synthetic_learned_fit": """
+        SELECT c AS "column", CASE WHEN c = 'transaction_id' THEN n_keys ELSE n END AS n, true AS nulls_fit, true AS shares_fit, CAST(0 AS BIGINT) AS unknown_values
+        FROM (SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys FROM lineitem),
+             (SELECT unnest([
+            'transaction_id', 'account_id', 'customer_id', 'transaction_type', 'amount', 'currency',
+            'merchant_name', 'merchant_category', 'channel', 'transaction_ts', 'branch_code', 'status',
+            'balance_after', 'country_code']) AS c)""",
+    "generated_json_lines": f"""WITH {_TX}
+        SELECT *, true AS reached, true AS counted, CAST(0 AS BIGINT) AS foreign_rows
+        FROM (SELECT 'transaction_type' AS "column", transaction_type AS value FROM tx
+              UNION SELECT 'channel', channel FROM tx)""",
     "ingest_json": f"WITH {_TX} "
     + _BRONZE.format(ts="strftime(transaction_ts, '%Y-%m-%dT%H:%M:%S')", path=""),
     "medallion_report": f"WITH {_GOLD} {_GOLD_OUT}",

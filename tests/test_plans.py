@@ -34,6 +34,8 @@ WRITERS = {
     "stream_silver",
     "hybrid_append",
     "generated_json_lines",
+    "synthetic_learned",
+    "synthetic_learned_fit",
 }
 
 

@@ -56,9 +56,40 @@ def test_learning_edge_cases(spark):
     assert rows(made, "a", "c") == [(None, None)] * 3
     constant = spark.range(10).select(F.lit(5.0).alias("a"), F.lit("k").alias("c"))
     assert rows(synth.sample(spark.range(2), synth.learn(constant, ["a"], ["c"])), "a", "c") == [(5.0, "k")] * 2
-    many = spark.range(synth.MAX_CATEGORIES + 5).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="values per categorical"):
-        synth.learn(many, [], ["c"])
+
+
+def test_columns_of_many_values_keep_their_shares(spark):
+    n = 20000
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id") % 3001))
+    source = spark.range(n).select(hot.alias("c"), F.lit("k").alias("d"))
+    profile = synth.learn(source, [], ["c", "d"])
+    assert list(profile.tables) == ["c"] and list(profile.shares) == ["d"]
+    made = synth.sample(spark.range(n), profile)
+    assert made.columns == ["id", "d", "c"] and made.count() == n
+    assert made.where("c = 'hot'").count() / n == pytest.approx(1 / 3, abs=0.02)
+    assert made.join(source, "c", "left_anti").count() == 0
+    assert made.select("c").distinct().count() > 2500
+    # The numbers of the values leave no gap and do not overlap.
+    spans = sorted({(r["first"], r["end"]) for r in profile.tables["c"].table.collect()})
+    assert spans[0][0] == 0 and spans[-1][1] == n
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_nulls_times_and_ids(spark):
+    source = spark.range(5000).select(
+        F.when(F.col("id") % 4 > 0, F.col("id")).alias("a"),
+        F.when(F.col("id") % 2 > 0, F.lit("x")).alias("c"),
+        F.when(F.col("id") % 10 > 0, F.expr("string(timestamp_seconds(1700000000 + id))")).alias("t"),
+        F.lit(None).cast("string").alias("never"),
+    )
+    profile = synth.learn(source, ["a"], ["c", "never"], times=["t"], ids=["key"])
+    made = synth.sample(spark.range(5000), profile).cache()
+    shares = made.select([F.avg(F.col(c).isNull().cast("int")).alias(c) for c in ("a", "c", "t", "never", "key")])
+    assert tuple(shares.first()) == pytest.approx((0.25, 0.5, 0.1, 1.0, 0.0), abs=0.03)
+    assert made.select("key").distinct().count() == 5000
+    assert made.where("t NOT RLIKE '^2023-11-1[45]T'").count() == 0
+    assert rows(synth.sample(spark.range(5000).repartition(5), profile)) == rows(made)
+    made.unpersist()
 
 
 def test_root_of_a_matrix_that_is_not_positive():
