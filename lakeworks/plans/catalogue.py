@@ -724,6 +724,33 @@ def sorted_table(spark, sf_dir):
     return plain(target.read(spark))
 
 
+@register
+def zorder_table(spark, sf_dir):
+    """A table rewritten in the interleaved order of two columns by the maintenance job."""
+    target = SnapshotTable(f"{new_folder(spark, 'zorder')}/lineitem")
+    target.write(table(spark, sf_dir, "lineitem"))
+    columns = ["l_shipdate", "l_partkey"]
+    maintain(spark, {"lineitem": target}, "hybrid", force=True, sort_columns=columns, zorder=True)
+    return plain(target.read(spark))
+
+
+@register
+def orphans_of_a_crash(spark, sf_dir):
+    """Rows in the files of writes that broke off, before and after their tasks were done, as found among the orphans."""
+    target = SnapshotTable(f"{new_folder(spark, 'crash')}/orders")
+    orders = table(spark, sf_dir, "orders")
+    target.write(orders)
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    orders.where(urgent).write.parquet(f"{target.root}/data/load=done")
+    orders.where(~urgent).write.parquet(f"{target.root}/data/load=begun/_temporary/0/_temporary/attempt_0")
+    soon = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
+    lost = target.orphan_files(spark, soon).select("path")
+    begun = F.col("path").contains("/_temporary/")
+    files = lost.agg(F.collect_list(F.when(begun, F.col("path"))), F.collect_list(F.when(~begun, F.col("path")))).first()
+    rows = [spark.read.parquet(*f).select(F.lit(place).alias("place")) for f, place in zip(files, ("begun", "done"))]
+    return rows[0].unionAll(rows[1]).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register
 def stream_append(spark, sf_dir):
     """JSON lines streamed through a transform into a Parquet table."""

@@ -1,4 +1,4 @@
-"""Keeping a set of snapshot tables in shape."""
+"""Keeping a set of snapshot or Iceberg tables in shape."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeworks.operators.files import TARGET_FILE_BYTES, file_stats, maintenance_plan
+from lakeworks.sources.iceberg import IcebergTable
 from lakeworks.sources.snapshots import SnapshotTable
 
+Table = SnapshotTable | IcebergTable
+
 
 def analyze(
     spark: SparkSession,
-    tables: Mapping[str, SnapshotTable],
+    tables: Mapping[str, Table],
     policy: str = "intelligent",
     force: bool = False,
     sort_columns: Sequence[str] = (),
@@ -26,12 +29,13 @@ def analyze(
 
 def maintain(
     spark: SparkSession,
-    tables: Mapping[str, SnapshotTable],
+    tables: Mapping[str, Table],
     policy: str = "intelligent",
     force: bool = False,
     sort_columns: Sequence[str] = (),
     retain_last: int = 30,
     target_bytes: int = TARGET_FILE_BYTES,
+    zorder: bool = False,
 ) -> list[dict]:
     """Do what ``analyze`` plans, table by table; returns the plan rows that were followed."""
     plan = analyze(spark, tables, policy, force, sort_columns).orderBy("table").collect()
@@ -40,7 +44,7 @@ def maintain(
         if row["rewrite"] == "compact":
             t.compact(spark, target_bytes)
         elif row["rewrite"] == "sort":
-            t.rewrite_sorted(spark, sort_columns, target_bytes)
+            t.rewrite_sorted(spark, sort_columns, target_bytes, zorder=zorder)
         if row["expire_snapshots"]:
             t.expire_snapshots(spark, retain_last)
     return [r.asDict() for r in plan]

@@ -507,6 +507,10 @@ ORACLES: dict[str, str] = {
           PARTITION BY transaction_id ORDER BY amount DESC, tx.transaction_ts DESC, merchant_name DESC) = 1""",
     "compacted_table": f"{_ORDERS_OUT} UNION ALL {_ORDERS_OUT}",
     "sorted_table": _LINEITEM_OUT,
+    "zorder_table": _LINEITEM_OUT,
+    "orphans_of_a_crash": """
+        SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'done' ELSE 'begun' END AS place, count(*) AS n
+        FROM orders GROUP BY 1""",
     "stream_append": f"WITH {_VALID} {_VALID_OUT} FROM valid",
     "stream_silver": f"WITH {_SILVER} {_VALID_OUT} FROM silver",
     "stream_silver_damaged": f"""

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
+DELETES_AT_ONCE = 16
+
 
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -36,6 +40,18 @@ def delete(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).delete(_path(spark, path), True)
 
 
+def delete_all(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete many files or directories, some at a time."""
+    with ThreadPoolExecutor(DELETES_AT_ONCE) as pool:
+        for _ in pool.map(lambda path: delete(spark, path), paths):
+            pass
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path fits a pattern with ``*``."""
+    return bool(_fs(spark, pattern).globStatus(_path(spark, pattern)))
+
+
 def write_new(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file that appears whole or not at all, and never replaces another.
 

@@ -39,11 +39,14 @@ class IcebergTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.table(self.name)
 
-    def files(self, spark: SparkSession) -> DataFrame:
-        return spark.table(f"{self.name}.files").select(
-            F.lit(self.name).alias("table"),
-            F.col("file_path").alias("path"),
-            F.col("file_size_in_bytes").alias("length"),
+    def files(self, spark: SparkSession, name: str | None = None) -> DataFrame:
+        """The newest version's data files, in the columns of other listings (no times)."""
+        return spark.table(f"{self.name}.files").selectExpr(
+            f"'{name or self.name}' AS table",
+            "CAST(NULL AS STRING) AS partition",
+            "file_path AS path",
+            "file_size_in_bytes AS length",
+            "CAST(NULL AS TIMESTAMP) AS modificationTime",
         )
 
     def write(self, df: DataFrame, mode: str = "overwrite", gate: Gate | None = None) -> WriteResult:
@@ -74,17 +77,18 @@ class IcebergTable:
             quality_score=score,
         )
 
-    def compact(self, spark: SparkSession) -> None:
-        self._call(
-            spark,
-            "rewrite_data_files",
-            f"options => map('target-file-size-bytes', '{self.target_bytes}')",
-        )
+    def compact(self, spark: SparkSession, target_bytes: int | None = None) -> None:
+        self._rewrite(spark, target_bytes)
 
-    def rewrite_sorted(self, spark: SparkSession, columns: Sequence[str]) -> None:
-        self._call(
-            spark, "rewrite_data_files", f"strategy => 'sort', sort_order => '{','.join(columns)}'"
-        )
+    def rewrite_sorted(
+        self, spark: SparkSession, columns: Sequence[str], target_bytes: int | None = None, zorder: bool = False
+    ) -> None:
+        order = f"zorder({','.join(columns)})" if zorder else ",".join(columns)
+        self._rewrite(spark, target_bytes, f"strategy => 'sort', sort_order => '{order}', ")
+
+    def _rewrite(self, spark: SparkSession, target_bytes: int | None, how: str = "") -> None:
+        size = target_bytes or self.target_bytes
+        self._call(spark, "rewrite_data_files", f"{how}options => map('target-file-size-bytes', '{size}')")
 
     def expire_snapshots(self, spark: SparkSession, retain_last: int = 30) -> None:
         self._call(spark, "expire_snapshots", f"retain_last => {retain_last}")

@@ -3,7 +3,8 @@
 Layout under the table's root::
 
     data/load=<id>/<partition dirs>/*.parquet    one directory per write, never changed
-    manifest/<n>.json                            the directories that make up version n
+    manifest/<n>.json                            the directories that make up version n (and the
+                                                 files, of directories it takes in part)
 
 A write lands in a load directory of its own, is audited there, and becomes visible when its
 manifest (one small file) appears. Readers see a whole version or the one before, and no data
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 
 from lakeworks.operators.files import TARGET_FILE_BYTES, expired_files, expired_snapshots, orphan_files
 from lakeworks.operators.reconcile import reconcile, reconcile_counts
+from lakeworks.operators.zorder import with_zorder
 from lakeworks.sources import fs
 from lakeworks.sources.audit import Gate, WriteResult, check, clustered, observed_measures
 from lakeworks.sources.files import file_inventory
@@ -45,8 +47,10 @@ MANIFEST = T.StructType(
     ]
 )
 SNAPSHOT_COLUMNS = ["snapshot_id", "committed_at", "path"]
-# Path of a directory below ``data`` -> number of directories its load has in all.
+# Path below ``data`` of a directory -> number of directories its load has in all; of a file -> 0.
 Directories = dict[str, int]
+# Files below this share of the wanted size are worth merging.
+SMALL_SHARE = 0.75
 # Groups of small files rewritten by one job: bounds the size of its plan.
 GROUPS_PER_JOB = 200
 
@@ -134,21 +138,32 @@ class SnapshotTable:
     ) -> int:
         """Merge small files per partition into files of about ``target_bytes``.
 
-        Only partitions that would get fewer files are rewritten; the others are carried over.
-        No shuffle: a partition's scan splits are merged to as many tasks as it needs files,
-        and the partitions of one job run side by side. Returns the files saved.
+        Files of ``SMALL_SHARE`` of that size and more stay as they are, as do partitions that
+        would not get fewer files. No shuffle: a partition's scan splits are merged to as many
+        tasks as it needs files, and the partitions of one job run side by side. A directory of
+        small files only is read by its name; of mixed ones the files are named. Returns the
+        files saved.
         """
         self._check_partitions(spark)
         version = self._version(spark)
         schema, directories = self._contents(spark, version)
+        small = F.col("length") < F.lit(SMALL_SHARE * target_bytes)
+        entries = self._entries(spark, version, directories).groupBy("partition", "entry").agg(
+            F.count_if(small).alias("n_small"),
+            F.sum(F.when(small, F.col("length"))).alias("small_bytes"),
+            F.collect_list(F.when(small, F.col("file"))).alias("small"),
+            F.collect_list(F.when(~small, F.col("file"))).alias("full"),
+        )
+        merged = F.when(F.size("full") > 0, F.col("small")).otherwise(F.array("entry"))
         groups = (
-            self._listing(spark, directories)
-            .withColumn("directory", self._relative_directory(spark))
+            entries.where("n_small > 0")
             .groupBy("partition")
             .agg(
-                F.count(F.lit(1)).alias("file_count"),
-                F.greatest(F.lit(1), F.ceil(F.sum("length") / F.lit(target_bytes))).cast("int").alias("wanted"),
-                F.collect_set("directory").alias("directories"),
+                F.sum("n_small").alias("file_count"),
+                F.greatest(F.lit(1), F.ceil(F.sum("small_bytes") / F.lit(target_bytes))).cast("int").alias("wanted"),
+                F.collect_list("entry").alias("entries"),
+                F.flatten(F.collect_list(merged)).alias("merged"),
+                F.flatten(F.collect_list("full")).alias("full"),
             )
             .where("file_count > wanted")
             .orderBy("partition")
@@ -158,15 +173,17 @@ class SnapshotTable:
             return 0
         load = f"load={uuid.uuid4().hex}"
         for at in range(0, len(groups), GROUPS_PER_JOB):
-            merged = [
-                self._read_paths(spark, schema, sorted(g["directories"])).coalesce(g["wanted"])
+            parts = [
+                self._read_paths(spark, schema, sorted(g["merged"])).coalesce(g["wanted"])
                 for g in groups[at : at + GROUPS_PER_JOB]
             ]
-            self._write_load(reduce(DataFrame.unionAll, merged), load, "append")
-        replaced = {d: directories[d] for g in groups for d in g["directories"]}
+            self._write_load(reduce(DataFrame.unionAll, parts), load, "append")
         new = self._inspect(spark, schema, load)[0]
-        self._verify(spark, schema, replaced, new, verify, load)
+        before = self._read_paths(spark, schema, sorted(p for g in groups for p in g["merged"]))
+        self._verify(spark, schema, before, new, verify, load)
+        replaced = {e for g in groups for e in g["entries"]}
         carried = {d: n for d, n in directories.items() if d not in replaced}
+        carried |= {f: 0 for g in groups for f in g["full"]}
         self._commit(spark, schema, carried | new, version)
         return sum(g["file_count"] for g in groups) - self._listing(spark, new).count()
 
@@ -176,9 +193,12 @@ class SnapshotTable:
         columns: Sequence[str],
         target_bytes: int = TARGET_FILE_BYTES,
         verify: str = "content",
+        zorder: bool = False,
     ) -> int:
         """Rewrite the table in the order of some columns, for min/max pruning.
 
+        With ``zorder`` the columns are interleaved, so that files are narrow in all of them.
+
         Rows are range-partitioned by table partition and sort columns. The row's position
         ends the range key, so one value that holds most rows is still cut into many files.
         Returns the number of files written.
@@ -189,18 +209,22 @@ class SnapshotTable:
         if not directories:
             return 0
         files = max(1, -(-self._bytes(spark, directories) // target_bytes))
-        key = [*self.partition_by, *[c for c in columns if c not in self.partition_by]]
+        rows, own = self._read_directories(spark, schema, directories), list(self.partition_by)
+        columns = [c for c in columns if c not in own]
+        key = own + columns
+        if zorder and columns:
+            rows, key = with_zorder(rows, columns, "_z"), [*own, "_z"]
         ordered = (
-            self._read_directories(spark, schema, directories)
-            .withColumn("_position", F.monotonically_increasing_id())
+            rows.withColumn("_position", F.monotonically_increasing_id())
             .repartitionByRange(files, *key, "_position")
-            .drop("_position")
             .sortWithinPartitions(*key)
+            .select(*schema.fieldNames())
         )
         load = f"load={uuid.uuid4().hex}"
         self._write_load(ordered, load)
         new = self._inspect(spark, schema, load)[0]
-        self._verify(spark, schema, directories, new, verify, load)
+        before = self._read_directories(spark, schema, directories)
+        self._verify(spark, schema, before, new, verify, load)
         self._commit(spark, schema, new, version)
         return self._listing(spark, new).count()
 
@@ -208,32 +232,44 @@ class SnapshotTable:
         """Forget all but the newest snapshots; delete what only the forgotten ones used."""
         # By number alone: the clocks of the drivers that committed may differ.
         manifest, order = self.manifest(spark), {"newest_by": ["snapshot_id"]}
-        doomed = [r["path"] for r in expired_files(manifest, retain_last, **order).collect()]
-        ids = [r["snapshot_id"] for r in expired_snapshots(manifest, retain_last, **order).collect()]
+        doomed = expired_files(manifest, retain_last, **order)
+        expired = expired_snapshots(manifest, retain_last, **order)
+        in_use = manifest.join(expired, "snapshot_id", "left_anti").select("path").distinct()
+        # Directories of which a kept version takes some files lose the others only.
+        shared = doomed.join(in_use.select(_parent("path").alias("path")), "path", "left_semi")
+        partly = [r["path"] for r in shared.collect()]
+        paths = [r["path"] for r in doomed.join(shared, "path", "left_anti").collect()]
+        if partly:
+            listing = file_inventory(spark, {"data": [self._data(p) for p in partly]})
+            files = listing.select(self._relative(spark).alias("path"))
+            paths += [r["path"] for r in files.join(in_use, "path", "left_anti").distinct().collect()]
+        ids = [r["snapshot_id"] for r in expired.select("snapshot_id").distinct().collect()]
         # Forgotten first, then deleted: no reader finds a version with files missing.
-        for snapshot_id in ids:
-            fs.delete(spark, self._manifest_file(snapshot_id))
-        for directory in doomed:
-            fs.delete(spark, self._data(directory))
-        return sorted(doomed)
+        fs.delete_all(spark, [self._manifest_file(i) for i in ids])
+        fs.delete_all(spark, [self._data(p) for p in paths])
+        return sorted(paths)
 
     def orphan_files(self, spark: SparkSession, older_than: Column | None = None) -> DataFrame:
-        """Data files no snapshot lists, such as those of a failed write.
+        """Data files no snapshot lists, such as those of a failed write, finished or not.
 
         Younger ones than ``older_than`` (by default three days) may belong to a write that is
         still under way.
         """
         if older_than is None:
             older_than = F.current_timestamp() - F.expr("INTERVAL 3 DAYS")
-        listing = file_inventory(spark, {"data": self._data()}).select(
-            F.col("path").alias("file"),
-            self._relative_directory(spark).alias("path"),
-            "length",
-            "modificationTime",
-        )
-        return orphan_files(listing, self.manifest(spark), older_than).select(
-            F.col("file").alias("path"), "length", "modificationTime"
+        listing = file_inventory(spark, {"data": self._data()})
+        # What the tasks of a write that broke off left; listings pass over such folders.
+        unfinished = self._data("*/_temporary/*/*")
+        if fs.matches(spark, unfinished):
+            listing = listing.unionAll(file_inventory(spark, {"data": unfinished}))
+        manifest = self.manifest(spark)
+        file = self._relative(spark)
+        listing = listing.select(
+            F.col("path").alias("uri"), file.alias("file"), _parent(file).alias("path"), "length", "modificationTime"
         )
+        # A version lists a file by its directory or by its own name.
+        unlisted = orphan_files(listing, manifest, older_than).withColumn("path", F.col("file"))
+        return orphan_files(unlisted, manifest).select(F.col("uri").alias("path"), "length", "modificationTime")
 
     def remove_orphan_files(
         self, spark: SparkSession, older_than: Column | None = None, dry_run: bool = True
@@ -241,8 +277,7 @@ class SnapshotTable:
         """Delete the orphans; by default only name them."""
         paths = [r["path"] for r in self.orphan_files(spark, older_than).toLocalIterator()]
         if not dry_run:
-            for path in paths:
-                fs.delete(spark, path)
+            fs.delete_all(spark, paths)
         return sorted(paths)
 
     # ---- inside
@@ -271,7 +306,7 @@ class SnapshotTable:
         loads: dict[str, list[str]] = {}
         for d in directories:
             loads.setdefault(d.partition("/")[0], []).append(d)
-        whole = {load for load, inside in loads.items() if directories[inside[0]] == len(inside)}
+        whole = {load for load, inside in loads.items() if all(directories[d] == len(inside) for d in inside)}
         return sorted(d for load, inside in loads.items() for d in ([load] if load in whole else inside))
 
     def _read_directories(
@@ -290,10 +325,17 @@ class SnapshotTable:
             return file_inventory(spark, {name: f"{self.root}/manifest"}).where(F.lit(False))
         return file_inventory(spark, {name: [self._data(p) for p in self._paths(directories)]})
 
-    def _relative_directory(self, spark: SparkSession) -> Column:
-        """Directory of a listed file, below ``data``."""
+    def _entries(self, spark: SparkSession, version: int, directories: Directories) -> DataFrame:
+        """The listing of a version, with ``file`` (below ``data``) and the ``entry`` that brings it in."""
+        own = self.manifest(spark).where(F.col("snapshot_id") == version)
+        listing = self._listing(spark, directories).withColumn("file", self._relative(spark)).drop("path")
+        named = listing.join(own.select("path"), F.col("file") == F.col("path"), "left")
+        return named.withColumn("entry", F.coalesce("path", _parent("file"))).drop("path")
+
+    def _relative(self, spark: SparkSession) -> Column:
+        """Path of a listed file, below ``data``."""
         root = fs.qualified(spark, self._data())
-        return F.regexp_replace(F.substring("path", len(root) + 2, 1 << 20), "/[^/]*$", "")
+        return F.substring("path", len(root) + 2, 1 << 20)
 
     def _version(self, spark: SparkSession) -> int:
         """Number of the newest version, 0 when there is none."""
@@ -347,15 +389,14 @@ class SnapshotTable:
             .agg(F.count(F.lit(1)).alias("n"))
             # Here paths come URI-encoded, where listings and readers take them as they are.
             .withColumn("path", F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))))
-            .groupBy(self._relative_directory(spark).alias("directory"))
+            .groupBy(_parent(self._relative(spark)).alias("directory"))
             .agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
             .collect()
         )
         directories = {d: len(found) for d in sorted(r["directory"] for r in found)}
         return directories, sum(r["n"] for r in found), sum(r["size"] for r in found)
 
-    def _verify(self, spark, schema, old: Directories, new: Directories, how: str, load: str) -> None:
-        before = self._read_directories(spark, schema, old)
+    def _verify(self, spark, schema, before: DataFrame, new: Directories, how: str, load: str) -> None:
         after = self._read_directories(spark, schema, new)
         result = (reconcile if how == "content" else reconcile_counts)(before, after).first()
         if not result["passed"]:
@@ -390,5 +431,9 @@ class SnapshotTable:
         return snapshot_id
 
 
+def _parent(path: Column | str) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in schema.fields]

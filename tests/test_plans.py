@@ -30,6 +30,8 @@ WRITERS = {
     "copy_deduplicated",
     "compacted_table",
     "sorted_table",
+    "zorder_table",
+    "orphans_of_a_crash",
     "stream_append",
     "stream_silver",
     "hybrid_append",

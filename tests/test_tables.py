@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeworks.operators import quality as q
 from lakeworks.operators.reconcile import reconcile
+from lakeworks.operators.zorder import with_zorder
 from lakeworks.plans.maintain import analyze, maintain
 from lakeworks.schemas import TableStandard
 from lakeworks.sources import fs
@@ -216,6 +217,68 @@ def test_compaction_keeps_rows_and_touches_only_small_files(spark, root):
     assert t.compact(spark) == 0
 
 
+def test_full_size_files_keep_their_names(spark, root):
+    t = SnapshotTable(f"{root}/t", ("part",))
+    big = spark.range(20000).select("id", F.lit(0).alias("part"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    t.write(big.coalesce(1))
+    t.write(big.where("id < 300").coalesce(1), "append")
+    t.write(big.where("id < 200").coalesce(1), "append")
+    # One directory that holds a full-size file beside small ones.
+    mixed = f"{root}/t/data/load=mixed"
+    for rows_ in (big, big.where("id < 10"), big.where("id < 20")):
+        rows_.coalesce(1).write.mode("append").partitionBy("part").parquet(mixed)
+    schema, known = t._contents(spark)
+    t._commit(spark, schema, known | {"load=mixed/part=0": 1}, t.snapshot_ids(spark)[-1])
+    sizes = {r["path"]: r["length"] for r in t.files(spark).collect()}
+    target = max(sizes.values())
+    full = {p for p, n in sizes.items() if n >= 0.75 * target}
+    before = rows(t.read(spark))
+    assert len(full) == 2 and len(sizes) == 6
+    assert t.compact(spark, target) == 3
+    left = {r["path"] for r in t.files(spark).collect()}
+    assert full < left and len(left) == 3 and rows(t.read(spark)) == before
+    assert t.compact(spark, target) == 0
+    # The small files of the mixed directory go, its full one stays.
+    gone = t.expire_snapshots(spark, retain_last=1)
+    assert len(gone) == 4 and rows(t.read(spark)) == before
+    soon = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
+    assert t.remove_orphan_files(spark, soon) == []
+    t.write(big.where("id < 5").coalesce(1), "append")
+    assert t.compact(spark, target) == 1 and t.read(spark).count() == len(before) + 5
+
+
+def test_zorder_narrows_files_in_every_column(spark, root):
+    df = spark.range(20000).select(
+        (F.col("id") * 7919 % 10007).alias("a"), F.date_add(F.lit("2024-01-01"), (F.col("id") * 31 % 997).cast("int")).alias("d"),
+        F.when(F.col("id") % 50 > 0, F.sha2(F.col("id").cast("string"), 256)).alias("s"),
+    )
+    t = SnapshotTable(f"{root}/t")
+    t.write(df)
+    size = t.files(spark).agg(F.sum("length")).first()[0]
+    assert t.rewrite_sorted(spark, ["a", "d"], size // 16, zorder=True) >= 16
+    assert reconcile(df, t.read(spark)).first()["passed"]
+    spans = t.read(spark).groupBy(F.input_file_name()).agg(
+        (F.max("a") - F.min("a")).alias("a"), F.datediff(F.max("d"), F.min("d")).alias("d")
+    )
+    wide = spans.agg(F.avg("a"), F.avg("d")).first()
+    assert wide[0] < 10007 / 2 and wide[1] < 997 / 2
+    t.rewrite_sorted(spark, ["s", "a", "d"], size // 4, zorder=True)
+    assert reconcile(df, t.read(spark)).first()["passed"]
+    with pytest.raises(ValueError, match="columns can be interleaved"):
+        with_zorder(df, [])
+
+
+def test_files_of_a_crash_are_orphans(spark, root):
+    t = SnapshotTable(f"{root}/t", ("part",))
+    t.write(numbers(spark, 6))
+    numbers(spark, 3).write.partitionBy("part").parquet(f"{root}/t/data/load=x/_temporary/0/_temporary/attempt_1")
+    numbers(spark, 3).coalesce(1).write.parquet(f"{root}/t/data/load=x/_temporary/0/task_2")
+    soon = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
+    named = t.remove_orphan_files(spark, soon, dry_run=False)
+    assert any("attempt_1/part=" in p for p in named) and any("task_2" in p for p in named)
+    assert t.remove_orphan_files(spark, soon) == [] and rows(t.read(spark)) == rows(numbers(spark, 6))
+
+
 def test_sorted_rewrite_splits_a_value_that_holds_most_rows(spark, root):
     hot = F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id"))
     df = spark.range(30000).select("id", hot.alias("k"))
