@@ -10,6 +10,7 @@ suffice (positional filter). The survivors are counted exactly. Column functions
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -41,6 +42,9 @@ CONTAINMENT = 0.85
 BLOCK_WORDS = 48
 STEP_WORDS = 24
 
+#: Columns of the templates' prefix tokens.
+PREFIX = "token:string,template:int,place:int,n:int,needed:int,template_tokens:array<string>"
+
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,14 +107,20 @@ def _joined(hits: DataFrame, known: list[Template], order: list[str]) -> DataFra
     for number, t in enumerate(known):
         ordered = sorted(t.tokens, key=rank.__getitem__)
         for place, token in enumerate(ordered[: len(ordered) - t.needed + 1]):
-            prefixes.append((token, number, place, len(ordered), t.needed, ordered))
+            prefixes.append(
+                {
+                    "token": token,
+                    "template": number,
+                    "place": place,
+                    "n": len(ordered),
+                    "needed": t.needed,
+                    "template_tokens": ordered,
+                }
+            )
     # As many rows as the templates have prefix tokens.
-    prefix = F.broadcast(
-        spark.createDataFrame(
-            prefixes, "token string, template int, place int, n int, needed int, template_tokens array<string>"
-        )
-    )
-    rare = sorted({p[0] for p in prefixes})
+    listed = F.from_json(F.lit(json.dumps(prefixes)), f"array<struct<{PREFIX}>>")
+    prefix = F.broadcast(spark.range(1).select(F.inline(listed)))
+    rare = sorted({p["token"] for p in prefixes})
     first = F.greatest(F.lit(0), F.floor((F.col("hit.i") - BLOCK_WORDS) / STEP_WORDS).cast("long") + 1)
     last = F.floor(F.col("hit.i") / STEP_WORDS).cast("long")
     ranks = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
