@@ -72,6 +72,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--policy", default="hybrid", choices=["hybrid", "intelligent"])
     p.add_argument("--force", action="store_true")
     p.add_argument("--sort", type=names, default=[])
+    p.add_argument("--zorder", action="store_true", help="interleave the sort columns")
     p.add_argument("--retain-last", type=int, default=30)
 
     p = job("metrics", "what the run log says")
@@ -98,7 +99,7 @@ def run(spark: SparkSession, a: argparse.Namespace):
         return migrate.copy_table(spark, source, target, a.dedup_keys, a.min_rows, a.log)
     if a.job == "maintain":
         tables = {path: SnapshotTable.existing(spark, path) for path in a.table}
-        return maintain.maintain(spark, tables, a.policy, a.force, a.sort, a.retain_last)
+        return maintain.maintain(spark, tables, a.policy, a.force, a.sort, a.retain_last, zorder=a.zorder)
     runs = runlog.read_runs(spark, a.log)
     for frame in (
         latest_throughput(runs),
