@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -46,10 +47,13 @@ def sla_compliance(runs: DataFrame, slas: Sequence[Sla] = SLAS) -> DataFrame:
     before the (constant-size) profile table is joined, so no run is shuffled for the join.
     """
     ok = F.coalesce(F.col("success"), F.lit(False))
-    profiles = runs.sparkSession.createDataFrame(
-        [(s.name, s.max_execution_seconds, s.min_success_rate, s.alert_threshold) for s in slas],
-        "sla_name string, max_execution_seconds int, min_success_rate double, alert_threshold double",
+    names = ("sla_name", "max_execution_seconds", "min_success_rate", "alert_threshold")
+    values = [(s.name, s.max_execution_seconds, s.min_success_rate, s.alert_threshold) for s in slas]
+    listed = F.from_json(
+        F.lit(json.dumps([dict(zip(names, v)) for v in values])),
+        "array<struct<sla_name:string,max_execution_seconds:int,min_success_rate:double,alert_threshold:double>>",
     )
+    profiles = runs.sparkSession.range(1).select(F.inline(listed))
     late, risky = F.lit(False), F.lit(False)
     for s in slas:
         of_sla = F.col("sla_name") == s.name

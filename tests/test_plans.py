@@ -57,8 +57,6 @@ def silver(spark):
 def test_no_python_rows_and_no_cross_joins(spark, name):
     text = plan(contract.queries()[name](spark, SF_DIR))
     for node in ("EvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "NestedLoopJoin", "Scan ExistingRDD"):
-        if node == "Scan ExistingRDD" and name == "sla_compliance":
-            continue  # the profile table: three constant rows
         assert node not in text, node
 
 
