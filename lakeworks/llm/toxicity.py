@@ -1,35 +1,36 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The vocabulary are the words that come with label 1 more often than without, in the training
-rows and beyond chance (chi square); their document frequencies are counted over all documents. The training rows' vectors
-lie in an inverted index: examples are numbered in blocks, like ones together, and every word
-knows its largest weight in each block. A query adds these up to a bound per block and looks into
-blocks in falling order, until no bound reaches its k-th best similarity, or reaches it with
-larger ids only: the neighbours are exact. They vote, weighted by nearness; a monotone map, learned on the training rows with each one left
-out, turns votes into probabilities. The neighbours' ids are the evidence.
+The vectors hold all words of a text, weighted by their document frequencies over all documents.
+The training rows' vectors lie in an inverted index: examples are numbered in blocks, like ones
+together, and every word knows its largest weight in each block it is in. A query adds these up
+to a bound per block and looks into blocks in falling order, until no bound reaches its k-th best
+similarity, or reaches it with larger ids only: the neighbours are exact. Words that no example
+has lengthen a text's vector only: they leave the order of its neighbours as it is, and their
+frequencies and weights are brought together by joins. The neighbours vote, weighted by nearness;
+a monotone map, learned on the training rows with each one left out, turns votes into
+probabilities. The neighbours' ids are the evidence.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeworks.llm.common import id_and_text, list_array, over_batches, staged
 from lakeworks.llm.quality import training_rows
 from lakeworks.llm.spans import WORD, Words, blocks
 
-#: Labelled rows the examples come from, and words of the vocabulary, at most.
+#: Labelled rows the examples come from, at most.
 TRAINING_ROWS = 16384
-VOCABULARY = 8192
-#: Chi square with one degree of freedom a word must reach, and training rows it must be in.
-LEAST_CHI_SQUARE = 30.0
-LEAST_ROWS = 3
 NEIGHBOURS = 16
 BLOCK_EXAMPLES = 64
-LEADING_BITS = 20
 BLOCKS_AT_ONCE = 8
+#: Heaviest words that order the examples.
+LEADING_WORDS = 8
+#: From this share of the blocks on (one in so many) all postings are summed.
+MANY = 4
 #: Similarities are rounded to so many digits, so that equal ones tie.
 DIGITS = 12
 SLACK = 1e-11
@@ -43,24 +44,28 @@ def lowered(texts: list[str]) -> list[str]:
 
 
 def _heaviest_first(vector: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, float]]:
+    """What brings like vectors together: their few heaviest words."""
     word, weight = vector
-    order = np.lexsort((word, -weight))
+    order = np.lexsort((word, -weight))[:LEADING_WORDS]
     return list(zip(word[order].tolist(), weight[order].tolist()))
 
 
-def _distinct(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word hash, occurrences) of the distinct words of each text, by text; with a sorted
-    vocabulary, only its words."""
+def _joined(values: np.ndarray, low: list[int], high: list[int]) -> np.ndarray:
+    return np.concatenate([values[a:b] for a, b in zip(low, high)])
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each ``low`` up to its ``high``, and for each place the number of its range."""
+    size = (high - low).astype(np.int64)
+    ends = np.cumsum(size)
+    which = np.repeat(np.arange(len(size)), size)
+    return (low - (ends - size))[which] + np.arange(len(which)), which
+
+
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word hash, occurrences) of the distinct words of each text, by text."""
     words = Words(lowered(texts), WORD)
     text, word = np.repeat(np.arange(len(texts)), words.count), words.hash
-    if vocabulary is not None:
-        # Most words fall out by their first bits, without a search.
-        likely = np.zeros(1 << LEADING_BITS, bool)
-        shift = np.uint64(64 - LEADING_BITS)
-        likely[vocabulary >> shift] = True
-        text, word = text[likely[word >> shift]], word[likely[word >> shift]]
-        here = vocabulary[np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)] == word
-        text, word = text[here], word[here]
     order = np.lexsort((word, text))
     text, word = text[order], word[order]
     new = np.ones(len(word), bool)
@@ -69,28 +74,54 @@ def _distinct(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[n
     return text[first], word[first], np.diff(np.append(first, len(word)))
 
 
+def _places(vocabulary: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each word in the sorted vocabulary, and whether it is there."""
+    if not len(vocabulary):
+        return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+    place = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+    return place, vocabulary[place] == word
+
+
 class Examples:
-    """The block-max inverted index over the examples that have words of the vocabulary."""
+    """The block-max inverted index over the examples that have words; the vocabulary are their words."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, documents: int = 0):
         order = np.argsort(vocabulary)
-        self.vocabulary, self.idf = vocabulary[order], idf[order]
+        self.vocabulary, self.idf, self.documents = vocabulary[order], idf[order], documents
+        self.broadcast = None
         self.votes_at, self.chance_at = np.array([0.0]), np.array([0.0])
         self.ids, self.labels, self.rate, self.rate_without = np.empty(0, np.int64), np.empty(0), 0.0, 0.0
 
-    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Word numbers and unit-length weights (1 + ln tf) * idf of each text."""
+    def vectors(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list]:
+        """Of each text: numbers and weights (1 + ln tf) * idf of the vocabulary's words, brought to
+        unit length; the squared length before; hashes and squared (1 + ln tf) of all other words."""
         result = [(np.empty(0, np.int64), np.empty(0))] * len(texts)
-        if not len(self.vocabulary):
-            return result
+        square, others = np.zeros(len(texts)), [(np.empty(0, np.uint64), np.empty(0))] * len(texts)
         for some in blocks(texts):
-            text, word, times = _distinct(texts[some], self.vocabulary)
-            place = np.searchsorted(self.vocabulary, word)
-            weight = (1 + np.log(times)) * self.idf[place]
+            text, word, times = _distinct(texts[some])
+            place, known = _places(self.vocabulary, word)
             bounds = np.searchsorted(text, np.arange(some.stop - some.start + 1))
+            tf = 1 + np.log(times)
             for i in np.unique(text):
                 own = slice(bounds[i], bounds[i + 1])
-                result[some.start + i] = (place[own], weight[own] / np.sqrt((weight[own] ** 2).sum()))
+                here = known[own]
+                others[some.start + i] = (word[own][~here], tf[own][~here] ** 2)
+                if here.any():
+                    places = place[own][here]
+                    weight = tf[own][here] * self.idf[places]
+                    square[some.start + i] = (weight**2).sum()
+                    result[some.start + i] = (places, weight / np.sqrt(square[some.start + i]))
+        return result, square, others
+
+    def indexed(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The vectors of the examples by their number, taken from the postings."""
+        word = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.words))
+        order = np.argsort(self.example, kind="stable")
+        bounds = np.searchsorted(self.example[order], np.arange(len(self.number) + 1))
+        result = [(np.empty(0, np.int64), np.empty(0))] * len(self.number)
+        for place, number in enumerate(self.number):
+            own = order[bounds[place] : bounds[place + 1]]
+            result[number] = (word[own], self.weight[own])
         return result
 
     def index(self, ids: np.ndarray, labels: np.ndarray, vectors: list) -> None:
@@ -105,50 +136,94 @@ class Examples:
         self.number = np.array(sorted(range(len(vectors)), key=lambda i: _heaviest_first(vectors[i])), np.int64)
         vectors = [vectors[i] for i in self.number]
         count = np.array([len(v[0]) for v in vectors], np.int64)
-        example = np.repeat(np.arange(len(vectors)), count)
-        word = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), count)
+        word = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
         self.n_blocks = -(-len(vectors) // BLOCK_EXAMPLES)
         # The smallest number in each block: what it can win a tie with.
         starts = np.arange(0, len(vectors), BLOCK_EXAMPLES)
         self.first = np.minimum.reduceat(self.number, starts) if vectors else self.number
-        # Postings by word, block and example; where each (word, block) begins; its largest weight.
-        order = np.lexsort((example, word))
+        order = np.argsort(word, kind="stable")
+        word = word[order]
+        self.words = np.searchsorted(word, np.arange(len(self.vocabulary) + 1)).astype(np.int32)
         self.example, self.weight = example[order], weight[order]
-        cell = word[order] * self.n_blocks + self.example // max(1, BLOCK_EXAMPLES)
-        cells = len(self.vocabulary) * self.n_blocks
-        self.begin = np.searchsorted(cell, np.arange(cells + 1))
-        self.most = np.zeros(cells)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(self.vocabulary), self.n_blocks)
+        self.block = None
+
+    def _find_cells(self) -> None:
+        """Postings lie by word, block and example. A cell are the postings of a word in a block; only
+        cells with any are kept: their block, where they begin, and their largest weight."""
+        block = self.example // BLOCK_EXAMPLES
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.words[:-1][np.diff(self.words) > 0]] = True
+        begin = np.flatnonzero(new)
+        self.block = block[begin]
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
+        self.cells = np.searchsorted(begin, self.words).astype(np.int32)
+        self.begin = np.append(begin, len(block)).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        """What cannot be computed again; tasks get the calibration on its own."""
+        return {k: v for k, v in vars(self).items() if k not in ("block", "most", "cells", "begin", "broadcast")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.block, self.broadcast = None, None
+
+    def shared(self, spark: SparkSession):
+        """The model in tasks, sent once."""
+        if self.broadcast is None:
+            self.broadcast = spark.sparkContext.broadcast(self)
+        return self.broadcast
 
     def nearest(self, word: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and similarities of the ``k`` nearest, nearest first, ties to the smaller number."""
-        bound = np.round(weight @ self.most[word], DIGITS)
+        if self.block is None:  # only tasks need the cells
+            self._find_cells()
+        low, high = self.cells[word].tolist(), self.cells[word + 1].tolist()
+        block, own = _joined(self.block, low, high), np.repeat(weight, self.cells[word + 1] - self.cells[word])
+        bound = np.bincount(block, own * _joined(self.most, low, high), self.n_blocks)
+        bound = np.round(bound, DIGITS)
         order = np.flatnonzero(bound)
         order = order[np.lexsort((self.first[order], -bound[order]))]
         found, score = np.empty(0, np.int64), np.empty(0)
-        for start in range(0, len(order), BLOCKS_AT_ONCE):
-            some = order[start : start + BLOCKS_AT_ONCE]
+        start, step, cells = 0, BLOCKS_AT_ONCE, None
+        while start < len(order):
+            some, left = order[start : start + step], order[start:]
+            start, step = start + step, 2 * step
             if len(found) == k:
-                if bound[some[0]] < score[-1] - SLACK:
+                # The blocks that can still win; many of them are looked at in one go.
+                ahead = self.first[left] < found[-1]
+                left = left[(bound[left] > score[-1] + SLACK) | ((bound[left] >= score[-1] - SLACK) & ahead)]
+                if not len(left):
                     break
-                ahead = self.first[some] < found[-1]
-                some = some[(bound[some] > score[-1] + SLACK) | ((bound[some] >= score[-1] - SLACK) & ahead)]
-                if not len(some):
-                    continue
-            # The postings of all words in these blocks, and which of the words each one has.
-            cells = (word[:, None] * self.n_blocks + some[None, :]).ravel()
-            low, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
-            ends = np.cumsum(size)
-            postings = np.repeat(low - (ends - size), size) + np.arange(ends[-1])
-            own = np.repeat(np.repeat(weight, len(some)), size)
-            slot = np.repeat(np.tile(np.arange(len(some)), len(word)), size)
-            local = slot * BLOCK_EXAMPLES + self.example[postings] % BLOCK_EXAMPLES
-            sums = np.round(np.bincount(local, own * self.weight[postings], len(some) * BLOCK_EXAMPLES), DIGITS)
-            if len(found) == k:
-                sums[sums < score[-1]] = 0
-            here = np.flatnonzero(sums)
+                if len(left) * MANY >= self.n_blocks:
+                    some, start = left, len(order)
+                else:
+                    some = some[np.isin(some, left)]
+                    if not len(some):
+                        continue
+            if len(some) * MANY >= self.n_blocks:
+                low, high = self.words[word].tolist(), self.words[word + 1].tolist()
+                sums = np.repeat(weight, self.words[word + 1] - self.words[word]) * _joined(self.weight, low, high)
+                sums = np.bincount(_joined(self.example, low, high), sums, self.n_blocks * BLOCK_EXAMPLES)
+                sums = sums.reshape(-1, BLOCK_EXAMPLES)[some].ravel()
+            else:
+                # The postings of all words in these blocks.
+                if cells is None:
+                    cells = _ranges(self.cells[word], self.cells[word + 1])[0]
+                slot = np.full(self.n_blocks, -1, np.int32)
+                slot[some] = np.arange(len(some))
+                here = np.flatnonzero(slot[block] >= 0)
+                postings, cell = _ranges(self.begin[cells[here]], self.begin[cells[here] + 1])
+                offset = (slot[block[here]] - block[here]) * BLOCK_EXAMPLES
+                local = offset[cell] + self.example[postings]
+                sums = np.bincount(local, own[here][cell] * self.weight[postings], len(some) * BLOCK_EXAMPLES)
+            sums = np.round(sums, DIGITS)
+            least = score[-1] if len(found) == k else 0.0
+            if len(sums) > 2 * k:
+                least = max(least, np.partition(sums, -k - 1)[-k - 1])
+            here = np.flatnonzero((sums >= least) & (sums > 0))
             numbers = self.number[some[here // BLOCK_EXAMPLES] * BLOCK_EXAMPLES + here % BLOCK_EXAMPLES]
             here, numbers = here[numbers != but], numbers[numbers != but]
             found, score = np.concatenate([found, numbers]), np.concatenate([score, sums[here]])
@@ -156,11 +231,10 @@ class Examples:
             found, score = found[best], score[best]
         return found, score
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], but: int = -1) -> tuple[float, np.ndarray]:
-        found, score = self.nearest(*vector, NEIGHBOURS, but)
+    def vote(self, found: np.ndarray, score: np.ndarray) -> float:
+        """The share of label 1 among the neighbours, weighted by nearness."""
         nearness = HALF_DISTANCE / (HALF_DISTANCE + np.maximum(0, 1 - score))
-        votes = (nearness @ self.labels[found] + PRIOR_VOTES * self.rate) / (nearness.sum() + PRIOR_VOTES)
-        return float(votes), found
+        return float((nearness @ self.labels[found] + PRIOR_VOTES * self.rate) / (nearness.sum() + PRIOR_VOTES))
 
     def calibrate(self, votes: np.ndarray) -> None:
         """The best rising map from the examples' left-out votes to their labels, by pooling."""
@@ -176,47 +250,37 @@ class Examples:
             # Half a row of the base rate keeps a pool from being certain.
             self.chance_at = np.array([(y + 0.5 * self.rate) / (n + 0.5) for y, n, _ in pools])
 
-    def scores(self, vectors: list) -> list[tuple[float, np.ndarray]]:
-        """The score of each vector; equal ones are looked up once."""
-        known: dict[tuple[bytes, bytes], tuple[float, np.ndarray]] = {}
+    def neighbours(self, vectors: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each vector; equal ones are looked up once."""
+        known: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
         keys = [(word.tobytes(), np.round(weight, DIGITS).tobytes()) for word, weight in vectors]
         for key, vector in zip(keys, vectors):
             if key not in known:
-                known[key] = self.score(vector)
+                empty = not len(vector[0]) or not len(self.ids)
+                known[key] = (np.empty(0, np.int64), np.empty(0)) if empty else self.nearest(*vector, NEIGHBOURS)
         return [known[key] for key in keys]
 
-    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
-        if not len(vector[0]) or not len(self.ids):
-            return float(self.rate_without), np.empty(0, np.int64)
-        vote, found = self.vote(vector)
+    def score(self, found: np.ndarray, score: np.ndarray) -> float:
+        if not len(found):
+            return float(self.rate_without)
+        vote = self.vote(found, score)
         # Within a pool a little of the vote itself keeps the order of near cases.
-        return float(0.98 * np.interp(vote, self.votes_at, self.chance_at) + 0.02 * vote), self.ids[found]
+        return float(0.98 * np.interp(vote, self.votes_at, self.chance_at) + 0.02 * vote)
 
 
-def _word_counts(rows: DataFrame, schema: str, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """(word, rows, positive) partial counts of one batch each; with a vocabulary, only its words."""
+def _word_counts(rows: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """(word, n): the rows each word is in; with a sorted vocabulary, only its words."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        label = batch.column("label").to_numpy(zero_copy_only=False) if "label" in batch.schema.names else None
-        words, labels = [], []
-        for some in blocks(texts):
-            text, word, _ = _distinct(texts[some], vocabulary)
-            words.append(word)
-            labels.append(label[some][text] if label is not None else np.zeros(len(word)))
-        word, number = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_inverse=True)
-        positive = np.bincount(number, np.concatenate(labels) if labels else None, len(word))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(word.view(np.int64)),
-                pa.array(np.bincount(number, minlength=len(word)).astype(np.int64)),
-                pa.array(positive.astype(np.int64)),
-            ],
-            ["word", "n", "positive"],
-        )
+        words = [_distinct(texts[some])[1] for some in blocks(texts)]
+        word, n = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_counts=True)
+        if vocabulary is not None:
+            known = _places(vocabulary, word)[1]
+            word, n = word[known], n[known]
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    partial = over_batches(rows, work, schema)
-    return partial.groupBy("word").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    return over_batches(rows, work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Examples:
@@ -225,88 +289,122 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Examples:
     ``usable`` (over ``doc_id``) tells which labelled rows may be learned from.
     """
     chosen = staged(training_rows(docs, labels, "toxic", usable, TRAINING_ROWS), "toxic-examples")
-    size = chosen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).head()
-    n, p = float(size["n"]), float(size["p"])
-    counts = "word long, n long, positive long"
-    a, b = F.col("positive"), F.col("n") - F.col("positive")
-    c, d = F.lit(p) - a, F.lit(n - p) - b
-    chi = F.lit(n) * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    picked = (
-        _word_counts(chosen.select("text", "label"), counts)
-        .where((F.col("n") >= LEAST_ROWS) & (a * F.lit(n) > F.col("n") * F.lit(p)))
-        .withColumn("chi", chi)
-        .where(F.col("chi") >= LEAST_CHI_SQUARE)
-        .orderBy(F.desc("chi"), "word")
-        .limit(VOCABULARY)
-        .collect()
-    )
-    vocabulary = np.sort(np.array([r["word"] for r in picked], np.int64).view(np.uint64))
-    # One row per word of the bounded vocabulary, counted over every document.
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    seen = {r["word"]: r["n"] for r in _word_counts(texts, counts, vocabulary).collect()} if picked else {}
+    # The distinct words of at most TRAINING_ROWS texts; one row each, counted over every document.
+    vocabulary = _word_counts(chosen.select("text")).select("word").toArrow().column("word")
+    vocabulary = np.sort(vocabulary.to_numpy().view(np.uint64))
+    frequency = np.zeros(len(vocabulary))
+    if len(vocabulary):
+        seen = _word_counts(docs.select(F.coalesce("text", F.lit("")).alias("text")), vocabulary).toArrow()
+        frequency[_places(vocabulary, seen.column("word").to_numpy().view(np.uint64))[0]] = seen.column("n").to_numpy()
     total = docs.count()
-    frequency = np.array([seen.get(int(w), 0) for w in vocabulary.view(np.int64)], float)
-    model = Examples(vocabulary, 1 + np.log((1 + total) / (1 + frequency)))
-    # At most TRAINING_ROWS vectors over the vocabulary.
+    model = Examples(vocabulary, 1 + np.log((1 + total) / (1 + frequency)), total)
+    # At most TRAINING_ROWS vectors.
     rows = over_batches(
-        chosen, lambda batch: _vectors(batch, model), "doc_id long, label int, word array<long>, weight array<double>"
-    ).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["word"]))
-    vectors = [(np.array(r["word"], np.int64), np.array(r["weight"], float)) for r in rows]
-    model.index(
-        np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], float), vectors
-    )
-    filled = [v for v in vectors if len(v[0])]
-    model.calibrate(_left_out(docs.sparkSession, model, filled))
+        chosen, lambda batch: _vectors(batch, model), "doc_id long, label int, word array<int>, weight array<double>"
+    ).toArrow()
+    vectors = list(zip(_split(rows.column("word")), _split(rows.column("weight"))))
+    ids, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], label[i], vectors[i][0].tobytes(), vectors[i][1].tobytes()))
+    model.index(ids[order], label[order].astype(float), [vectors[i] for i in order])
+    del rows, vectors
+    model.calibrate(_left_out(docs.sparkSession, model))
     return model
 
 
+def _split(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    return [row.values.to_numpy() for chunk in lists.chunks for row in chunk]
+
+
 def _vectors(batch: pa.RecordBatch, model: Examples) -> pa.RecordBatch:
-    vectors = model.vectors(batch.column("text").to_pylist())
+    vectors = model.vectors(batch.column("text").to_pylist())[0]
     lengths = np.array([len(v[0]) for v in vectors], np.int64)
     join = lambda i, kind: np.concatenate([v[i] for v in vectors]).astype(kind)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("label"), list_array(join(0, np.int64), lengths), list_array(join(1, float), lengths)],
+        [batch.column("doc_id"), batch.column("label"), list_array(join(0, np.int32), lengths), list_array(join(1, float), lengths)],
         ["doc_id", "label", "word", "weight"],
     )
 
 
-def _left_out(spark, model: Examples, vectors: list) -> np.ndarray:
+def _left_out(spark, model: Examples) -> np.ndarray:
     """The vote of each example without itself, computed in tasks."""
-    if not vectors:
+    if not len(model.ids):
         return np.empty(0)
-    shared = spark.sparkContext.broadcast((model, vectors))
+    shared = model.shared(spark)
+    vectors: list = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, own = shared.value
+        known = shared.value
+        if not vectors:
+            vectors.extend(known.indexed())
         numbers = batch.column("id").to_pylist()
-        votes = [known.vote(own[i], but=i)[0] for i in numbers]
+        votes = [known.vote(*known.nearest(*vectors[i], NEIGHBOURS, but=i)) for i in numbers]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(votes, pa.float64())], ["id", "vote"])
 
-    found = over_batches(spark.range(len(vectors)), work, "id long, vote double").collect()
+    found = over_batches(spark.range(len(model.ids)), work, "id long, vote double").collect()
     return np.array([r["vote"] for r in sorted(found, key=lambda r: r["id"])])
 
 
 def scored(docs: DataFrame, model: Examples) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``evidence`` (ids of the nearest examples) of each row.
 
-    One pass without a shuffle over whole texts. A text without any word of the vocabulary, and
-    so a null or empty one, gets the rate of the training rows like it and no evidence. Ties
+    One pass over whole texts finds the neighbours; the words that no example has are counted
+    over all documents and joined to their rows. A text that shares no word with an example, and
+    so a null or empty one, gets the rate of the empty training rows and no evidence. Ties
     between examples go to the smaller id; repeated rows get equal scores. Without usable
     labels every score is one half.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
+    votes_at, chance_at = model.votes_at, model.chance_at
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = shared.value
+        vectors, square, others = known.vectors(batch.column("text").to_pylist())
+        found = known.neighbours(vectors)
+        lengths = np.array([len(f[0]) for f in found], np.int64)
+        beyond = np.array([len(o[0]) for o in others], np.int64)
+        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array(square),
+                list_array(join([f[0] for f in found], np.int64), lengths),
+                list_array(join([f[1] for f in found], float), lengths),
+                list_array(join([o[0].view(np.int64) for o in others], np.int64), beyond),
+                list_array(join([o[1] for o in others], float), beyond),
+            ],
+            ["doc_id", "square", "found", "near", "word", "times"],
+        )
+
+    # Written once: the row numbers on both sides of the join are the same.
+    schema = "doc_id long, square double, found array<long>, near array<double>, word array<long>, times array<double>"
+    rows = staged(over_batches(id_and_text(docs), look, schema).withColumn("row", F.monotonically_increasing_id()), "toxic-found")
+    other = rows.select("row", F.explode(F.arrays_zip("word", "times")).alias("w")).select("row", "w.word", "w.times")
+    # A word outside the vocabulary is in as many documents as it has rows here.
+    seen = other.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    idf = 1 + F.log(F.lit(1.0 + model.documents) / (1 + F.col("n")))
+    # Added in sorted order, so that equal texts have equal sums.
+    beyond = (
+        other.join(seen, "word")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.col("times") * idf * idf)).alias("squares"))
+        .select("row", F.aggregate("squares", F.lit(0.0), lambda total, x: total + x).alias("beyond"))
+    )
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = shared.value
-        found = known.scores(known.vectors(batch.column("text").to_pylist()))
+        known.votes_at, known.chance_at = votes_at, chance_at
+        square, beyond = batch.column("square").to_numpy(), batch.column("beyond").to_numpy()
+        share = np.sqrt(square / np.maximum(square + beyond, 1e-300))
+        found = [np.array(f, np.int64) for f in batch.column("found").to_pylist()]
+        near = [np.round(np.array(n, float) * s, DIGITS) for n, s in zip(batch.column("near").to_pylist(), share)]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                pa.array([f[0] for f in found], pa.float64()),
-                pa.array([f[1].tolist() for f in found], pa.list_(pa.int64())),
+                pa.array([known.score(*f) for f in zip(found, near)], pa.float64()),
+                pa.array([known.ids[f].tolist() for f in found], pa.list_(pa.int64())),
             ],
             ["doc_id", "score", "evidence"],
         )
 
-    return over_batches(id_and_text(docs), work, "doc_id long, score double, evidence array<long>")
+    whole = rows.join(beyond, "row", "left").select("doc_id", "square", "found", "near", F.coalesce("beyond", F.lit(0.0)).alias("beyond"))
+    return over_batches(whole, judge, "doc_id long, score double, evidence array<long>")

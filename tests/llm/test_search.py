@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +131,27 @@ def test_without_labels_or_documents(spark, labelled):
     model = toxicity.train(docs, labels.where("false"), F.lit(True))
     assert {r.score for r in toxicity.scored(docs, model).collect()} == {0.5}
     assert toxicity.scored(docs.where("false"), model).count() == 0
+
+
+def test_all_words_make_the_vectors(spark):
+    """Words that speak for a clean text, rare ones, and norms over every word of all documents."""
+    texts = {i: f"calm{i % 2} words" for i in range(8)} | {8: "vile rant", 9: "calm0 unheard unheard", 10: "vile else"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 8)) for i in range(9)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    found = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    frequency = Counter(w for t in texts.values() for w in set(t.split()))
+
+    def vector(text):
+        own = {w: (1 + math.log(n)) * (1 + math.log(12 / (1 + frequency[w]))) for w, n in Counter(text.split()).items()}
+        length = math.sqrt(sum(x * x for x in own.values()))
+        return {w: x / length for w, x in own.items()}
+
+    vectors = {i: vector(t) for i, t in texts.items()}
+    for i, row in found.items():
+        near = [(-round(sum(x * vectors[e].get(w, 0) for w, x in vectors[i].items()), 12), e) for e in range(9)]
+        near = sorted(n for n in near if n[0])
+        assert row.evidence == [e for _, e in near]
+        places = [model.ids.tolist().index(e) for _, e in near]
+        assert row.score == pytest.approx(model.score(np.array(places), np.array([-s for s, _ in near])))
+    assert found[10].score > found[9].score
