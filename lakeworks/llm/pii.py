@@ -5,7 +5,7 @@ Candidates are strings of a looser shape that no seed covers, with patterns from
 contexts. Seeds count as certain; a pattern is as sure as the share of sure instances among all
 it occurs with, an instance as sure as one of its patterns at least being right. The two are
 computed in turn over the graph of patterns and instances, and candidates that end up sure
-enough join the seeds. Column functions, joins and grouping only.
+enough join the seeds, from which it all begins anew until none joins. Column functions, joins and grouping only.
 """
 
 from __future__ import annotations
@@ -46,9 +46,8 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Characters of context that are kept, words of it that make a pattern.
 CONTEXT_CHARS = 48
 CONTEXT_WORDS = 2
-#: Rounds of scoring, seeds a pattern must have occurred with, and the confidence to accept.
+#: Rounds of scoring before candidates are accepted, and the confidence to accept.
 ROUNDS = 3
-LEAST_SEEDS = 3
 ACCEPT = 0.9
 
 
@@ -148,38 +147,45 @@ def _with_pattern(mentions: DataFrame) -> DataFrame:
 def sure_candidates(mentions: DataFrame) -> DataFrame:
     """Instances (``kind``, ``instance``) that the pattern-instance graph makes sure.
 
-    ``mentions`` has ``kind``, ``pattern``, ``instance`` and ``seed``. Only patterns that occur with a
-    seed can become sure, so the graph is cut down to them first. Edges are distinct; a pattern
-    that occurs with very many instances is aggregated before it is shuffled.
+    ``mentions`` has ``kind``, ``pattern``, ``instance`` and ``seed``. A round reaches the patterns
+    of all instances that have any confidence so far. Edges are distinct; a pattern that occurs
+    with very many instances is aggregated before it is shuffled.
     """
-    edges = (
+    edges = staged(
         mentions.where(F.col("pattern").isNotNull())
         .groupBy("kind", "pattern", "instance")
-        .agg(F.max("seed").alias("seed"))
+        .agg(F.max("seed").alias("seed")),
+        "pii-graph",
     )
-    seeded = edges.groupBy("kind", "pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"))
-    seeded = seeded.where(F.col("seeds") >= LEAST_SEEDS).select("kind", "pattern")
-    edges = staged(edges.join(seeded, ["kind", "pattern"]), "pii-graph")
-    sure = edges.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("sure"))
-    for _ in range(ROUNDS):
-        # One row's worth of doubt keeps a rare pattern from being certain.
-        patterns = (
-            edges.join(sure, ["kind", "instance"])
-            .groupBy("kind", "pattern")
-            .agg((F.sum("sure") / (F.count(F.lit(1)) + 0.25)).alias("trust"))
-        )
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("trust"))))
-        scored = (
-            edges.join(patterns, ["kind", "pattern"])
-            .groupBy("kind", "instance")
-            .agg(F.max("seed").alias("seed"), (1 - F.exp(doubt)).alias("sure"))
-        )
-        sure = staged(
-            scored.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(F.col("sure")).alias("sure")),
-            "pii-scores",
-        )
-    new = edges.where(~F.col("seed")).select("kind", "instance").distinct()
-    return sure.where(F.col("sure") >= ACCEPT).join(new, ["kind", "instance"]).select("kind", "instance")
+    sizes = staged(edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")), "pii-patterns")
+    instances = edges.groupBy("kind", "instance").agg(F.max("seed").alias("seed"))
+    seeds = staged(instances.where("seed").select("kind", "instance"), "pii-seeds")
+    accepted, n = seeds, seeds.count()
+    while n:
+        certain = accepted.withColumn("certain", F.lit(1.0))
+        sure = certain.withColumnRenamed("certain", "sure")
+        for _ in range(ROUNDS):
+            # One row's worth of doubt keeps a rare pattern from being certain.
+            patterns = (
+                edges.join(sure, ["kind", "instance"])
+                .groupBy("kind", "pattern")
+                .agg(F.sum("sure").alias("sure"))
+                .join(sizes, ["kind", "pattern"])
+                .select("kind", "pattern", (F.col("sure") / (F.col("n") + 0.25)).alias("trust"))
+            )
+            doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("trust"))))
+            scored = (
+                edges.join(patterns, ["kind", "pattern"])
+                .groupBy("kind", "instance")
+                .agg((1 - F.exp(doubt)).alias("sure"))
+                .join(certain, ["kind", "instance"], "left")
+            )
+            sure = staged(scored.select("kind", "instance", F.coalesce("certain", "sure").alias("sure")), "pii-scores")
+        accepted = sure.where(F.col("sure") >= ACCEPT).select("kind", "instance")
+        before, n = n, accepted.count()
+        if n == before:
+            break
+    return accepted.join(seeds, ["kind", "instance"], "left_anti")
 
 
 def find(rows: DataFrame) -> DataFrame:

@@ -240,3 +240,17 @@ def test_chunks_of_large_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FAMILY_CHUNK", 8)
     found = {r.doc_id: r.class_id for r in neardup.classes(documents(spark, texts)).collect()}
     assert {found[i] for i in range(60)} == {0} and [found[i] for i in range(60, 65)] == list(range(60, 65))
+
+
+def test_accepted_candidates_are_seeds_of_further_patterns(spark):
+    rows = [(3, "reach me", f"+1{i}", True) for i in range(20)]
+    rows += [(3, "reach me", f"5{i}", False) for i in range(2)]
+    # Both share a context that no base seed has, with a third; so it goes on for one more hop.
+    rows += [(3, "desk line", f"5{i}", False) for i in range(2)] + [(3, "desk line", f"5{i}", False) for i in range(10, 11)]
+    rows += [(3, "reach me", f"6{i}", False) for i in range(2)] + [(3, "desk line", f"6{i}", False) for i in range(2)]
+    rows += [(3, "night shift", "510", False), (3, "never seen", "999", False)]
+    # Two contexts with two seeds each are enough together.
+    rows += [(3, f"few {i}", f"+2{i}{j}", True) for i in range(2) for j in range(2)]
+    rows += [(3, f"few {i}", "700", False) for i in range(2)]
+    mentions = spark.createDataFrame(rows, "kind int, pattern string, instance string, seed boolean")
+    assert {r.instance for r in pii.sure_candidates(mentions).collect()} == {"50", "51", "60", "61", "510", "700"}
