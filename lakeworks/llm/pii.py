@@ -1,6 +1,8 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapping their contexts.
 
-Seeds are what the fixed patterns find. The words before a seed make a lexical pattern.
+Seeds are what the fixed patterns find. The words next to a seed make lexical patterns: the last
+two before it and the last one, the first two after it and the first one, with the line's start
+and end counting as words.
 Candidates are strings of a looser shape that no seed covers, with patterns from their own
 contexts. Seeds count as certain; a pattern is as sure as the share of sure instances among all
 it occurs with, an instance as sure as one of its patterns at least being right. The two are
@@ -69,10 +71,11 @@ def _hint(kind: str) -> Column:
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
-    """Every match of every pattern: ``row``, ``loose``, ``kind``, ``value``, ``before`` (context) and place.
+    """Every match of every pattern: ``row``, ``loose``, ``kind``, ``value``, ``before`` and ``after`` (context), place.
 
     The pieces between matches and the matches alternate, so places are running sums of their
-    lengths, taken per row, pattern and kind.
+    lengths, taken per row, pattern and kind. A list has its context at its ends: what lies
+    between two matches and holds no words is passed over.
     """
     found = F.array(
         *[F.struct(F.lit(False).alias("loose"), _found(k, PATTERNS[k], _hint(k)).alias("f")) for k in KINDS],
@@ -95,20 +98,62 @@ def _mentions(rows: DataFrame) -> DataFrame:
                     lambda m, i: F.struct(
                         m.alias("value"),
                         F.length(F.col("x.f.pieces")[i]).alias("gap"),
-                        F.right(F.col("x.f.pieces")[i], F.lit(CONTEXT_CHARS)).alias("before"),
+                        _last_words(F.col("x.f.pieces")[i], i == 0).alias("before"),
+                        _first_words(F.col("x.f.pieces")[i + 1], i == F.size("x.f.matches") - 1).alias("after"),
                     ),
                 )
             ).alias("at", "m"),
         )
-        .select("row", "loose", "kind", "at", "m.value", "m.gap", "m.before")
+        .select("row", "loose", "kind", "at", "m.value", "m.gap", "m.before", "m.after")
+    )
+    place = Window.partitionBy("row", "loose", "kind").orderBy("at")
+    up_to = place.rowsBetween(Window.unboundedPreceding, 0)
+    on = place.rowsBetween(0, Window.unboundedFollowing)
+    none = F.expr("cast(array() AS array<string>)")
+    # A piece with words, and those of the next such piece further away.
+    further = F.last(_some("before"), True).over(place.rowsBetween(Window.unboundedPreceding, -1))
+    beyond = F.first(_some("after"), True).over(place.rowsBetween(1, Window.unboundedFollowing))
+    matches = matches.withColumns(
+        {
+            "left": F.concat(F.coalesce(further, none), _some("before")),
+            "right": F.concat(_some("after"), F.coalesce(beyond, none)),
+            "end": F.sum(F.col("gap") + F.length("value")).over(up_to),
+        }
     )
-    up_to = Window.partitionBy("row", "loose", "kind").orderBy("at")
-    end = F.sum(F.col("gap") + F.length("value")).over(up_to)
     return matches.select(
-        "row", "loose", "kind", "value", "before", (end - F.length("value")).alias("start"), end.alias("end")
+        "row",
+        "loose",
+        "kind",
+        "value",
+        F.coalesce(F.last("left", True).over(up_to), none).alias("before"),
+        F.coalesce(F.first("right", True).over(on), none).alias("after"),
+        (F.col("end") - F.length("value")).alias("start"),
+        "end",
     )
 
 
+def _some(words: str) -> Column:
+    return F.when(F.size(words) > 0, F.col(words))
+
+
+def _tokens(text: Column) -> Column:
+    """Words, letters only, and line breaks."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\n"), F.lit(0))
+
+
+def _last_words(piece: Column, first: Column) -> Column:
+    """The last words of a piece; the text's start counts as a line break."""
+    near = F.right(piece, F.lit(CONTEXT_CHARS))
+    words = _tokens(F.when(first & (F.length(piece) <= CONTEXT_CHARS), F.concat(F.lit("\n"), near)).otherwise(near))
+    return F.slice(words, F.greatest(F.lit(1), F.size(words) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS))
+
+
+def _first_words(piece: Column, last: Column) -> Column:
+    near = F.left(piece, F.lit(CONTEXT_CHARS))
+    words = _tokens(F.when(last & (F.length(piece) <= CONTEXT_CHARS), F.concat(near, F.lit("\n"))).otherwise(near))
+    return F.slice(words, 1, CONTEXT_WORDS)
+
+
 def _luhn(digits: Column) -> Column:
     def step(total: Column, i: Column) -> Column:
         digit = F.substring(digits, -i, F.lit(1)).cast("int")
@@ -131,14 +176,23 @@ def _valid() -> Column:
     )
 
 
-def _with_pattern(mentions: DataFrame) -> DataFrame:
-    """The lexical pattern: the kind and the last words before, letters only, of the same line."""
-    line = F.regexp_extract("before", r"([^\n]*)$", 1)
-    words = F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: w != "")
-    last = F.slice(words, F.greatest(F.lit(1), F.size(words) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS))
+def _with_patterns(mentions: DataFrame) -> DataFrame:
+    """The lexical patterns of a mention, and its instance.
+
+    ``a b<`` and ``b<`` are the words before, ``>c d`` and ``>c`` those after; a line break ends them.
+    """
+    word = lambda w: F.when(w == "\n", F.lit("^")).otherwise(w)
+    last, one_before = F.try_element_at("before", F.lit(-1)), F.try_element_at("before", F.lit(-2))
+    first, one_after = F.try_element_at("after", F.lit(1)), F.try_element_at("after", F.lit(2))
+    patterns = F.array(
+        F.concat(word(last), F.lit("<")),
+        F.when(last != "\n", F.concat(word(one_before), F.lit(" "), last, F.lit("<"))),
+        F.concat(F.lit(">"), word(first)),
+        F.when(first != "\n", F.concat(F.lit(">"), first, F.lit(" "), word(one_after))),
+    )
     return mentions.withColumns(
         {
-            "pattern": F.when(F.size(words) >= CONTEXT_WORDS, F.concat_ws(" ", last)),
+            "patterns": F.filter(patterns, lambda p: p.isNotNull()),
             "instance": F.lower(F.regexp_replace("value", r"[\s().-]+", "")),
         }
     )
@@ -149,7 +203,8 @@ def sure_candidates(mentions: DataFrame) -> DataFrame:
 
     ``mentions`` has ``kind``, ``pattern``, ``instance`` and ``seed``. A round reaches the patterns
     of all instances that have any confidence so far. Edges are distinct; a pattern that occurs
-    with very many instances is aggregated before it is shuffled.
+    with very many instances is aggregated before it is shuffled. Patterns that share
+    the word next to the instance are no independent evidence: the best of them counts.
     """
     edges = staged(
         mentions.where(F.col("pattern").isNotNull())
@@ -174,8 +229,12 @@ def sure_candidates(mentions: DataFrame) -> DataFrame:
                 .select("kind", "pattern", (F.col("sure") / (F.col("n") + 0.25)).alias("trust"))
             )
             doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("trust"))))
+            first, last = F.substring_index("pattern", " ", 1), F.substring_index("pattern", " ", -1)
+            near = F.when(F.col("pattern").startswith(">"), first).otherwise(last)
             scored = (
                 edges.join(patterns, ["kind", "pattern"])
+                .groupBy("kind", "instance", near.alias("near"))
+                .agg(F.max("trust").alias("trust"))
                 .groupBy("kind", "instance")
                 .agg((1 - F.exp(doubt)).alias("sure"))
                 .join(certain, ["kind", "instance"], "left")
@@ -198,9 +257,9 @@ def find(rows: DataFrame) -> DataFrame:
     mentions = _mentions(rows).withColumn("valid", ~F.col("loose") & _valid())
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
     # A number that fails the checksum is a candidate card.
-    candidate = F.col("loose") | ((F.col("kind") == 2) & ~F.col("valid") & digits.between(13, 19))
+    candidate = F.col("loose") | ((F.col("kind") == 2) & ~F.col("valid") & digits.between(12, 19))
     mentions = staged(
-        _with_pattern(mentions.where(F.col("valid") | candidate)).drop("before", "value", "loose"), "pii-mentions"
+        _with_patterns(mentions.where(F.col("valid") | candidate)).drop("before", "after", "value", "loose"), "pii-mentions"
     )
     # What a seed covers is no candidate.
     covers = mentions.where("valid").select(
@@ -209,7 +268,9 @@ def find(rows: DataFrame) -> DataFrame:
     covered = (F.col("row") == F.col("r")) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
     free = mentions.where(~F.col("valid")).join(covers, covered, "left_anti")
     mentions = mentions.where("valid").unionByName(free)
-    sure = sure_candidates(mentions.withColumnRenamed("valid", "seed"))
+    sure = sure_candidates(
+        mentions.select("kind", "instance", F.col("valid").alias("seed"), F.explode("patterns").alias("pattern"))
+    )
     span = F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"))
     base = mentions.where("valid").select("row", F.lit(True).alias("is_base"), span.alias("span"))
     more = mentions.where(~F.col("valid")).join(sure, ["kind", "instance"])

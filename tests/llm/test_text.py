@@ -254,3 +254,24 @@ def test_accepted_candidates_are_seeds_of_further_patterns(spark):
     rows += [(3, f"few {i}", "700", False) for i in range(2)]
     mentions = spark.createDataFrame(rows, "kind int, pattern string, instance string, seed boolean")
     assert {r.instance for r in pii.sure_candidates(mentions).collect()} == {"50", "51", "60", "61", "510", "700"}
+
+
+def test_contexts_of_one_word_of_lists_and_after(spark):
+    texts = [f"Phone: +1 (212) 555-01{i:02d}\nmore" for i in range(40)]
+    texts += [f"write a@b{i}.org (work account)" for i in range(40)]
+    texts += ["Phone: 212-555-0200, 212-555-0201, 212-555-0202\nmore", "xx\nPhone: 212-555-0203\nmore"]
+    texts += ["card 4111111111111111 ok"]
+    texts += ["1 " * 40 + "bob (at) site (dot) org (work account)", "Phone 1: x\n" + "212-555-0300 zz"]
+    texts += [f"my card {n} is" for n in CARDS] + ["my card 123456789012 is"]
+    found = {r.doc_id: r.spans for r in pii.scan(documents(spark, texts)).collect()}
+    assert found[80] == "phone:7:19,phone:21:33,phone:35:47" and found[81] == "phone:10:22"
+    assert found[83] == "email:80:103" and found[84] == ""
+    assert found[len(texts) - 1] == "card:8:20"
+
+
+def luhn(digits):
+    total = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits), 1))
+    return total % 10 == 0
+
+
+CARDS = [n for n in map(str, range(4111111111110000, 4111111111110400)) if luhn(n)]
