@@ -283,8 +283,9 @@ def find(rows: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a row number, written once: computed again it could count other partitions."""
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "pii-rows")
 
 
 def _written(spans: Column) -> Column:
@@ -304,7 +305,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ``n_email`` ... count the base spans; ``base_sha256`` is the digest of the base spans, ``spans``
     the text of all. Null and empty texts have none; repeated rows are rows of their own.
     """
-    rows = _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
     found = rows.select("row", "doc_id").join(find(rows), "row", "left")
     base = F.coalesce("base", F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     counts = [_count(base, i).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
@@ -322,7 +323,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first stays (the longer of two with one start). All other columns
     and all rows are kept.
     """
-    rows = docs.withColumn("_pii_row", F.monotonically_increasing_id())
+    rows = _numbered(docs, "_pii_row")
     spans = find(rows.select(F.col("_pii_row").alias("row"), F.coalesce("text", F.lit("")).alias("text"))).select(
         F.col("row").alias("_pii_of"), F.col("spans").alias("_pii_spans")
     )

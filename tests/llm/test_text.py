@@ -66,6 +66,12 @@ def test_token_files_give_back_every_id(spark, library, tmp_path):
     assert found == expected
 
 
+def test_row_numbers_are_written_once(spark):
+    docs = documents(spark, PERSONAL)
+    for result in (pii.scan(docs), pii.redacted(docs)):
+        assert "monotonically_increasing_id" not in result._jdf.queryExecution().toString()
+
+
 def luhn(digits):
     twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
@@ -269,6 +275,12 @@ def test_contexts_of_one_word_of_lists_and_after(spark):
     assert found[len(texts) - 1] == "card:8:20"
 
 
+def test_row_numbers_are_written_once(spark):
+    docs = documents(spark, PERSONAL)
+    for result in (pii.scan(docs), pii.redacted(docs)):
+        assert "monotonically_increasing_id" not in result._jdf.queryExecution().toString()
+
+
 def luhn(digits):
     total = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits), 1))
     return total % 10 == 0
