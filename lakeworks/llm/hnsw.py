@@ -145,8 +145,10 @@ class Graph:
             for square, node in self.nearest_nodes(vector, max(BREADTH, k + 1)):
                 if found >= k and square > last:
                     break  # nodes at the same distance still compete by id
-                own = self.members[node][: k + 1]
-                own = own[self.ids[own] != query_id][:k]
+                # Ids ascend, and members by place: the query's own rows lie side by side.
+                own = self.members[node]
+                low, high = np.searchsorted(own, np.searchsorted(self.ids, [query_id, query_id + 1]))
+                own = np.concatenate([own[: min(low, k)], own[high : high + k]])[:k]
                 query += [query_id] * len(own)
                 rows += own.tolist()
                 scores += [float(np.sqrt(square))] * len(own)

@@ -155,3 +155,9 @@ def test_all_words_make_the_vectors(spark):
         places = [model.ids.tolist().index(e) for _, e in near]
         assert row.score == pytest.approx(model.score(np.array(places), np.array([-s for s, _ in near])))
     assert found[10].score > found[9].score
+
+
+def test_own_copies_hide_no_neighbour():
+    ids = np.array([5] * 30 + [7, 8] + [9] * 30)
+    found = list(hnsw.Graph(ids, np.ones((62, 4))).search(np.array([5]), np.ones((1, 4)), 10))
+    assert [i for _, rows, _ in found for i in rows.tolist()] == [7, 8] + [9] * 8
