@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeworks.llm.common import id_and_text, over_batches, smallest_by_hash
+from lakeworks.llm.common import id_and_text, over_batches, smallest_by_hash, staged
 
 #: Labelled rows that the model is fitted on, at most; pairs for each bad row; fitting steps.
 TRAINING_ROWS = 16384
@@ -104,15 +104,22 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Ranking:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
-    """Texts and labels (0 or 1) of at most ``rows`` labelled documents, chosen by a hash of the id.
+    """Distinct texts with labels (0 or 1), at most ``rows``, of documents chosen by a hash of the id.
 
-    The bounded sample of labels goes to the documents, which are not shuffled.
+    The bounded sample of labels goes to the documents. Equal rows are grouped, and what is left of
+    an id with many texts comes after one text of every id.
     """
     some = labels.select(F.col("doc_id").alias("labelled"), F.col(label).cast("int").alias("label"))
     some = smallest_by_hash(
         some.where(F.col("label").isin(0, 1)).withColumnRenamed("labelled", "doc_id").where(usable), rows
     )
-    return id_and_text(docs).join(F.broadcast(some), "doc_id")
+    found = id_and_text(docs).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "text", "label"])
+    found = staged(found, "labelled-texts")
+    place = F.xxhash64("text", "label")
+    first = found.groupBy(F.col("doc_id").alias("id")).agg(F.min(place).alias("first"))
+    found = found.join(F.broadcast(first), F.col("doc_id") == F.col("id"))
+    order = [place != F.col("first"), F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text"), F.col("label")]
+    return found.orderBy(*order).limit(rows).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Ranking:

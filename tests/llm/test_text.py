@@ -287,3 +287,14 @@ def luhn(digits):
 
 
 CARDS = [n for n in map(str, range(4111111111110000, 4111111111110400)) if luhn(n)]
+
+
+def test_a_hot_labelled_id_gives_bounded_training_rows(spark):
+    docs = documents(spark, [f"text {i}" for i in range(10)])
+    hot = docs.where("doc_id = 3").crossJoin(spark.range(90)).drop("id")
+    other = hot.withColumn("text", F.concat("text", F.lit(" "), F.monotonically_increasing_id()))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    rows = quality.training_rows(docs.unionByName(hot), labels, "quality", F.lit(True), 20).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(10))
+    rows = quality.training_rows(docs.unionByName(other), labels, "quality", F.lit(True), 20).collect()
+    assert len(rows) == 20 and {r.doc_id for r in rows} == set(range(10))
