@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeworks.llm import bpe, hnsw, licenses, mixing, mtree, neardup, pii, quality, token_files, toxicity
+from lakeworks.llm import (
+    bpe,
+    centroids,
+    hnsw,
+    language,
+    lexical,
+    licenses,
+    mixing,
+    mtree,
+    neardup,
+    pii,
+    quality,
+    token_files,
+    toxicity,
+)
 from lakeworks.llm.common import remainder, table
 from lakeworks.sources.scratch import new_folder
 
@@ -84,6 +98,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents, remainder("doc_id", 4) != 2)
+    held_out = (remainder("doc_id", 4) == 2).alias("held_out")
+    return language.predicted(documents, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -95,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op11_lexical": op11_lexical,
+    "op12_language": op12_language,
+    "op13_centroids": op13_centroids,
 }
 
 SQL = {
@@ -110,4 +142,6 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
+    "op11_lexical": lexical.SQL,
+    "op13_centroids": centroids.SQL,
 }
