@@ -6,17 +6,17 @@ and again after a lost executor, with the same result.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from itertools import combinations_with_replacement
+from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeworks.functions.columns import by_bounds, iso_text, parse_ts
+from lakeworks.functions.columns import iso_text, parse_ts
 from lakeworks.functions.hashing import pick, pick_weighted, uniform, uniform_int
 from lakeworks.schemas import RAW_COLUMNS
 from lakeworks.sources.scratch import new_folder
@@ -46,6 +46,12 @@ NORMAL = NormalDist()
 SCORE_BINS = 32
 SCORE_STEPS = 1000
 MAX_SCORE = 5.0
+# Equally likely stretches of a category's scores; a value is drawn within the stretch.
+CATEGORY_BINS = 64
+# Up to so many values are looked up in an array of the plan, more by a join.
+LISTED_VALUES = 64
+# Columns that correlate with no other by as much are drawn on their own.
+LEAST_CORRELATION = 0.02
 
 
 def synthetic_transactions(ids: DataFrame, key: str = "id", seed: int = 0) -> DataFrame:
@@ -105,6 +111,7 @@ class Profile:
     ``grids`` holds evenly spaced quantiles of the numeric columns (``times`` among them, in
     seconds since 1970), ``shares`` the share of each value of the categorical ones, most
     frequent first. Their size is bounded; ``tables`` are the shares of columns with more values.
+    ``correlation`` is that of the normal scores of ``correlated`` columns.
     ``nulls`` is the share of nulls by column. ``ids`` are made anew for every row.
     """
 
@@ -157,7 +164,8 @@ def learn(
     nulls = {c: 1 - row[f"n_{c}"] / row["rows"] for c in df.columns} if row["rows"] else {}
     grids = {c: list(row[f"q_{c}"] or []) for c in scored}
     shares, tables = _value_shares(df, categorical, max_categories)
-    return Profile(grids, shares, _correlation(df, grids, shares, bins), tables, nulls, tuple(times), tuple(ids))
+    found = Profile(grids, shares, None, tables, nulls, tuple(times), tuple(ids))
+    return replace(found, correlation=_score_correlation(df, found, bins))
 
 
 def sample(
@@ -167,20 +175,18 @@ def sample(
 
     Normal scores beyond ``max_score`` count as that: with 5, one draw in 1.7 million.
     """
-    columns = profile.correlated
     k = F.xxhash64(F.col(key), F.lit(seed))
-    noise = [_normal_draw(k, f"noise:{c}") for c in columns]
+    linked, root = _linked(profile)
     places = {c: uniform_int(k, f"place:{c}", 0, t.total - 1) for c, t in profile.tables.items()}
     drawn = ids.select(
         key,
         k.alias("_k"),
-        *[e.alias(f"e{i}") for i, e in enumerate(noise)],
+        *[_normal_draw(k, f"noise:{c}").alias(f"e{i}") for i, c in enumerate(linked)],
         *[p.alias(f"_at_{c}") for c, p in places.items()],
     )
-    root = np.eye(len(columns)) if profile.correlation is None else _root(profile.correlation)
     scores = {
-        c: sum((F.col(f"e{j}") * F.lit(float(root[i, j])) for j in range(i + 1)), F.lit(0.0))
-        for i, c in enumerate(columns)
+        c: sum((F.col(f"e{j}") * F.lit(float(w)) for j, w in enumerate(root[i]) if w), F.lit(0.0))
+        for i, c in enumerate(linked)
     }
     rows = drawn.select(
         key, "_k", *[f"_at_{c}" for c in places], *[s.alias(f"_z_{c}") for c, s in scores.items()]
@@ -190,9 +196,14 @@ def sample(
         at = F.col(f"_at_{c}")
         met = F.floor(at / t.width) == F.col(f"_cell_{c}")
         rows = rows.join(cells, met & (at >= F.col(f"_first_{c}")) & (at < F.col(f"_end_{c}")))
-    values = {c: _number_at(F.col(f"_z_{c}"), grid, max_score) for c, grid in profile.grids.items()}
+    values = {}
+    for c, grid in profile.grids.items():
+        own = uniform("_k", f"draw:{c}")
+        values[c] = _number_at(F.col(f"_z_{c}"), grid, max_score) if c in linked else _quantile(own, grid)
     values |= {c: iso_text(F.timestamp_seconds(F.round(values[c]))) for c in profile.times}
-    values |= {c: _category_at(F.col(f"_z_{c}"), share) for c, share in profile.shares.items()}
+    for c, share in profile.shares.items():
+        own = uniform("_k", f"draw:{c}")
+        values[c] = _category_at(F.col(f"_z_{c}"), own, share, max_score) if c in linked else _category(own, share)
     values |= {c: F.col(f"_value_{c}") for c in profile.tables}
     for c, share in profile.nulls.items():
         if 0 < share:
@@ -242,59 +253,78 @@ def _value_shares(df: DataFrame, columns: Sequence[str], most: int) -> tuple[dic
         if c not in large:
             own = sorted((-r["n"], r["value"]) for r in found if r["column"] == c)
             shares[c] = {value: -n / sizes[c]["total"] for n, value in own}
-    return shares, {c: _share_table(counts, c, sizes[c], f"{folder}/{i}") for i, c in enumerate(large)}
+    return shares, _share_tables(counts, {c: sizes[c] for c in large}, f"{folder}/places")
 
 
-def _share_table(counts: DataFrame, column: str, size, path: str) -> Shares:
-    """Number the rows of a column's values: sums over at most 4,096 groups, then within each."""
-    width = -(-size["total"] // size["values"])
-    own = counts.where(F.col("column") == column).withColumn("group", F.substring(F.md5("value"), 1, 3))
+def _share_tables(counts: DataFrame, sizes: Mapping, path: str) -> dict[str, Shares]:
+    """Number the rows of each column's values: sums over at most 4,096 groups, then within each."""
+    if not sizes:
+        return {}
+    widths = {c: -(-size["total"] // size["values"]) for c, size in sizes.items()}
+    own = counts.where(F.col("column").isin(list(sizes))).withColumn("group", F.substring(F.md5("value"), 1, 3))
     before = Window.unboundedPreceding
-    ahead = own.groupBy("group").agg(F.sum("n").alias("n")).select(
-        "group",
-        F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(before, -1)), F.lit(0)).alias("ahead"),
+    by_group = Window.partitionBy("column").orderBy("group").rowsBetween(before, -1)
+    ahead = own.groupBy("column", "group").agg(F.sum("n").alias("n")).select(
+        "column", "group", F.coalesce(F.sum("n").over(by_group), F.lit(0)).alias("ahead")
     )
-    within = Window.partitionBy("group").orderBy("value").rowsBetween(before, 0)
-    placed = own.withColumn("upto", F.sum("n").over(within)).join(ahead, "group")
-    placed = placed.select("value", (F.col("ahead") + F.col("upto")).alias("end"), "n")
-    first, cell = F.col("end") - F.col("n"), lambda at: F.floor(at / width)
-    placed.select(
-        F.explode(F.sequence(cell(first), cell(F.col("end") - 1))).alias("cell"), first.alias("first"), "end", "value"
-    ).write.parquet(path)
-    return Shares(counts.sparkSession.read.parquet(path), size["total"], width)
+    within = Window.partitionBy("column", "group").orderBy("value").rowsBetween(before, 0)
+    placed = own.withColumn("upto", F.sum("n").over(within)).join(ahead, ["column", "group"])
+    width = F.create_map(*[F.lit(x) for pair in widths.items() for x in pair])[F.col("column")]
+    placed = placed.select("column", "value", (F.col("ahead") + F.col("upto")).alias("end"), "n", width.alias("width"))
+    first, cell = F.col("end") - F.col("n"), lambda at: F.floor(at / F.col("width"))
+    cells = F.explode(F.sequence(cell(first), cell(F.col("end") - 1)))
+    placed.select("column", cells.alias("cell"), first.alias("first"), "end", "value").write.parquet(path)
+    written = counts.sparkSession.read.parquet(path)
+    return {
+        c: Shares(written.where(F.col("column") == c).drop("column"), size["total"], widths[c])
+        for c, size in sizes.items()
+    }
 
 
 def _pairs(columns: Sequence[str]) -> list[Column]:
     return [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
 
 
-def _correlation(df: DataFrame, grids: Mapping, shares: Mapping, bins: int) -> np.ndarray:
-    """Correlations of the normal scores, from their sums and products in one aggregate.
+def score_correlation(df: DataFrame, profile: Profile, bins: int = SCORE_BINS) -> np.ndarray:
+    """Correlations of a table's rows under the distributions of a profile, in the order of its columns."""
+    numbers = [parse_ts(c) if c in profile.times else F.col(c) for c in profile.grids]
+    values = [n.cast("double").alias(c) for n, c in zip(numbers, profile.grids)]
+    return _score_correlation(df.select(*values, *[F.col(c).cast("string").alias(c) for c in profile.shares]), profile, bins)
+
 
-    A missing value counts as a middling one (score 0). Scores are small numbers around 0, so
-    plain sums lose nothing; a constant column has no correlation.
+def _score_correlation(df: DataFrame, profile: Profile, bins: int) -> np.ndarray:
+    """Correlations of the normal scores.
+
+    A missing value counts as a middling one (score 0); a constant column has no correlation. The
+    scores of a category come from a broadcast of at most ``max_categories`` rows.
     """
-    scores = [_number_score(F.col(c), grid, bins) for c, grid in grids.items()]
-    scores += [_category_score(F.col(c), share) for c, share in shares.items()]
-    if len(scores) < 2:
-        return np.eye(len(scores))
-    z = [F.col(f"z{i}") for i in range(len(scores))]
-    pairs = list(combinations_with_replacement(range(len(scores)), 2))
-    row = (
-        df.select(*[F.coalesce(s, F.lit(0.0)).alias(f"z{i}") for i, s in enumerate(scores)])
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(z[i]).alias(f"s{i}") for i in range(len(z))],
-            *[F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i, j in pairs],
-        )
-        .first()
+    n = len(profile.correlated)
+    if n < 2:
+        return np.eye(n)
+    scores = [_number_score(F.col(c), g, bins) for c, g in profile.grids.items()]
+    for i, (c, share) in enumerate(profile.shares.items(), len(profile.grids)):
+        middles = _middle_scores(share)
+        if len(share) <= LISTED_VALUES:
+            place = F.array_position(_texts(share), F.col(c)).cast("int") - 1
+            scores.append(F.when(place >= 0, F.get(_numbers(middles), place)) if share else F.lit(0.0))
+        else:
+            rows = [{f"_v{i}": v, f"_z{i}": z} for v, z in zip(share, middles)]
+            known = _literal_rows(df.sparkSession, rows, f"_v{i} string, _z{i} double")
+            df = df.join(F.broadcast(known), F.col(c) == F.col(f"_v{i}"), "left")
+            scores.append(F.col(f"_z{i}"))
+    # A row of the matrix per score: the score times all scores of its row, summed.
+    z = df.select(F.array(*[F.coalesce(s, F.lit(0.0)) for s in scores]).alias("z"))
+    products = [F.sum(F.col("x") * F.get("z", F.lit(j))).alias(f"p{j}") for j in range(n)]
+    # (The outer form, so that the array is not computed once more to see whether it is empty.)
+    sums = z.select("z", F.posexplode_outer("z").alias("i", "x")).groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), *products
     )
-    if not row["n"]:
-        return np.eye(len(scores))
-    mean = np.array([row[f"s{i}"] for i in range(len(z))]) / row["n"]
-    covariance = np.zeros((len(z), len(z)))
-    for i, j in pairs:
-        covariance[i, j] = covariance[j, i] = row[f"p{i}_{j}"] / row["n"] - mean[i] * mean[j]
+    found = sorted(sums.collect())
+    if not found:
+        return np.eye(n)
+    rows = found[0]["n"]
+    mean = np.array([r["s"] for r in found]) / rows
+    covariance = np.array([[r[f"p{j}"] for j in range(n)] for r in found]) / rows - np.outer(mean, mean)
     spread = np.sqrt(np.maximum(np.diag(covariance), 0.0))
     scale = np.outer(spread, spread)
     out = np.divide(covariance, scale, out=np.zeros_like(covariance), where=scale > 1e-9)
@@ -302,19 +332,72 @@ def _correlation(df: DataFrame, grids: Mapping, shares: Mapping, bins: int) -> n
     return out
 
 
+def _linked(profile: Profile) -> tuple[list[str], np.ndarray]:
+    """The columns that correlate with another one, and a root of their correlations."""
+    columns = profile.correlated
+    if profile.correlation is None or not columns:
+        return [], np.eye(0)
+    off = np.abs(profile.correlation - np.eye(len(columns))) >= LEAST_CORRELATION
+    at = np.flatnonzero(off.any(1))
+    root = _root(_latent(profile)[np.ix_(at, at)])
+    root[np.abs(root) < LEAST_CORRELATION / 2] = 0
+    return [columns[i] for i in at], root / np.sqrt((root**2).sum(1, keepdims=True))
+
+
+def _latent(profile: Profile) -> np.ndarray:
+    """Correlations to draw with.
+
+    A category's score stands for a whole stretch of the normal distribution, so categories correlate
+    less than what they were cut from. Dividing by how well a column's scores follow the uncut
+    ones gives back, to first order, the correlations that were measured.
+    """
+    follow = [1.0] * len(profile.grids) + [_following(share) for share in profile.shares.values()]
+    out = np.clip(profile.correlation / np.outer(follow, follow), -1.0, 1.0)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def _middle_scores(share: Mapping[str, float]) -> list[float]:
+    """Normal score of each value: of the middle of its stretch of [0, 1]."""
+    parts = np.array(list(share.values()))
+    return [NORMAL.inv_cdf(min(max(float(m), 1e-12), 1 - 1e-12)) for m in np.cumsum(parts) - parts / 2]
+
+
+def _following(share: Mapping[str, float]) -> float:
+    """Correlation of a category's scores with the normal scores they are cut from."""
+    parts, scores = np.array(list(share.values())), np.array(_middle_scores(share))
+    spread = math.sqrt(max(float((parts * scores**2).sum() - (parts * scores).sum() ** 2), 0.0)) if len(parts) else 0.0
+    if spread < 1e-9:
+        return 1.0
+    cuts = [NORMAL.inv_cdf(min(max(float(u), 1e-12), 1 - 1e-12)) for u in np.cumsum(parts)[:-1]]
+    density = np.array([0.0, *[NORMAL.pdf(x) for x in cuts], 0.0])
+    return min(1.0, max(0.1, float((scores * (density[:-1] - density[1:])).sum()) / spread))
+
+
 def _root(correlation: np.ndarray) -> np.ndarray:
-    """Lower-triangular root; a matrix that is barely not positive is moved towards identity."""
-    identity = np.eye(len(correlation))
-    for blend in (0.0, 1e-6, 1e-3, 1e-2, 0.1, 0.5, 1.0):
-        try:
-            return np.linalg.cholesky((1 - blend) * correlation + blend * identity)
-        except np.linalg.LinAlgError:
-            continue
-    return identity
+    """A root of the nearest matrix without negative eigenvalues, its diagonal brought back to one."""
+    values, vectors = np.linalg.eigh(correlation)
+    whole = (vectors * np.maximum(values, 1e-9)) @ vectors.T
+    spread = np.sqrt(np.diag(whole))
+    return np.linalg.cholesky(whole / np.outer(spread, spread) + 1e-12 * np.eye(len(whole)))
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    """An array of numbers as one literal: one constant of the plan, however many numbers."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _texts(values: Sequence[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
+def _literal_rows(spark, rows: Sequence[Mapping], schema: str) -> DataFrame:
+    """A few rows as one constant."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{_fields(schema)}>>")))
 
 
-def _constants(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _fields(schema: str) -> str:
+    return ", ".join(":".join(field.split()) for field in schema.split(","))
 
 
 def _number_score(col: Column, grid: Sequence[float], bins: int) -> Column:
@@ -323,17 +406,9 @@ def _number_score(col: Column, grid: Sequence[float], bins: int) -> Column:
         return F.lit(None).cast("double")
     bounds = np.interp(np.arange(1, bins) / bins, np.linspace(0, 1, len(grid)), grid)
     leaves = [NORMAL.inv_cdf((i + 0.5) / bins) for i in range(bins)]
-    return F.when(col.isNotNull(), by_bounds(col.cast("double"), bounds, leaves))
-
-
-def _category_score(col: Column, share: Mapping[str, float]) -> Column:
-    """Normal score of a category: of the middle of its stretch of [0, 1]."""
-    if not share:
-        return F.lit(None).cast("double")
-    parts = np.array(list(share.values()))
-    middles = [NORMAL.inv_cdf(float(m)) for m in np.cumsum(parts) - parts / 2]
-    position = F.array_position(F.array(*[F.lit(v) for v in share]), col.cast("string"))
-    return F.try_element_at(_constants(middles), F.nullif(position.cast("int"), F.lit(0)))
+    # A loop over the bounds is less code than a tree of comparisons: a pass over many columns stays compiled.
+    stretch = F.size(F.filter(_numbers(bounds), lambda bound: bound <= col))
+    return F.when(col.isNotNull(), F.get(_numbers(leaves), stretch))
 
 
 def _number_at(z: Column, grid: Sequence[float], max_score: float) -> Column:
@@ -342,21 +417,100 @@ def _number_at(z: Column, grid: Sequence[float], max_score: float) -> Column:
         return F.lit(None).cast("double")
     scores = np.linspace(-max_score, max_score, SCORE_STEPS + 1)
     shares = [NORMAL.cdf(float(x)) for x in scores]
-    table = _constants(np.interp(shares, np.linspace(0, 1, len(grid)), grid))
+    table = _numbers(np.interp(shares, np.linspace(0, 1, len(grid)), grid))
     at = (z + F.lit(max_score)) * F.lit(SCORE_STEPS / (2 * max_score))
     at = F.least(F.greatest(at, F.lit(0.0)), F.lit(float(SCORE_STEPS)))
     low = F.least(at.cast("int"), F.lit(SCORE_STEPS - 1))
-    left, right = F.element_at(table, low + 1), F.element_at(table, low + 2)
+    left, right = F.get(table, low), F.get(table, low + 1)
     return left + (right - left) * (at - low)
 
 
-def _category_at(z: Column, share: Mapping[str, float]) -> Column:
-    """The category in whose stretch a normal score falls."""
+@dataclass(frozen=True)
+class AliasCells:
+    """Walker's cells for each stretch: stretch ``b`` has ``size[b]`` cells from ``first[b]`` on.
+
+    A cell stands for its ``own`` value up to ``keep`` and for the ``other`` one above. All cells of a
+    stretch are equally likely, so a draw reads one cell, however many values there are.
+    """
+
+    first: list[int]
+    size: list[int]
+    keep: list[float]
+    own: list[str]
+    other: list[str]
+
+
+def alias_cells(share: Mapping[str, float], bins: int = CATEGORY_BINS) -> AliasCells:
+    """Cells that give every value its share of each of ``bins`` equally likely stretches of [0, 1]."""
+    parts = np.array(list(share.values()), float)
+    upto = np.cumsum(parts) / parts.sum()
+    upto[-1] = 1.0
+    start, values = np.concatenate([[0.0], upto[:-1]]), list(share)
+    out = AliasCells([], [], [], [], [])
+    for b in range(bins):
+        low, high = b / bins, (b + 1) / bins
+        met = np.flatnonzero((upto > low) & (start < high))
+        keep, other = _alias((np.minimum(upto[met], high) - np.maximum(start[met], low)).tolist())
+        out.first.append(len(out.keep))
+        out.size.append(len(met))
+        out.keep.extend(keep)
+        out.own.extend(values[i] for i in met)
+        out.other.extend(values[met[i]] for i in other)
+    return out
+
+
+def _alias(weights: Sequence[float]) -> tuple[list[float], list[int]]:
+    """For each place: up to where its cell is its own, and whose the rest is."""
+    n, total = len(weights), math.fsum(weights)
+    left = [w * n / total for w in weights]
+    keep, other = [1.0] * n, list(range(n))
+    small = [i for i, w in enumerate(left) if w < 1]
+    large = [i for i, w in enumerate(left) if w >= 1]
+    while small and large:
+        low, high = small.pop(), large[-1]
+        keep[low], other[low] = left[low], high
+        left[high] -= 1 - left[low]
+        if left[high] < 1:
+            small.append(large.pop())
+    return keep, other
+
+
+def _category_at(z: Column, draw: Column, share: Mapping[str, float], max_score: float) -> Column:
+    """A value of the stretch in which a normal score falls, by its share of that stretch."""
     if not share:
         return F.lit(None).cast("string")
-    upto = np.cumsum(list(share.values()))[:-1]
-    bounds = [NORMAL.inv_cdf(min(float(u), 1 - 1e-12)) for u in upto]
-    return by_bounds(z, bounds, list(share))
+    cells = alias_cells(share)
+    stretch = F.least((_number_at(z, [0.0, 1.0], max_score) * len(cells.size)).cast("int"), F.lit(len(cells.size) - 1))
+    size, first = (F.get(_numbers(x), stretch).cast("int") for x in (cells.size, cells.first))
+    return _cell(draw * size, size, first, cells)
+
+
+def _category(draw: Column, share: Mapping[str, float]) -> Column:
+    """A value by its share, from an even draw."""
+    if not share:
+        return F.lit(None).cast("string")
+    if len(share) == 1:
+        return F.lit(next(iter(share)))
+    cells = alias_cells(share, 1)
+    return _cell(draw * len(cells.own), F.lit(len(cells.own)), F.lit(0), cells)
+
+
+def _cell(place: Column, size: Column, first: Column, cells: AliasCells) -> Column:
+    """The value at a place in a stretch: a cell, and a part of it that is its own or the other's."""
+    inside = F.least(place.cast("int"), size - 1)
+    cell = first + inside
+    own = place - inside < F.get(_numbers(cells.keep), cell)
+    return F.get(_texts([*cells.own, *cells.other]), F.when(own, cell).otherwise(cell + len(cells.own)))
+
+
+def _quantile(draw: Column, grid: Sequence[float]) -> Column:
+    """The number below which an even draw's share of the source lies."""
+    if not grid:
+        return F.lit(None).cast("double")
+    table, at = _numbers(grid), draw * (len(grid) - 1)
+    low = at.cast("int")
+    left, right = F.get(table, low), F.get(table, F.least(low + 1, F.lit(len(grid) - 1)))
+    return left + (right - left) * (at - low)
 
 
 def _normal_draw(seed: Column, salt: str) -> Column:

@@ -530,38 +530,47 @@ def synthetic_domains(spark, sf_dir):
     )
 
 
+def _learnable(spark, sf_dir):
+    """The transactions as a stored table in several files: learning reads it a few times."""
+    path = f"{new_folder(spark, 'learn')}/source"
+    transactions(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register
 def synthetic_learned(spark, sf_dir):
     """As many rows as there are transactions, drawn from what is learned from all of them."""
-    learned = synth.learn_transactions(transactions(spark, sf_dir))
-    keys = transactions(spark, sf_dir, ["transaction_id"])
-    return synth.learned_transactions(keys, learned, "transaction_id", seed=42)
+    source = _learnable(spark, sf_dir)
+    learned = synth.learn_transactions(source)
+    return synth.learned_transactions(source.select("transaction_id"), learned, "transaction_id", seed=42)
 
 
-# Value shares of the learned rows may differ by this much from those of their source.
-SHARE_TOLERANCE = 0.03
+# What learned rows may differ by from their source: the null shares, the correlations, and (beside
+# what so many draws of so many values differ by at most) the distributions of values.
+NULL_TOLERANCE = 0.01
+CORRELATION_TOLERANCE = 0.12
+DISTANCE_TOLERANCE = 0.01
 
 
 @register
 def synthetic_learned_fit(spark, sf_dir):
     """Per column of the learned rows: how many there are, and whether they fit their source.
 
-    The source has nulls in some columns. ``nulls_fit`` and ``shares_fit`` compare shares of nulls
-    and of values (of numbers and times: of the tenths of the source they fall in) within
-    ``SHARE_TOLERANCE``; ``unknown_values`` counts rows with a value the source does not have.
+    The source has nulls in some columns. ``nulls_fit`` compares the share of nulls. ``shares_fit``
+    bounds the total variation distance of the values (of numbers and times: of the tenths of the
+    source they fall in), which two tables of n rows with k values have by chance up to about
+    sqrt(k / n). ``unknown_values`` counts rows with a value the source does not have. The row
+    ``correlations`` says whether all pairs of columns correlate as they do in the source.
     """
     root = new_folder(spark, "fit")
-    source = transactions(spark, sf_dir)
     line = F.substring_index("transaction_id", "-", -1)
-    source = source.withColumns(
+    source = _learnable(spark, sf_dir).withColumns(
         {
             "merchant_name": F.when(line != "2", F.col("merchant_name")),
             "channel": F.when(line != "3", F.col("channel")),
             "amount": F.when(line != "4", F.col("amount")),
         }
     )
-    source.write.parquet(f"{root}/source")
-    source = spark.read.parquet(f"{root}/source")
     learned = synth.learn_transactions(source)
     keys = source.select("transaction_id")
     synth.learned_transactions(keys, learned, "transaction_id", seed=42).write.parquet(f"{root}/made")
@@ -573,38 +582,57 @@ def synthetic_learned_fit(spark, sf_dir):
         source.withColumns(seconds).agg(*[F.percentile_approx(c, tenths, 10000).alias(c) for c in numbers]).first()
     )
 
-    def counted(rows, side):
+    def valued(rows, side):
         rows = rows.withColumns(seconds)
         values = {c: F.col(c).cast("string") for c in RAW_COLUMNS if c not in numbers and c != "transaction_id"}
         for c in numbers:
             tenth = by_bounds(F.col(c).cast("double"), bounds[c], [str(i) for i in range(10)])
             values[c] = F.when(F.col(c).isNotNull(), tenth)
         pairs = F.create_map(*[x for c, v in values.items() for x in (F.lit(c), v)])
-        counts = rows.select(F.explode(pairs).alias("column", "value"))
-        return counts.groupBy("column", "value").agg(F.count(F.lit(1)).alias(side))
+        return rows.select(F.explode(pairs).alias("column", "value"), F.lit(side == "here").cast("int").alias("here"))
 
-    n, wanted = made.count(), source.count()
-    here, there = counted(source, "here"), counted(made, "there")
-    both = here.withColumnRenamed("column", "c").withColumnRenamed("value", "v").join(
-        there, F.col("c").eqNullSafe(F.col("column")) & F.col("v").eqNullSafe(F.col("value")), "full"
+    counts = valued(source, "here").unionAll(valued(made, "there")).groupBy("column", "value").agg(
+        F.sum("here").alias("here"), F.sum(1 - F.col("here")).alias("there")
     )
-    share = lambda side, of: F.coalesce(F.col(side), F.lit(0)) / F.lit(float(max(of, 1)))
-    off = F.abs(share("there", n) - share("here", wanted)) > SHARE_TOLERANCE
-    known = F.coalesce("c", "column")
-    fits = both.groupBy(known.alias("column")).agg(
-        F.sum("there").alias("n"),
-        (F.count_if(off & F.coalesce("v", "value").isNull()) == 0).alias("nulls_fit"),
-        (F.count_if(off & F.coalesce("v", "value").isNotNull()) == 0).alias("shares_fit"),
-        F.coalesce(F.sum(F.when(F.col("here").isNull(), F.col("there"))), F.lit(0)).alias("unknown_values"),
+    null = F.col("value").isNull()
+    gap = F.abs(F.col("there") - F.col("here"))
+    n, distinct = F.col("n"), F.col("distinct")
+    fits = (
+        counts.groupBy("column")
+        .agg(
+            F.sum("there").alias("n"),
+            F.coalesce(F.sum(F.when(null, gap)), F.lit(0)).alias("null_gap"),
+            F.sum(F.when(~null, gap)).alias("gap"),
+            F.count_if(~null).alias("distinct"),
+            F.coalesce(F.sum(F.when(F.col("here") == 0, F.col("there"))), F.lit(0)).alias("unknown_values"),
+        )
+        .select(
+            "column",
+            "n",
+            (F.col("null_gap") <= NULL_TOLERANCE * n).alias("nulls_fit"),
+            (F.col("gap") / 2 <= (DISTANCE_TOLERANCE + F.sqrt(distinct / n)) * n).alias("shares_fit"),
+            "unknown_values",
+        )
     )
-    ids = made.agg(
+    ids = made.join(keys.withColumnRenamed("transaction_id", "known"), F.col("transaction_id") == F.col("known"), "left")
+    ids = ids.agg(
         F.lit("transaction_id").alias("column"),
         F.count_distinct("transaction_id").alias("n"),
+        (F.count_if(F.col("transaction_id").isNull()) == 0).alias("nulls_fit"),
+        # Ids are made anew: none of them may be one of the source's.
+        (F.count_if(F.col("known").isNotNull()) == 0).alias("shares_fit"),
+        F.count_if(~F.col("transaction_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("unknown_values"),
+    )
+    off = abs(synth.score_correlation(made, learned) - learned.correlation)
+    pairs = len(off) * (len(off) - 1) // 2
+    linked = spark.range(1).select(
+        F.lit("correlations").alias("column"),
+        F.lit(pairs).cast("long").alias("n"),
         F.lit(True).alias("nulls_fit"),
-        F.lit(True).alias("shares_fit"),
-        F.lit(0).cast("long").alias("unknown_values"),
+        F.lit(bool(off.max() <= CORRELATION_TOLERANCE)).alias("shares_fit"),
+        F.lit(int((off > CORRELATION_TOLERANCE).sum()) // 2).cast("long").alias("unknown_values"),
     )
-    return fits.unionByName(ids)
+    return fits.unionByName(ids).unionByName(linked)
 
 
 # ---- writers, read back
@@ -839,9 +867,9 @@ def generated_json_lines(spark, sf_dir):
     """
     root = new_folder(spark, "generate")
     wanted = file_inventory(spark, {"t": f"{sf_dir}/orders.parquet"}).agg(F.sum("length")).first()[0]
-    learned = synth.learn_transactions(transactions(spark, sf_dir))
+    learned = synth.learn_transactions(_learnable(spark, sf_dir))
     manifest = generate.generate_json_lines(
-        spark, f"{root}/out", wanted, make=lambda ids: synth.learned_transactions(ids, learned)
+        spark, f"{root}/out", wanted, 4 * MB, make=lambda ids: synth.learned_transactions(ids, learned)
     )
     size = F.sum(F.octet_length("value") + 1)
     whole = spark.read.text(f"{root}/out").agg(

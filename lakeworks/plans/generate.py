@@ -13,6 +13,8 @@ from lakeworks.operators.synth import synthetic_transactions
 from lakeworks.sources.files import file_inventory
 
 GB = 1024**3
+#: Lines that are written first, to learn how long lines are.
+FIRST_ROWS = 1000
 
 
 def generate_json_lines(
@@ -25,18 +27,17 @@ def generate_json_lines(
     """Write at least ``target_bytes`` of JSON lines, and a manifest of what was written.
 
     ``make`` turns keys 0, 1, 2 ... into rows, from fixed domains or (``learned_transactions``) from
-    what was learned of a table. No file gets much larger than ``file_bytes``. The number of rows follows from the mean line
-    length of the first thousand; if that falls short, the next keys fill up the rest. The
-    manifest lies in ``_manifest``, where readers of the directory do not see it.
+    what was learned of a table. No file gets much larger than ``file_bytes``. The first thousand
+    lines, as written, tell how many more are needed; if these fall short, the next keys fill up the
+    rest. The manifest lies in ``_manifest``, where readers of the directory do not see it.
     """
-    line = F.octet_length(F.to_json(F.struct("*"))) + 1
-    mean = make(spark.range(1000)).agg(F.avg(line)).first()[0]
     rows, size, mode = 0, 0, "errorifexists"
     while size < target_bytes or not rows:
-        more = max(1, math.ceil((target_bytes - size) / mean))
+        mean = size / rows if rows else 0
+        more = max(1, math.ceil((target_bytes - size) / mean)) if rows else FIRST_ROWS
         parts = max(1, math.ceil(more * mean / file_bytes))
         made = make(spark.range(rows, rows + more, numPartitions=parts))
-        made.write.mode(mode).option("maxRecordsPerFile", math.ceil(file_bytes / mean)).json(output_dir)
+        made.write.mode(mode).option("maxRecordsPerFile", math.ceil(file_bytes / mean) if mean else 0).json(output_dir)
         rows, mode = rows + more, "append"
         listing = file_inventory(spark, {"out": output_dir})
         size, files = listing.agg(F.sum("length"), F.count(F.lit(1))).first()

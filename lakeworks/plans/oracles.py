@@ -476,13 +476,22 @@ ORACLES: dict[str, str] = {
                CAST(0 AS BIGINT) AS bad_balance, CAST(0 AS BIGINT) AS bad_type, CAST(0 AS BIGINT) AS bad_channel,
                CAST(0 AS BIGINT) AS bad_status, CAST(0 AS BIGINT) AS bad_ts, CAST(0 AS BIGINT) AS bad_account
         FROM lineitem""",
-    "synthetic_learned_fit": """
+    "synthetic_learned_fit": f"""
+        WITH {_TX}
         SELECT c AS "column", CASE WHEN c = 'transaction_id' THEN n_keys ELSE n END AS n, true AS nulls_fit, true AS shares_fit, CAST(0 AS BIGINT) AS unknown_values
         FROM (SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys FROM lineitem),
              (SELECT unnest([
             'transaction_id', 'account_id', 'customer_id', 'transaction_type', 'amount', 'currency',
             'merchant_name', 'merchant_category', 'channel', 'transaction_ts', 'branch_code', 'status',
-            'balance_after', 'country_code']) AS c)""",
+            'balance_after', 'country_code']) AS c)
+        UNION ALL
+        -- Pairs of the columns that correlate: all but the id and the columns of more than 1,000 values.
+        SELECT 'correlations', k * (k - 1) // 2, true, true, CAST(0 AS BIGINT)
+        FROM (SELECT 3 + CAST(len(list_filter([
+            count(DISTINCT account_id), count(DISTINCT customer_id), count(DISTINCT transaction_type),
+            count(DISTINCT currency), count(DISTINCT merchant_name), count(DISTINCT merchant_category),
+            count(DISTINCT channel), count(DISTINCT branch_code), count(DISTINCT status),
+            count(DISTINCT country_code)], lambda n: n <= 1000)) AS BIGINT) AS k FROM tx)""",
     "generated_json_lines": f"""WITH {_TX}
         SELECT *, true AS reached, true AS counted, CAST(0 AS BIGINT) AS foreign_rows
         FROM (SELECT 'transaction_type' AS "column", transaction_type AS value FROM tx

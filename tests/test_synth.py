@@ -96,3 +96,57 @@ def test_root_of_a_matrix_that_is_not_positive():
     bad = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]])
     root = synth._root(bad)
     assert np.allclose(np.diag(root @ root.T), 1.0)
+
+
+def test_alias_cells_give_every_value_its_share():
+    share = {"a": 0.5, "b": 0.25, "c": 0.15, "d": 0.0999, "e": 0.0001}
+    for bins in (1, 3, 64):
+        cells = synth.alias_cells(share, bins)
+        got = dict.fromkeys(share, 0.0)
+        for first, size in zip(cells.first, cells.size):
+            assert size <= len(share)
+            for i in range(first, first + size):
+                got[cells.own[i]] += cells.keep[i] / size / bins
+                got[cells.other[i]] += (1 - cells.keep[i]) / size / bins
+        assert got == pytest.approx(share)
+    # Stretches follow the order of the values: the first ones hold the first value only.
+    cells = synth.alias_cells(share, 64)
+    assert set(cells.own[: cells.first[30]]) == {"a"} and cells.own[-1] == "e"
+
+
+def test_many_values_without_correlation_keep_their_shares(spark):
+    names = [f"name, \"{i}\" é\u001f" for i in range(800)]
+    share = {n: (i + 1) / (800 * 801 / 2) for i, n in enumerate(names)}
+    made = synth.sample(spark.range(200000), synth.Profile(shares={"c": share}))
+    found = {r["c"]: r["count"] / 200000 for r in made.groupBy("c").count().collect()}
+    assert set(found) <= set(share)
+    assert sum(abs(found.get(n, 0) - s) for n, s in share.items()) / 2 < np.sqrt(800 / 200000)
+
+
+def test_correlation_of_categories_and_numbers_is_kept(spark):
+    base = spark.range(30000).select(F.randn(1).alias("x"), F.randn(2).alias("e"), F.randn(3).alias("f"))
+    group = lambda c, n: F.concat(F.lit("g"), F.least(F.greatest(F.floor(c + n), F.lit(0)), F.lit(2 * n)))
+    source = base.select(
+        "x",
+        group(F.col("x"), 1).alias("few"),
+        group(F.col("x") * 0.8 + F.col("e") * 0.6, 2).alias("some"),
+        F.concat(F.lit("k"), F.floor(F.rand(9) * 300)).alias("alone"),
+        F.col("f").alias("y"),
+    )
+    source.write.mode("overwrite").parquet(path := synth.new_folder(spark, "source"))
+    source = spark.read.parquet(path)
+    profile = synth.learn(source, ["x", "y"], ["few", "some", "alone"])
+    linked, root = synth._linked(profile)
+    assert {"x", "few", "some"} <= set(linked) and "alone" not in linked
+    assert np.allclose((root**2).sum(1), 1)
+    made = synth.sample(spark.range(30000), profile)
+    off = np.abs(synth.score_correlation(made, profile) - profile.correlation)
+    assert np.abs(profile.correlation[0, 2:4]).max() > 0.4 and off.max() < 0.08
+
+
+def test_columns_drawn_alone_follow_their_quantiles(spark):
+    profile = synth.Profile(grids={"a": [0.0, 1.0, 10.0]})
+    made = synth.sample(spark.range(20000), profile)
+    assert made.agg(F.min("a") >= 0, F.max("a") <= 10).first()[:] == (True, True)
+    assert made.where("a < 1").count() / 20000 == pytest.approx(0.5, abs=0.02)
+    assert made.where("a < 5.5").count() / 20000 == pytest.approx(0.75, abs=0.02)
