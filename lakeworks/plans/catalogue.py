@@ -18,17 +18,18 @@ from pyspark.sql import types as T
 from lakeworks.functions.columns import by_bounds, iso_text, money, parse_date, parse_ts
 from lakeworks.operators import batches, cleanse, files, metrics, profile, quality, report, synth
 from lakeworks.operators.dedup import dedup
-from lakeworks.operators.reconcile import reconcile, reconcile_counts
+from lakeworks.operators.reconcile import locate_differences, reconcile, reconcile_counts
 from lakeworks.operators.topk import latest_per_group
 from lakeworks.plans import generate, medallion, migrate
 from lakeworks.plans.maintain import maintain
 from lakeworks.plans.star import table, transactions
 from lakeworks.schemas import RAW, RAW_COLUMNS, SILVER_STANDARD
 from lakeworks.sources.audit import Gate
+from lakeworks.sources import fs
 from lakeworks.sources.files import file_inventory, read_files
 from lakeworks.sources.scratch import new_folder
 from lakeworks.sources.snapshots import SnapshotTable
-from lakeworks.streaming import append, hybrid
+from lakeworks.streaming import append, hybrid, newest, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -682,14 +683,27 @@ def migrate_dataset(spark, sf_dir):
 
 @register
 def migrate_batched(spark, sf_dir):
-    """A file dataset copied batch by batch from a plan."""
+    """A file dataset of 200 files, copied in about as many batches from a plan."""
     root = new_folder(spark, "batched")
-    table(spark, sf_dir, "lineitem").repartition(8).write.parquet(f"{root}/source")
+    table(spark, sf_dir, "lineitem").repartition(200).write.parquet(f"{root}/source")
     size = file_inventory(spark, {"t": f"{root}/source"}).agg(F.sum("length")).first()[0]
-    migrate.migrate_in_batches(spark, f"{root}/source", f"{root}/target", batch_bytes=size // 3)
+    migrate.migrate_in_batches(spark, f"{root}/source", f"{root}/target", batch_bytes=size // 200)
     return plain(migrate.read_batches(spark, f"{root}/target"))
 
 
+@register
+def reconcile_drilldown(spark, sf_dir):
+    """Orders against a copy in which some are changed, missing, new or there twice: which ones."""
+    orders = table(spark, sf_dir, "orders")
+    kind = F.pmod("o_orderkey", F.lit(1000))
+    copy = orders.where(kind != 8).withColumn(
+        "o_totalprice", F.when(kind == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    )
+    new = orders.where(kind == 9).withColumn("o_orderkey", F.col("o_orderkey") + 1000000000)
+    copy = copy.unionAll(new).unionAll(orders.where(kind == 10)).repartition(7)
+    return locate_differences(orders, copy, ["o_orderkey"]).select("o_orderkey", "status")
+
+
 @register
 def migrate_batched_drift(spark, sf_dir):
     """JSON files that differ in their columns, copied batch by batch."""
@@ -820,6 +834,55 @@ def stream_silver_damaged(spark, sf_dir):
     return plain(spark.read.parquet(f"{root}/target"))
 
 
+@register
+def stream_silver_newest(spark, sf_dir):
+    """Raw rows whose ids occur in several versions, spread over several batches of a stream."""
+    root = new_folder(spark, "newest")
+    raw = transactions(spark, sf_dir).withColumn("transaction_ts", iso_text("transaction_ts"))
+    # The first lines of orders twice more, with a smaller amount before and a day older after.
+    again = raw.where(F.col("transaction_id").endswith("-1"))
+    older = again.withColumns(
+        {
+            "transaction_ts": iso_text(parse_ts("transaction_ts") - F.expr("INTERVAL 1 DAY")),
+            "merchant_name": F.lit("superseded"),
+        }
+    )
+    smaller = again.withColumns({"amount": F.col("amount") / 2, "merchant_name": F.lit("superseded")})
+    for part in (smaller, raw, older):
+        part.repartition(2).write.mode("append").json(f"{root}/raw")
+    rows = newest.silver_newest_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=2))
+    with newest.keyed_state(spark):
+        publish.publish_stream(
+            rows, f"{root}/target", f"{root}/checkpoint", output_mode="update", available_now=True
+        ).awaitTermination()
+    return plain(newest.of_last_epoch(publish.read_published(spark, f"{root}/target", rows.schema), ["transaction_id"]))
+
+
+@register
+def stream_published(spark, sf_dir):
+    """Events through a gate, with batches that run twice: from a copied checkpoint, and without a marker."""
+    root = new_folder(spark, "published")
+    events = table(spark, sf_dir, "events")
+    events.repartition(6).write.json(f"{root}/arriving")
+    gate = Gate([quality.not_null("event_id")], min_rows=1)
+
+    def run(checkpoint):
+        stream = append.read_stream(spark, "json", events.schema, f"{root}/arriving", per_batch=2)
+        publish.publish_stream(
+            stream, f"{root}/target", f"{root}/{checkpoint}", gate, ["event_type"], available_now=True
+        ).awaitTermination()
+
+    run("checkpoint")
+    # Lost after batch 2 was published and before Spark noted that it was done.
+    fs.copy(spark, f"{root}/checkpoint", f"{root}/copied")
+    fs.delete(spark, f"{root}/copied/commits/2")
+    # Batches 1 and 2 once more, batch 1 after it was written and before it was published.
+    fs.delete(spark, f"{root}/copied/commits/1")
+    fs.delete(spark, f"{root}/target/published/{1:012d}.json")
+    run("copied")
+    return plain(publish.read_published(spark, f"{root}/target", events.schema).drop("epoch"))
+
+
 @register
 def hybrid_partitions(spark, sf_dir):
     """A hand-over in which every partition of the source has got to another place."""

@@ -14,7 +14,7 @@ from lakeworks.sources.files import file_inventory
 
 GB = 1024**3
 #: Lines that are written first, to learn how long lines are.
-FIRST_ROWS = 1000
+FIRST_ROWS = 100
 
 
 def generate_json_lines(
@@ -27,7 +27,7 @@ def generate_json_lines(
     """Write at least ``target_bytes`` of JSON lines, and a manifest of what was written.
 
     ``make`` turns keys 0, 1, 2 ... into rows, from fixed domains or (``learned_transactions``) from
-    what was learned of a table. No file gets much larger than ``file_bytes``. The first thousand
+    what was learned of a table. No file gets much larger than ``file_bytes``. The first hundred
     lines, as written, tell how many more are needed; if these fall short, the next keys fill up the
     rest. The manifest lies in ``_manifest``, where readers of the directory do not see it.
     """

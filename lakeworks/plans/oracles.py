@@ -501,6 +501,10 @@ ORACLES: dict[str, str] = {
     "medallion_report": f"WITH {_GOLD} {_GOLD_OUT}",
     "migrate_dataset": f"{_ORDERS_OUT} UNION ALL {_ORDERS_OUT}",
     "migrate_batched": _LINEITEM_OUT,
+    "reconcile_drilldown": """
+        SELECT CASE WHEN o_orderkey % 1000 = 9 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey,
+               CASE o_orderkey % 1000 WHEN 8 THEN 'missing' WHEN 9 THEN 'extra' ELSE 'changed' END AS status
+        FROM orders WHERE o_orderkey % 1000 IN (7, 8, 9, 10)""",
     "migrate_batched_drift": """
         SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value END AS value,
                CASE WHEN event_type <> 'click' THEN user_id END AS user_id
@@ -525,6 +529,9 @@ ORACLES: dict[str, str] = {
     "stream_silver_damaged": f"""
         WITH {_SILVER} {_VALID_OUT.replace("strftime(transaction_ts", f"strftime(CASE WHEN NOT {_BAD} THEN transaction_ts END").replace("strftime(transaction_date", f"strftime(CASE WHEN NOT {_BAD} THEN transaction_date END")}
         FROM silver""",
+    "stream_silver_newest": f"WITH {_SILVER} {_VALID_OUT} FROM silver",
+    "stream_published": """
+        SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events""",
     "hybrid_partitions": """
         SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events""",
     "hybrid_append": """

@@ -47,6 +47,12 @@ def delete_all(spark: SparkSession, paths: Iterable[str]) -> None:
             pass
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file, or a directory with all it holds."""
+    util, conf = spark._jvm.org.apache.hadoop.fs.FileUtil, spark._jsc.hadoopConfiguration()
+    util.copy(_fs(spark, source), _path(spark, source), _fs(spark, target), _path(spark, target), False, conf)
+
+
 def matches(spark: SparkSession, pattern: str) -> bool:
     """Whether any path fits a pattern with ``*``."""
     return bool(_fs(spark, pattern).globStatus(_path(spark, pattern)))

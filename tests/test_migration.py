@@ -6,10 +6,13 @@ import pytest
 from frames import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakeworks.operators import batches as b
-from lakeworks.operators.reconcile import reconcile, reconcile_counts
+from lakeworks.operators.reconcile import locate_differences, reconcile, reconcile_counts
+from lakeworks.plans import migrate
 from lakeworks.schemas import BATCH_LOG
+from lakeworks.sources.scratch import new_folder
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 PAIR = "a string, b string"
@@ -109,3 +112,73 @@ def test_batch_plan_does_not_depend_on_order(spark):
     lengths = [random.Random(3).randint(1, 99) for _ in range(200)]
     one = rows(b.batch_plan(files(spark, lengths), 500))
     assert rows(b.batch_plan(files(spark, lengths).repartition(7, "length"), 500)) == one
+
+
+def located(x, y):
+    """What a comparison of the multisets of each key says."""
+    status = {}
+    for key in {r[0] for r in [*x, *y]}:
+        here, there = (sorted((r for r in side if r[0] == key), key=repr) for side in (x, y))
+        if here != there:
+            status[key] = "missing" if not there else "extra" if not here else "changed"
+    return sorted(((k, s) for k, s in status.items()), key=repr)
+
+
+@few
+@given(st.lists(pair, max_size=8), st.lists(pair, max_size=8), st.sampled_from([(1, 1), (3, 2)]))
+def test_located_differences_agree_with_multisets(spark, x, y, shape):
+    frames = [spark.createDataFrame(side, PAIR) for side in (x, y)]
+    found = locate_differences(*frames, ["a"], bits=shape[0], levels=shape[1])
+    assert rows(found, "a", "status") == located(x, y)
+
+
+def test_locating_differences_of_large_tables(spark):
+    x = spark.range(20000).select((F.col("id") % 7000).alias("k"), (F.col("id") / 3).alias("v"), F.lit("x").alias("t"))
+    y = x.where("k <> 17").withColumn("v", F.when(F.col("k") == 4711, F.lit(0.5)).otherwise(F.col("v")))
+    y = y.unionAll(spark.createDataFrame([(7001, 1.0, "x")], x.schema))
+    found = locate_differences(x, y.repartition(5).select("t", "v", "k"), ["k"])
+    assert rows(found) == [(17, "missing", 3, 0), (4711, "changed", 3, 3), (7001, "extra", 0, 1)]
+    assert rows(locate_differences(x, x.repartition(3), ["k"])) == []
+    # Two columns as the key, an int against the same long, only some columns compared.
+    as_int = x.withColumn("k", F.col("k").cast("int")).withColumn("t", F.lit("other"))
+    assert rows(locate_differences(x, as_int, ["k", "v"], ["k", "v"])) == []
+
+
+def test_many_batches_take_few_jobs(spark):
+    root = new_folder(spark, "many")
+    spark.range(4000).repartition(100).write.parquet(f"{root}/in")
+    size = spark.read.format("binaryFile").load(f"{root}/in").agg(F.sum("length")).first()[0]
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    progress = migrate.migrate_in_batches(spark, f"{root}/in", f"{root}/out", batch_bytes=size // 100).first()
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before
+    assert progress["completed_batches"] > 60 and progress["failed_batches"] == 0
+    assert (progress["total_rows"], progress["processed_bytes"]) == (4000, size)
+    assert len(jobs) <= 30  # however many batches there are; Spark runs several jobs for one shuffled query
+    assert sorted(r["id"] for r in migrate.read_batches(spark, f"{root}/out").collect()) == list(range(4000))
+
+
+def test_only_the_batch_with_the_bad_file_fails(spark):
+    root = new_folder(spark, "bad")
+    spark.range(800).repartition(8).write.parquet(f"{root}/in")
+    spark.createDataFrame([("no parquet at all",)], "value string").coalesce(1).write.text(f"{root}/text")
+    bad = spark.read.format("binaryFile").load(f"{root}/text").first()["path"]
+    with open(bad.removeprefix("file:"), "rb") as source, open(f"{root}/in/part-bad+1 %20.parquet", "wb") as target:
+        target.write(source.read())
+    progress = migrate.migrate_in_batches(
+        spark, f"{root}/in", f"{root}/out", schema="id long", batch_bytes=1, max_retries=1, backoff_seconds=0.0
+    ).first()
+    assert (progress["completed_batches"], progress["failed_batches"], progress["total_rows"]) == (8, 1, 800)
+    assert migrate.read_batches(spark, f"{root}/out").distinct().count() == 800
+
+
+def test_a_transform_sees_batches_and_keeps_them(spark):
+    root = new_folder(spark, "transform")
+    spark.range(60).repartition(3).write.parquet(f"{root}/in")
+    some = lambda df: df.where("id >= 30").withColumn("of", F.col("batch_id"))
+    migrate.migrate_in_batches(spark, f"{root}/in", f"{root}/out", batch_bytes=1, transform=some)
+    found = migrate.read_batches(spark, f"{root}/out")
+    assert found.columns == ["id", "of"] and found.count() == 30 and found.select("of").distinct().count() == 3
+    progress = migrate.migrate_in_batches(
+        spark, f"{root}/in", f"{root}/none", transform=lambda df: df.select("id"), max_retries=0
+    )
+    assert progress.first()["completed_batches"] == 0
