@@ -18,9 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeworks.llm.bpe import TextMemory, vocabulary
+from lakeworks.llm.bpe import (
+    _WIDE_SPACE,
+    WORDS_REMEMBERED,
+    TextMemory,
+    Vocabulary,
+    vocabulary,
+)
 from lakeworks.llm.common import id_and_text, list_array, over_batches
-from lakeworks.llm.spans import blocks
+from lakeworks.llm.spans import NOT_SPACE, Words, blocks
 
 #: Fixed values of the format.
 END_ID = 1
@@ -35,6 +41,70 @@ WORDS_JOINED = 200
 STRINGS_AT_ONCE = 50
 
 
+#: Repeated chunks that a worker remembers, at most about.
+REPEATED_CHUNKS = 300_000
+#: Places of the filter that says which chunks were met before.
+SEEN_PLACES = 1 << 22
+
+
+class RepeatedMemory(TextMemory):
+    """A memory of the chunks that were met twice, in one block of texts or in two.
+
+    Most distinct chunks never come back; kept out, they do not push out those that do. What was
+    met before is a filter over hashes: where it errs, a chunk is remembered too early.
+    """
+
+    def __init__(self, known: Vocabulary, encode_words):
+        super().__init__(known, encode_words)
+        self.seen = np.zeros(SEEN_PLACES, bool)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        memory = self.chunks
+        for some, limit in ((memory, REPEATED_CHUNKS), (self.words, WORDS_REMEMBERED)):
+            if len(some.codes) > limit:
+                some.clear()
+        cut = Words([_WIDE_SPACE.sub(" ", t) if not t.isascii() else t for t in texts], NOT_SPACE)
+        distinct, number = cut.distinct()
+        place = np.zeros(len(distinct), np.int64)
+        place[number] = (cut.hash & np.uint64(SEEN_PLACES - 1)).astype(np.int64)
+        again = (np.bincount(number, minlength=len(distinct)) > 1) | self.seen[place]
+        if np.count_nonzero(self.seen) > SEEN_PLACES // 2:
+            self.seen[:] = False
+        self.seen[place] = True
+        get = memory.codes.get
+        code = np.fromiter((get(chunk, -1) for chunk in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(code < 0)
+        letters = np.fromiter((distinct[i].isalpha() for i in new.tolist()), bool, len(new))
+        # Those to remember first; among both, chunks of ASCII letters, which are words as they stand.
+        groups = [new[kept & plain] for kept in (again[new], ~again[new]) for plain in (letters, ~letters)]
+        encoded = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        for group, plain in zip(groups, (True, False, True, False)):
+            if len(group):
+                chunks = [distinct[i] for i in group.tolist()]
+                encoded.append(self._plain(chunks) if plain else memory.encode(chunks))
+        flat, lengths = (np.concatenate(x) for x in zip(*encoded))
+        new, kept = np.concatenate(groups), len(groups[0]) + len(groups[1])
+        code[new] = len(memory.start) + np.arange(len(new))
+        size = int(lengths[:kept].sum())
+        starts = len(memory.flat) + np.cumsum(lengths) - lengths
+        memory.codes.update((distinct[i], c) for i, c in zip(new[:kept].tolist(), code[new[:kept]].tolist()))
+        before = len(memory.flat), len(memory.start)
+        memory.flat = np.concatenate([memory.flat, flat])
+        memory.start = np.concatenate([memory.start, starts])
+        memory.length = np.concatenate([memory.length, lengths])
+        found = memory.of(code[number], cut.count)
+        memory.flat = memory.flat[: before[0] + size]
+        memory.start, memory.length = memory.start[: before[1] + kept], memory.length[: before[1] + kept]
+        return found
+
+    def _plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that are one word each."""
+        words = [chunk.lower().decode() for chunk in chunks]
+        self.words.known(list(dict.fromkeys(words)))
+        codes = np.fromiter(map(self.words.codes.__getitem__, words), np.int64, len(words))
+        return self.words.of(codes, np.ones(len(words), np.int64))
+
+
 @lru_cache(maxsize=2)
 def _memory(path: str) -> TextMemory:
     """Ids by the ``tokenizers`` library.
@@ -61,7 +131,7 @@ def _memory(path: str) -> TextMemory:
             raise ValueError("the library's words differ from the pattern's")
         return ids, lengths
 
-    return TextMemory(known, encode)
+    return RepeatedMemory(known, encode)
 
 
 def tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:

@@ -298,3 +298,14 @@ def test_a_hot_labelled_id_gives_bounded_training_rows(spark):
     assert sorted(r.doc_id for r in rows) == list(range(10))
     rows = quality.training_rows(docs.unionByName(other), labels, "quality", F.lit(True), 20).collect()
     assert len(rows) == 20 and {r.doc_id for r in rows} == set(range(10))
+
+
+def test_repeated_memory_gives_the_ids_of_the_library(library):
+    texts = ["The cat's Hat, the cat's hat!", "", "x" * 50, "ÄÖ ß Σας ab12 <|endoftext|> THE", "the the The", "a b"]
+    texts += [f"w{i} word{i % 7} rare{i * 7919} Tail." for i in range(300)]
+    memory = token_files._memory(vocabulary_path())
+    for _ in range(3):
+        ids, lengths = memory.ids(texts)
+        found = np.split(ids, np.cumsum(lengths)[:-1])
+        assert [f.tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(memory.chunks.start) == len(memory.chunks.codes) and b"rare7919" in memory.chunks.codes
