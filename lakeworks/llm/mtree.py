@@ -162,10 +162,13 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     another ``vec_id``. Components become floor(64 x). Ties go to the smaller id; repeated rows
     count as often as they occur, and a query id that occurs repeatedly gets its ranks over
     all its rows. Null vectors, null ids and vectors with null or non-finite components take no
-    part; vectors are compared with those of their own length. An empty table gives no rows.
+    part, nor do those whose inner product with themselves does not fit the 64 bits of a score (no
+    product of the others exceeds that). Vectors are compared with those of their own length. An
+    empty table gives no rows.
     """
+    square = F.aggregate("vec", F.lit(0.0), lambda sum, x: sum + F.pow(F.floor(F.lit(64.0) * x).cast("double"), 2))
     return search(
-        usable(rows),
+        usable(rows).where(square < 2.0**63),
         F.col("vec_id") % every == 0,
         SHARD_ROWS,
         BLOCK_ROWS,
