@@ -42,6 +42,9 @@ CONTAINMENT = 0.85
 BLOCK_WORDS = 48
 STEP_WORDS = 24
 
+#: Template words of a piece of a text. Those of a block are in the piece of any of them and its margins.
+PIECE_HITS = 128
+
 #: Columns of the templates' prefix tokens.
 PREFIX = "token:string,template:int,place:int,n:int,needed:int,template_tokens:array<string>"
 
@@ -124,9 +127,22 @@ def _joined(hits: DataFrame, known: list[Template], order: list[str]) -> DataFra
     first = F.greatest(F.lit(0), F.floor((F.col("hit.i") - BLOCK_WORDS) / STEP_WORDS).cast("long") + 1)
     last = F.floor(F.col("hit.i") / STEP_WORDS).cast("long")
     ranks = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("hits") - 1) / PIECE_HITS).cast("int")),
+        lambda n: F.struct(
+            F.slice("hits", n * PIECE_HITS + 1, F.lit(PIECE_HITS)).alias("own"),
+            F.slice(
+                "hits",
+                F.greatest(F.lit(1), n * PIECE_HITS + 1 - BLOCK_WORDS),
+                F.least(n * PIECE_HITS, F.lit(BLOCK_WORDS)) + PIECE_HITS + BLOCK_WORDS,
+            ).alias("near"),
+        ),
+    )
     blocks = (
         hits.where(F.exists("hits", lambda x: x["w"].isin(rare)))
-        .select("row", "hits", F.explode(F.filter("hits", lambda x: x["w"].isin(rare))).alias("hit"))
+        .select("row", F.explode(pieces).alias("piece"))
+        .select("row", "piece.own", F.col("piece.near").alias("hits"))
+        .select("row", "hits", F.explode(F.filter("own", lambda x: x["w"].isin(rare))).alias("hit"))
         .select("row", "hits", F.col("hit.w").alias("token"), F.explode(F.sequence(first, last)).alias("block"))
         .withColumn(
             "tokens",
@@ -180,8 +196,8 @@ def scan(docs: DataFrame) -> DataFrame:
         F.collect_set(names[F.col("template")]).alias("labels"),
         F.max("containment").alias("score"),
     )
-    # A phrase's block also has to hold the words one after the other; each start is looked for
-    # in the one block whose step it lies in, so every place counts once.
+    # A phrase's words also have to stand one after the other. The blocks of all its places are joined
+    # with it, as a block holds every phrase that begins in its first step.
     rows = hits.join(found, "row", "left")
     places = F.concat(*[_places(n, t) for n, t in enumerate(known) if t.phrase])
     phrases = F.array(*[F.lit(n) for n, t in enumerate(known) if t.phrase])
@@ -211,16 +227,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _places(number: int, template: Template) -> Column:
-    """Structs (t, i) of the starts of a phrase in the blocks joined with it."""
-    own = F.transform(
-        F.filter("blocks", lambda b: b["template"] == number), lambda b: b["block"]
-    )
+    """Structs (t, i) of the starts of a phrase in a row joined with it: its words are neighbours in ``hits``."""
 
-    def begins(x: Column) -> Column:
-        here = (x["w"] == template.words[0]) & F.array_contains(own, F.floor(x["i"] / STEP_WORDS).cast("long"))
+    def begins(x: Column, at: Column) -> Column:
+        here = x["w"] == template.words[0]
         for k, word in enumerate(template.words[1:], 1):
-            here = here & F.array_contains(F.col("hits"), F.struct((x["i"] + k).alias("i"), F.lit(word).alias("w")))
+            there = F.get("hits", at + k)
+            here = here & (there["w"] == word) & (there["i"] == x["i"] + k)
         return here
 
-    starts = F.filter("hits", begins)
+    joined = F.exists("blocks", lambda b: b["template"] == number)
+    starts = F.filter(F.when(joined, F.col("hits")).otherwise(F.slice("hits", 1, 0)), begins)
     return F.transform(starts, lambda x: F.struct(F.lit(number).alias("t"), x["i"].alias("i")))
