@@ -29,6 +29,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def whole(docs: DataFrame, *more: Column) -> DataFrame:
+    """Every row as the struct ``document`` beside ``more``: no column of ``docs`` can clash with those."""
+    return docs.select(F.struct("*").alias("document"), *more)
+
+
 def remainder(column: str, divisor: int) -> Column:
     """The crc32 of the id as decimal text, modulo ``divisor``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeworks.llm.common import staged
+from lakeworks.llm.common import staged, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, blocks of an output shard, and how often a source may be read.
@@ -109,12 +109,13 @@ def _block(words: Column) -> Column:
     return F.floor(words / BLOCK_WORDS).cast("long")
 
 
-def mix(docs: DataFrame) -> Mix:
+def mix(docs: DataFrame, tie: Column | None = None) -> Mix:
     """Mix documents (``doc_id``, ``text``, ``source``) to the targets of ``weights_in_turn``.
 
     A word is a run of other than the six ASCII white-space characters; null texts have none. A
     null source is a source of its own, the last one. Repeated rows are documents of their own,
     with the same words in a row. The same rows give the same mix, however they are laid out.
+    ``tie``, a hash of the text unless given, tells rows with one id apart.
     One row per source is kept on the driver; everything else stays in tables. An empty table
     or one without any word gives a mix without slots.
     """
@@ -123,7 +124,7 @@ def mix(docs: DataFrame) -> Mix:
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             "source",
-            F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
+            (F.xxhash64(F.coalesce("text", F.lit(""))) if tie is None else tie).alias("tie"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "mix-sizes",
@@ -252,41 +253,42 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     ``text`` holds the taken words in order, white space between neighbours kept; ``n_chars``, if
     there, is set anew. A document taken whole in a pass is unchanged; one that is not taken at
     all is gone; one taken in three passes has three rows. Documents without words have no part
-    in a mix and are gone too.
+    in a mix and are gone too. Rows with one id and text that differ in any other column, their source
+    among them, are documents of their own.
     """
-    plan = mix(docs)
+    columns = docs.columns
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]))
+    own = F.xxhash64(F.coalesce("text", F.lit("")), others)
+    plan = mix(docs, own)
     parts = (
         plan.pieces()
         .join(plan.slots.select("s", "block", "pass"), ["s", "block"])
         .groupBy("doc_id", "tie", "s", "bucket", "n", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.first("size").alias("size"))
     )
-    parts = parts.select("doc_id", "tie", "pass", "parts", "size")
-    parts = parts.withColumnsRenamed({c: f"_{c}" for c in parts.columns})
-    texts = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    parts = parts.select("doc_id", "tie", "parts", "size")
+    texts = whole(docs, F.col("doc_id").cast("long").alias("id"), own.alias("own"))
     if _has_repeats(plan.documents):
-        texts = texts.dropDuplicates(["doc_id", "_own"])  # each copy has parts of its own
-    once = parts.join(
-        texts, F.col("_doc_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_tie") == F.col("_own"))
-    )
-    columns = docs.columns
+        texts = texts.dropDuplicates(["id", "own"])  # equal rows; each copy has parts of its own
+    once = parts.join(texts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("own")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         word = re.compile(WORD)
         for batch in batches:
-            texts = []
-            for text, parts, size in zip(*(batch.column(c).to_pylist() for c in ("text", "_parts", "_size"))):
+            texts, own = [], dict(zip(columns, batch.column("document").flatten()))
+            parts_of, sizes = batch.column("parts").to_pylist(), batch.column("size").to_pylist()
+            for text, parts, size in zip(own["text"].to_pylist(), parts_of, sizes):
                 if sum(p["words"] for p in parts) < size:
                     starts = [m.start() for m in word.finditer(text)] + [len(text)]
                     texts.append("".join(text[starts[p["first"]] : starts[p["first"] + p["words"]]] for p in parts).rstrip())
                 else:
                     texts.append(text)
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
+            arrays = [pa.array(texts, pa.string()) if c == "text" else own[c] for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    result = once.select(*columns, "_parts", "_size").mapInArrow(cut, docs.schema)
+    result = once.select("document", "parts", "size").mapInArrow(cut, docs.schema)
     return result.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else result
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeworks.llm.common import over_batches, staged
+from lakeworks.llm.common import over_batches, staged, whole
 from lakeworks.llm.spans import WORD, Words, blocks, mixed
 
 SHINGLE_WORDS = 5
@@ -423,19 +423,24 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each class: the one with the smallest id and key."""
+    """The rows of ``docs``, all columns, one of each class: the one with the smallest id and key.
+
+    Of rows with the same id and text the one stays whose other columns, as JSON, come first.
+    """
     found = staged(classes(docs), "dedup-classes")
     first = found.where(
         F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
     )
-    first = first.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    first = staged(first, "dedup-kept")
-    joined = docs.join(
+    first = staged(first.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "dedup-kept")
+    text = F.col("document.text")
+    joined = whole(docs).join(
         first,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")),
+        F.col("document.doc_id").cast("long").eqNullSafe(F.col("doc_id"))
+        & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("key")),
     )
-    if not first.where("_n > 1").head(1):
-        return joined.select(*docs.columns)
+    if not first.where("n > 1").head(1):
+        return joined.select("document.*")
     # Rows that occur repeatedly are reduced to one; only these are shuffled.
-    repeated = joined.where("_n > 1").dropDuplicates(["_id", "_key"])
-    return joined.where("_n = 1").unionByName(repeated).select(*docs.columns)
+    order = F.struct(F.to_json(F.col("document").dropFields("text")), text.isNull())
+    repeated = joined.where("n > 1").groupBy("doc_id", "key").agg(F.min_by("document", order).alias("document"))
+    return joined.where("n = 1").select("document.*").union(repeated.select("document.*"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeworks.llm.common import staged
+from lakeworks.llm.common import staged, whole
 
 KINDS = ("email", "ip", "card", "phone")
 # Where a run of address characters begins, or right after the previous match: the leftmost
@@ -51,6 +51,9 @@ CONTEXT_WORDS = 2
 #: Rounds of scoring before candidates are accepted, and the confidence to accept.
 ROUNDS = 3
 ACCEPT = 0.9
+#: Characters of a block of text, and spans of a piece, that are worked on together in one text.
+BLOCK_CHARS = 1024
+PIECE_SPANS = 256
 
 
 def _found(kind: str, pattern: str, hint: Column) -> Column:
@@ -86,6 +89,7 @@ def _mentions(rows: DataFrame) -> DataFrame:
         ],
     )
     some = F.filter(found, lambda x: x["f"].isNotNull() & (F.size(x["f"]["matches"]) > 0))
+    # By row alone: what follows is taken per row and needs no other shuffle.
     matches = (
         rows.select("row", F.explode(some).alias("x"))
         .select(
@@ -105,14 +109,17 @@ def _mentions(rows: DataFrame) -> DataFrame:
             ).alias("at", "m"),
         )
         .select("row", "loose", "kind", "at", "m.value", "m.gap", "m.before", "m.after")
+        .repartition("row")
     )
-    place = Window.partitionBy("row", "loose", "kind").orderBy("at")
+    parts = Window.partitionBy("row", "loose", "kind")
+    place, back = parts.orderBy("at"), parts.orderBy(F.desc("at"))
+    # Growing frames only, the following ones in reverse: each takes one step per match.
     up_to = place.rowsBetween(Window.unboundedPreceding, 0)
-    on = place.rowsBetween(0, Window.unboundedFollowing)
+    on = back.rowsBetween(Window.unboundedPreceding, 0)
     none = F.expr("cast(array() AS array<string>)")
     # A piece with words, and those of the next such piece further away.
     further = F.last(_some("before"), True).over(place.rowsBetween(Window.unboundedPreceding, -1))
-    beyond = F.first(_some("after"), True).over(place.rowsBetween(1, Window.unboundedFollowing))
+    beyond = F.last(_some("after"), True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     matches = matches.withColumns(
         {
             "left": F.concat(F.coalesce(further, none), _some("before")),
@@ -126,7 +133,7 @@ def _mentions(rows: DataFrame) -> DataFrame:
         "kind",
         "value",
         F.coalesce(F.last("left", True).over(up_to), none).alias("before"),
-        F.coalesce(F.first("right", True).over(on), none).alias("after"),
+        F.coalesce(F.last("right", True).over(on), none).alias("after"),
         (F.col("end") - F.length("value")).alias("start"),
         "end",
     )
@@ -247,6 +254,18 @@ def sure_candidates(mentions: DataFrame) -> DataFrame:
     return accepted.join(seeds, ["kind", "instance"], "left_anti")
 
 
+def _uncovered(mentions: DataFrame) -> DataFrame:
+    """Seeds, and the candidates that share no character with a seed: one pass over a row's mentions.
+
+    A candidate overlaps a seed if one of those that begin before its end reaches past its start.
+    """
+    at = F.when(F.col("valid"), F.col("start")).otherwise(F.col("end"))
+    earlier = Window.partitionBy("row").orderBy(at, "valid").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("valid"), F.col("end"))).over(earlier)
+    free = F.col("valid") | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))
+    return mentions.withColumn("reach", reach).where(free).drop("reach")
+
+
 def find(rows: DataFrame) -> DataFrame:
     """``row``, ``base`` and ``spans``: arrays of (start, kind, end) of each row with any.
 
@@ -258,16 +277,8 @@ def find(rows: DataFrame) -> DataFrame:
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
     # A number that fails the checksum is a candidate card.
     candidate = F.col("loose") | ((F.col("kind") == 2) & ~F.col("valid") & digits.between(12, 19))
-    mentions = staged(
-        _with_patterns(mentions.where(F.col("valid") | candidate)).drop("before", "after", "value", "loose"), "pii-mentions"
-    )
-    # What a seed covers is no candidate.
-    covers = mentions.where("valid").select(
-        F.col("row").alias("r"), F.col("start").alias("from"), F.col("end").alias("to")
-    )
-    covered = (F.col("row") == F.col("r")) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
-    free = mentions.where(~F.col("valid")).join(covers, covered, "left_anti")
-    mentions = mentions.where("valid").unionByName(free)
+    mentions = _uncovered(mentions.where(F.col("valid") | candidate))
+    mentions = staged(_with_patterns(mentions).drop("before", "after", "value", "loose"), "pii-mentions")
     sure = sure_candidates(
         mentions.select("kind", "instance", F.col("valid").alias("seed"), F.explode("patterns").alias("pattern"))
     )
@@ -283,9 +294,9 @@ def find(rows: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a row number, written once: computed again it could count other partitions."""
-    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "pii-rows")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``document`` and ``row``, its number, written once: computed again it could count other partitions."""
+    return staged(whole(docs, F.monotonically_increasing_id().alias("row")), "pii-rows")
 
 
 def _written(spans: Column) -> Column:
@@ -305,7 +316,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ``n_email`` ... count the base spans; ``base_sha256`` is the digest of the base spans, ``spans``
     the text of all. Null and empty texts have none; repeated rows are rows of their own.
     """
-    rows = _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
+    rows = _numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("document.*", "row")
     found = rows.select("row", "doc_id").join(find(rows), "row", "left")
     base = F.coalesce("base", F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     counts = [_count(base, i).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
@@ -323,36 +334,61 @@ def redacted(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first stays (the longer of two with one start). All other columns
     and all rows are kept.
     """
-    rows = _numbered(docs, "_pii_row")
-    spans = find(rows.select(F.col("_pii_row").alias("row"), F.coalesce("text", F.lit("")).alias("text"))).select(
-        F.col("row").alias("_pii_of"), F.col("spans").alias("_pii_spans")
-    )
-    joined = rows.join(spans, F.col("_pii_row") == F.col("_pii_of"), "left")
-    empty = F.expr("named_struct('end', 0L, 'kept', array())").cast(
-        "struct<end:bigint,kept:array<struct<start:bigint,kind:int,end:bigint>>>"
-    )
-    kept = F.aggregate(
-        F.col("_pii_spans"),
-        empty,
-        lambda state, s: F.when(s["start"] >= state["end"], F.struct(s["end"].alias("end"), F.concat(state["kept"], F.array(s)).alias("kept"))).otherwise(state),
-    )["kept"]
+    rows = _numbered(docs)
+    spans = find(rows.select("row", F.coalesce("document.text", F.lit("")).alias("text")))
+    joined = rows.join(spans.select("row", _apart(F.col("spans")).alias("kept")), "row", "left")
+    own = F.col("document.text")
+    # Pieces are cut out of the block they lie in: cutting from the whole text would read it once a span.
+    blocks = F.when(F.size("kept") > 0, F.regexp_extract_all(own, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0)))
+    joined = joined.withColumn("blocks", blocks)
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    joined = joined.withColumn("_pii_kept", kept)
     parts = F.transform(
-        F.col("_pii_kept"),
+        "kept",
         lambda s, i: F.concat(
-            _between(F.when(i > 0, F.col("_pii_kept")[i - 1]["end"]).otherwise(F.lit(0)), s["start"]),
-            names[s["kind"]],
+            _between(F.when(i > 0, F.col("kept")[i - 1]["end"]).otherwise(F.lit(0)), s["start"]), names[s["kind"]]
         ),
     )
-    tail = F.substring(F.col("text"), F.element_at("_pii_kept", -1)["end"].cast("int") + 1, F.length("text"))
-    text = F.when(F.size("_pii_kept") > 0, F.concat(F.concat_ws("", parts), tail)).otherwise(F.col("text"))
+    tail = _between(F.element_at("kept", -1)["end"], F.length(own))
+    text = F.when(F.size("kept") > 0, F.concat(F.concat_ws("", parts), tail)).otherwise(own)
+    done = joined.select("document", text.alias("text"))
     columns = [
-        text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        F.col("text")
+        if c == "text"
+        else F.length("text").cast("long").alias(c)
+        if c == "n_chars"
+        else F.col(f"document.`{c}`")
         for c in docs.columns
     ]
-    return joined.select(*columns)
+    return done.select(*columns)
+
+
+def _apart(spans: Column) -> Column:
+    """Of ordered spans those that begin where the last one kept has ended, or later.
+
+    Taken in pieces, as an array that grows by one element at a time is copied each time.
+    """
+    span = "struct<start:bigint,kind:int,end:bigint>"
+
+    def add(state: Column, s: Column) -> Column:
+        longer = F.struct(s["end"].alias("end"), F.concat(state["kept"], F.array(s)).alias("kept"))
+        return F.when(s["start"] >= state["end"], longer).otherwise(state)
+
+    def add_piece(state: Column, piece: Column) -> Column:
+        empty = F.struct(state["end"].alias("end"), F.expr("array()").cast(f"array<{span}>").alias("kept"))
+        grown = lambda x: F.struct(x["end"].alias("end"), F.concat(state["kept"], F.array(x["kept"])).alias("kept"))
+        return F.transform(F.array(F.aggregate(piece, empty, add)), grown)[0]
+
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / PIECE_SPANS).cast("int")),
+        lambda i: F.slice(spans, i * PIECE_SPANS + 1, F.lit(PIECE_SPANS)),
+    )
+    start = F.expr("named_struct('end', 0L, 'kept', array())").cast(f"struct<end:bigint,kept:array<array<{span}>>>")
+    return F.flatten(F.aggregate(pieces, start, add_piece)["kept"])
 
 
 def _between(start: Column, end: Column) -> Column:
-    return F.substring(F.col("text"), start.cast("int") + 1, (end - start).cast("int"))
+    """Characters of a text that is there in ``blocks`` of ``BLOCK_CHARS``."""
+    first = F.floor(start / BLOCK_CHARS).cast("int")
+    last = F.floor((end - 1) / BLOCK_CHARS).cast("int")
+    near = F.array_join(F.slice("blocks", first + 1, last - first + 1), "")
+    return F.substring(near, (start - first * BLOCK_CHARS).cast("int") + 1, (end - start).cast("int"))
