@@ -21,6 +21,7 @@ from lakeworks.operators.dedup import dedup
 from lakeworks.operators.reconcile import locate_differences, reconcile, reconcile_counts
 from lakeworks.operators.topk import latest_per_group
 from lakeworks.plans import generate, medallion, migrate
+from lakeworks.plans.incremental import IncrementalGold
 from lakeworks.plans.maintain import maintain
 from lakeworks.plans.star import table, transactions
 from lakeworks.schemas import RAW, RAW_COLUMNS, SILVER_STANDARD
@@ -734,6 +735,21 @@ def ingest_quarantine(spark, sf_dir):
     return placed.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register
+def gold_incremental(spark, sf_dir):
+    """The report of three loads: two periods of years, then late rows of all; one load comes twice."""
+    root = new_folder(spark, "incremental")
+    late = F.pmod(F.xxhash64("transaction_id"), F.lit(10)) == 0
+    load = F.when(late, "late").when(F.year("transaction_date") < 1995, "early").otherwise("recent")
+    cleanse.bronze_to_silver(transactions(spark, sf_dir)).withColumn("load", load).write.parquet(f"{root}/silver")
+    silver = spark.read.parquet(f"{root}/silver")
+    # Periods of years: see medallion_report.
+    gold = IncrementalGold(f"{root}/gold", "year")
+    for name in ("early", "recent", "late", "recent"):
+        gold.add(silver.where(F.col("load") == name).drop("load"), name)
+    return plain(gold.read(spark))
+
+
 @register
 def copy_deduplicated(spark, sf_dir):
     """Table to table with one row per key, with a gate on the number of rows."""

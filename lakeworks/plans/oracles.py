@@ -284,6 +284,7 @@ ORACLES: dict[str, str] = {
                      status DESC, balance_after DESC, country_code DESC) = 1)""",
     "identity_copy": "SELECT * FROM customer",
     "gold_daily_report": f"WITH {_GOLD} {_GOLD_OUT}",
+    "gold_incremental": f"WITH {_GOLD} {_GOLD_OUT}",
     "recent_report": f"""
         WITH {_GOLD}
         SELECT strftime(report_date, '%Y-%m-%d') AS report_date, merchant_category, channel, transaction_count,
