@@ -10,6 +10,7 @@ bound; entries whose stored distance already rules them out are not compared.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -172,7 +173,8 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         F.col("vec_id") % every == 0,
         SHARD_ROWS,
         BLOCK_ROWS,
-        MTree,
+        lambda ids, vectors: pickle.dumps(MTree(ids, vectors)),
+        pickle.loads,
         lambda tree, ids, vectors: tree.search(ids, vectors, k),
         k,
         "long",

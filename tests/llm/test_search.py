@@ -75,6 +75,64 @@ def test_neighbours_are_found(spark, vectors):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("clusters", [0, 40, 60, 80])
+def test_clusters_are_reached(clusters):
+    """Recall of one full shard, its graph written and read again, by queries it does not hold."""
+    chance = np.random.default_rng(clusters)
+    shape = (hnsw.SHARD_ROWS + 200, 64)
+    points = chance.normal(size=shape)
+    if clusters:
+        points = chance.normal(size=(clusters, 64))[chance.integers(0, clusters, shape[0])] + 0.05 * points
+    points, queries = points[:-200], points[-200:]
+    graph = hnsw.Graph.load(hnsw.Graph(np.arange(len(points)), points).dump())
+    hits = 0
+    for query in queries:
+        (_, rows, _), *_ = graph.search(np.array([-1]), query[None], 10)
+        near = np.argsort(((points - query) ** 2).sum(1), kind="stable")[:10]
+        hits += len(set(near.tolist()) & set(rows[:10].tolist()))
+    assert hits >= (0.95 if clusters else 0.9) * 10 * len(queries)
+
+
+def test_every_node_is_reached():
+    chance = np.random.default_rng(2)
+    points = np.repeat(chance.normal(size=(30, 4)), 40, axis=0) + 1e-6 * chance.normal(size=(1200, 4))
+    graph = hnsw.Graph(np.arange(1200), points)
+    seen, waiting = {0}, [0]
+    while waiting:
+        new = set(graph._around(0, waiting.pop()).tolist()) - seen
+        seen |= new
+        waiting += new
+    assert len(seen) == 1200
+
+
+@pytest.fixture
+def small_shards(monkeypatch):
+    for module in (mtree, hnsw):
+        monkeypatch.setattr(module, "SHARD_ROWS", 60)
+        monkeypatch.setattr(module, "BLOCK_ROWS", 10)
+
+
+def test_several_shards_ties_and_a_hot_id(spark, small_shards):
+    """Equal scores come from several shards, one id holds a third of the rows, half of these alike."""
+    chance = np.random.default_rng(4)
+    rows = [(i, chance.integers(0, 2, 3).astype(float).tolist()) for i in range(1, 301)]
+    rows += [(77, [1.0, 1.0, 1.0])] * 75 + [(77, chance.normal(size=3).round(3).tolist()) for _ in range(75)]
+    rows += [(20, rows[19][1])] * 2  # a query's own row, repeated
+    known = usable(rows, zero=True)
+    expected = []
+    for q in {i for i, _ in known if i % 20 == 0}:
+        pairs = [(-int(np.floor(64 * a) @ np.floor(64 * b)), i) for p, a in known if p == q for i, b in known if i != q]
+        expected += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(pairs)[:20], 1)]
+    assert sorted(tuple(r) for r in mtree.top_k(frame(spark, rows)).collect()) == sorted(expected)
+    known = usable(rows, zero=False)
+    found = {(r.query_id, r["rank"]): r.score for r in hnsw.nearest(frame(spark, rows), every=50).collect()}
+    hits = 0
+    for q in (q for q in {i for i, _ in known if i % 50 == 0}):
+        pairs = sorted(float(np.sqrt(((a - b) ** 2).sum())) for p, a in known if p == q for i, b in known if i != q)
+        hits += sum(found[q, r] == pytest.approx(d) for r, d in enumerate(pairs[:10], 1))
+    assert hits >= 0.9 * len(found)
+
+
 def test_empty_tables(spark):
     assert mtree.top_k(frame(spark, [])).count() == 0
     assert hnsw.nearest(frame(spark, [])).count() == 0
