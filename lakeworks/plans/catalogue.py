@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeworks.functions.columns import by_bounds, iso_text, money, parse_date, parse_ts
-from lakeworks.operators import batches, cleanse, files, metrics, profile, quality, report, synth
+from lakeworks.operators import batches, cleanse, files, metrics, profile, quality, report, sketch, synth
 from lakeworks.operators.dedup import dedup
 from lakeworks.operators.reconcile import locate_differences, reconcile, reconcile_counts
 from lakeworks.operators.topk import latest_per_group
 from lakeworks.plans import generate, medallion, migrate
 from lakeworks.plans.incremental import IncrementalGold
+from lakeworks.plans.loads import UniqueLoads
 from lakeworks.plans.maintain import maintain
 from lakeworks.plans.star import table, transactions
 from lakeworks.schemas import RAW, RAW_COLUMNS, SILVER_STANDARD
@@ -30,6 +31,7 @@ from lakeworks.sources import fs
 from lakeworks.sources.files import file_inventory, read_files
 from lakeworks.sources.scratch import new_folder
 from lakeworks.sources.snapshots import SnapshotTable
+from lakeworks.sources.variant import read_variant_lines, typed
 from lakeworks.streaming import append, hybrid, newest, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,6 +405,20 @@ def file_inventory_(spark, sf_dir):
     return files.file_stats(listing)
 
 
+@register
+def file_size_sketch(spark, sf_dir):
+    """Size quantiles from the sketches of three listings, one of which lists files that were deleted since."""
+    root = new_folder(spark, "sketch")
+    listing = _items_as_listing(spark, sf_dir)
+    third = F.pmod(F.xxhash64("table", "length"), F.lit(3))
+    removed = listing.withColumn("length", F.col("length") * 3)
+    sweeps = [listing.where(third == 0).unionAll(removed), listing.where(third > 0), removed]
+    for i, files_seen in enumerate(sweeps):
+        sketch.size_sketch(files_seen).write.parquet(f"{root}/sweep={i}")
+    first, second, gone = [spark.read.parquet(f"{root}/sweep={i}") for i in range(3)]
+    return sketch.size_quantiles(sketch.merge_sketches([first, second], [gone]), (0.1, 0.5, 0.9, 1.0))
+
+
 @register
 def file_stats(spark, sf_dir):
     return files.file_stats(_items_as_listing(spark, sf_dir))
@@ -735,6 +751,44 @@ def ingest_quarantine(spark, sf_dir):
     return placed.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register
+def dedup_append(spark, sf_dir):
+    """Loads that overlap: order lines by digit, some of them in two loads, then all of them again."""
+    target = UniqueLoads(new_folder(spark, "unique"), ["l_orderkey", "l_linenumber"])
+    items, digit = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 10
+    target.add(items.where(digit < 6), "first")
+    target.add(items.where(digit > 3), "second")
+    target.add(items.unionAll(items), "third")
+    return plain(target.read(spark))
+
+
+@register
+def ingest_variant(spark, sf_dir):
+    """JSON lines in two shapes, some cut off: typed columns, what fits none of them, and the bad lines."""
+    root = new_folder(spark, "variant")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    is_click = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    amount = F.struct(F.col("value").alias("amount"), F.lit("x").alias("unit"))
+    drifted = events.where(is_click).select("event_id", "event_type", amount.alias("value"), "user_id")
+    for part in (drifted, events.where(~is_click).drop("user_id")):
+        line = F.to_json(F.struct("*"))
+        cut = F.when(F.col("event_id") % 100 == 7, F.concat(F.lit("{"), line)).otherwise(line)
+        part.select(cut.alias("value")).write.mode("append").text(f"{root}/lines")
+    lines = typed(read_variant_lines(spark, f"{root}/lines"), {"event_id": "bigint", "event_type": "string", "value": "double"})
+    lines.write.parquet(f"{root}/bronze")
+    bronze = spark.read.parquet(f"{root}/bronze")
+    late = lambda path, kind: F.try_variant_get("document", path, kind)
+    return bronze.select(
+        "event_id",
+        "event_type",
+        "value",
+        F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("extra_fields"),
+        late("$.user_id", "bigint").alias("user_id"),
+        late("$.value.amount", "double").alias("amount"),
+        F.regexp_extract("bad_line", r'"event_id":([0-9]+)', 1).alias("bad_event"),
+    )
+
+
 @register
 def gold_incremental(spark, sf_dir):
     """The report of three loads: two periods of years, then late rows of all; one load comes twice."""

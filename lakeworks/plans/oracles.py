@@ -407,6 +407,15 @@ ORACLES: dict[str, str] = {
         SELECT "table", count(*) AS file_count, CAST(sum(length) AS BIGINT) AS total_bytes,
                min(length) AS min_bytes, max(length) AS max_bytes, quantile_disc(length, 0.5) AS median_bytes
         FROM listing GROUP BY "table" """,
+    "file_size_sketch": f"""
+        WITH {_LISTING}, exact AS (
+          SELECT "table", q AS quantile, count(*) AS file_count, CAST(sum(length) AS BIGINT) AS total_bytes,
+                 CASE q WHEN 0.1 THEN quantile_disc(length, 0.1) WHEN 0.5 THEN quantile_disc(length, 0.5)
+                        WHEN 0.9 THEN quantile_disc(length, 0.9) ELSE max(length) END AS size
+          FROM listing, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) v(q) GROUP BY "table", q)
+        SELECT "table", quantile, file_count, total_bytes,
+               2 * pow(1.01 / 0.99, ceil(ln(size) / ln(1.01 / 0.99))) / (1.01 / 0.99 + 1) AS bytes
+        FROM exact""",
     "maintenance_plan": f"""
         WITH {_LISTING}
         SELECT "table", file_count, {_PREDICTED},
@@ -502,6 +511,25 @@ ORACLES: dict[str, str] = {
     "medallion_report": f"WITH {_GOLD} {_GOLD_OUT}",
     "migrate_dataset": f"{_ORDERS_OUT} UNION ALL {_ORDERS_OUT}",
     "migrate_batched": _LINEITEM_OUT,
+    "dedup_append": """
+        SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate),
+               CASE WHEN l_orderkey % 10 < 6 THEN 'first' ELSE 'second' END AS load
+        FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY
+          l_partkey DESC NULLS LAST, l_suppkey DESC NULLS LAST, l_quantity DESC NULLS LAST,
+          l_extendedprice DESC NULLS LAST, l_discount DESC NULLS LAST, l_tax DESC NULLS LAST,
+          l_returnflag DESC NULLS LAST, l_linestatus DESC NULLS LAST, l_shipdate DESC NULLS LAST) = 1""",
+    "ingest_variant": """
+        WITH e AS (
+          SELECT *, event_id % 100 = 7 AS bad, coalesce(event_type = 'click', false) AS click FROM events)
+        SELECT CASE WHEN NOT bad THEN event_id END AS event_id, CASE WHEN NOT bad THEN event_type END AS event_type,
+               CASE WHEN NOT bad AND NOT click THEN value END AS value,
+               CASE WHEN bad THEN NULL WHEN NOT click THEN '' WHEN user_id IS NULL THEN 'value' ELSE 'user_id,value' END
+                 AS extra_fields,
+               CASE WHEN NOT bad AND click THEN user_id END AS user_id,
+               CASE WHEN NOT bad AND click THEN value END AS amount,
+               CASE WHEN bad THEN CAST(event_id AS VARCHAR) END AS bad_event
+        FROM e""",
     "reconcile_drilldown": """
         SELECT CASE WHEN o_orderkey % 1000 = 9 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey,
                CASE o_orderkey % 1000 WHEN 8 THEN 'missing' WHEN 9 THEN 'extra' ELSE 'changed' END AS status
