@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeworks.operators.quality import DataQualityError, Rule, judge, measures
+from lakeworks.sources.scratch import new_folder
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,20 @@ def check(
     return score
 
 
+def staged_and_checked(df: DataFrame, target: str, gate: Gate) -> tuple[DataFrame, float]:
+    """The rows, and their score: written once to the shared folder and judged there, so what passed is what is used.
+
+    Without anything to check the rows themselves, unwritten.
+    """
+    if not (gate.rules or gate.min_rows):
+        return df, 1.0
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "audit")
+    df.write.parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    counts = staged.agg(*measures(gate.observable)).first().asDict()
+    return staged, check(spark, target, gate, counts, staged)
+
+
 def _one_row(spark: SparkSession, observed: dict[str, Any], n_rules: int) -> DataFrame:
     names = ["row_count", *[f"bad_{i}" for i in range(n_rules)]]
     values = tuple(int(observed[n] or 0) for n in names)

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lakeworks.operators.quality import measures
-from lakeworks.sources.audit import Gate, WriteResult, check, clustered
+from lakeworks.sources.audit import Gate, WriteResult, clustered, staged_and_checked
+from lakeworks.sources.files import file_inventory
 
 MODES = ("create", "overwrite", "append")
 
@@ -35,7 +35,8 @@ class CatalogTable:
     """A named Parquet table, partitioned and located as given.
 
     Spark replaces such a table in place: an overwrite that fails midway leaves it empty.
-    The gate therefore runs over the rows before anything is written, in a pass of its own.
+    With a gate the rows are therefore written to the shared folder first and judged there; the table
+    gets the very rows that passed.
     Where readers must never miss the table, use ``SnapshotTable``.
     """
 
@@ -49,13 +50,12 @@ class CatalogTable:
     def write(self, df: DataFrame, mode: str = "overwrite", gate: Gate | None = None) -> WriteResult:
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
-        spark, started, score = df.sparkSession, time.time(), 1.0
-        gate = gate or Gate()
-        if gate.rules or gate.min_rows:
-            counts = df.agg(*measures(gate.observable)).first().asDict()
-            score = check(spark, self.name, gate, counts, df)
+        spark, started = df.sparkSession, time.time()
+        df, score = staged_and_checked(df, self.name, gate or Gate())
         ensure_namespace(spark, self.name)
-        before = spark.table(self.name).count() if mode == "append" and self._exists(spark) else 0
+        before, bytes_before = 0, 0
+        if mode == "append" and self._exists(spark):
+            before, bytes_before = spark.table(self.name).count(), self._bytes(spark)
         observation = Observation()
         counted = clustered(df, self.partition_by).observe(
             observation, F.count(F.lit(1)).alias("row_count")
@@ -70,10 +70,16 @@ class CatalogTable:
             target=self.name,
             rows=observation.get["row_count"],
             target_count=spark.table(self.name).count() - before,
-            bytes_written=0,
+            bytes_written=self._bytes(spark) - bytes_before,
             duration_seconds=time.time() - started,
             quality_score=score,
         )
 
     def _exists(self, spark: SparkSession) -> bool:
         return spark.catalog.tableExists(self.name)
+
+    def _bytes(self, spark: SparkSession) -> int:
+        """Bytes of the files below the table's location."""
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}")
+        root = described.where("col_name = 'Location'").first()["data_type"]
+        return file_inventory(spark, {self.name: root}).agg(F.sum("length")).first()[0] or 0

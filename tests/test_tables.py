@@ -82,10 +82,13 @@ def test_catalog_modes(spark, root):
     t = CatalogTable(f"{db}.numbers", ("part",), f"{root}/numbers")
     first = t.write(numbers(spark, 6), "create")
     assert (first.rows, first.target_count) == (6, 6)
+    size = lambda: sum(r.length for r in file_inventory(spark, {"t": f"{root}/numbers"}).collect())
+    assert first.bytes_written == size() > 0
     with pytest.raises(Exception, match="already exists"):
         t.write(numbers(spark, 6), "create")
     more = t.write(numbers(spark, 4, 100), "append")
     assert (more.rows, more.target_count, t.read(spark).count()) == (4, 4, 10)
+    assert first.bytes_written + more.bytes_written == size() and more.bytes_written > 0
     again = t.write(numbers(spark, 2), "overwrite")
     assert (again.target_count, t.read(spark).count()) == (2, 2)
     assert fs.exists(spark, f"{root}/numbers/part=0")
@@ -94,6 +97,10 @@ def test_catalog_modes(spark, root):
     with pytest.raises(q.DataQualityError):
         t.write(numbers(spark, 2), "overwrite", Gate([q.positive_amount("v")]))
     assert t.read(spark).count() == 2
+    # Judged and written are the same rows, though another run would give others.
+    chance = numbers(spark, 200).withColumn("v", F.rand() - 0.5)
+    passed = t.write(chance.where("v > 0"), "overwrite", Gate([q.positive_amount("v")], min_rows=1))
+    assert t.read(spark).where("v <= 0").count() == 0 and t.read(spark).count() == passed.rows
     assert is_readable(spark, t.name) and not is_readable(spark, f"{db}.nope")
 
 
