@@ -40,6 +40,10 @@ REGISTRY: dict[str, Query] = {}
 SOURCE_PATH = "lake://raw/transactions"
 INGESTED_AT = datetime(2024, 1, 1)
 MB = 1024**2
+#: Rows of a file of the transactions that a query stores for itself, so that several tasks read them again.
+FILE_ROWS = 100_000
+#: Bytes of line items that make a file of a stream.
+STREAM_FILE_BYTES = 4 * MB
 
 
 def register(query: Query) -> Query:
@@ -657,12 +661,18 @@ def synthetic_learned_fit(spark, sf_dir):
 
 
 def _raw_json(spark, sf_dir, root):
-    """The transactions as JSON lines, timestamps as ISO text."""
+    """The transactions as JSON lines, timestamps as ISO text; compressed, and so in files of few rows."""
     tx = transactions(spark, sf_dir).withColumn("transaction_ts", iso_text("transaction_ts"))
-    tx.write.json(f"{root}/raw")
+    tx.write.option("maxRecordsPerFile", FILE_ROWS).json(f"{root}/raw", compression="gzip")
     return f"{root}/raw"
 
 
+def _stream_files(spark, sf_dir, least):
+    """Files to deal a stream's rows to: their number grows with the line items, their size does not."""
+    size = file_inventory(spark, {"t": f"{sf_dir}/lineitem.parquet"}).agg(F.sum("length")).first()[0]
+    return max(least, -(-size // STREAM_FILE_BYTES))
+
+
 @register
 def ingest_json(spark, sf_dir):
     """JSON lines to a published bronze table."""
@@ -741,10 +751,11 @@ def ingest_quarantine(spark, sf_dir):
     """JSON lines of which some are cut off: where each one went."""
     root = new_folder(spark, "quarantine")
     bronze = SnapshotTable(f"{root}/bronze")
-    lines = spark.read.text(_raw_json(spark, sf_dir, root))
-    key = F.get_json_object("value", "$.transaction_id")
-    cut = F.when(key.like("%-7"), F.expr("left(value, length(value) - 3)")).otherwise(F.col("value"))
-    lines.select(cut.alias("value")).write.text(f"{root}/cut")
+    tx = transactions(spark, sf_dir).withColumn("transaction_ts", iso_text("transaction_ts"))
+    lines = tx.select("transaction_id", F.to_json(F.struct("*")).alias("value"))
+    cut = F.when(is_damaged(), F.expr("left(value, length(value) - 3)")).otherwise(F.col("value"))
+    # Written once, cut and compressed.
+    lines.select(cut.alias("value")).write.option("maxRecordsPerFile", FILE_ROWS).text(f"{root}/cut", compression="gzip")
     medallion.ingest_json(spark, f"{root}/cut", bronze, quarantine_path=f"{root}/bad", ingest_ts=INGESTED_AT)
     bad = spark.read.text(f"{root}/bad").select(F.lit("bad").alias("place"))
     placed = bronze.read(spark).select(F.lit("bronze").alias("place")).unionAll(bad)
