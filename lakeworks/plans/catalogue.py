@@ -929,9 +929,11 @@ def stream_silver_newest(spark, sf_dir):
         }
     )
     smaller = again.withColumns({"amount": F.col("amount") / 2, "merchant_name": F.lit("superseded")})
+    files = _stream_files(spark, sf_dir, 2)
     for part in (smaller, raw, older):
-        part.repartition(2).write.mode("append").json(f"{root}/raw")
-    rows = newest.silver_newest_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=2))
+        part.repartition(files).write.mode("append").json(f"{root}/raw", compression="gzip")
+    # The stream ends with its input, so no key needs to be forgotten.
+    rows = newest.silver_newest_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=files), keep_ms=None)
     with newest.keyed_state(spark):
         publish.publish_stream(
             rows, f"{root}/target", f"{root}/checkpoint", output_mode="update", available_now=True

@@ -118,3 +118,25 @@ def test_empty_targets(spark, root):
     assert read_published(spark, root, spark.range(1).schema).columns == ["id", "epoch"]
     assert publish_epoch(spark.range(0), 0, root).rows == 0
     assert read_published(spark, root, spark.range(1).schema).count() == 0
+
+
+def test_never_forgetting_passes_on_news_only_and_runs_without_python(spark, root):
+    versions = [
+        raw(spark, {"amount": 5.0}, {"transaction_id": None}, {"transaction_id": "t2", "merchant_name": None}),
+        raw(spark, {"amount": 7.0}, {"amount": 6.0}, {"transaction_id": "t2"}),
+        raw(spark, {"amount": 6.0}, {"transaction_id": "t2"}, {"transaction_id": None}),
+        raw(spark, {"amount": 7.0}, {"transaction_id": "t2", "merchant_name": None}),
+    ]
+    for part in versions:
+        arrive(part, root)
+        stream = silver_newest_stream(read_stream(spark, "json", RAW, f"{root}/in"), keep_ms=None)
+        with keyed_state(spark):
+            publish_stream(stream, f"{root}/t", f"{root}/c", output_mode="update", available_now=True).awaitTermination()
+    published = read_published(spark, f"{root}/t", stream.schema)
+    everything = versions[0].unionAll(versions[1]).unionAll(versions[2]).unionAll(versions[3])
+    assert rows(of_last_epoch(published, ["transaction_id"])) == rows(bronze_to_silver(everything))
+    found = published.select("epoch", "transaction_id", F.col("amount").cast("int"), "merchant_name").collect()
+    assert sorted(map(tuple, found), key=repr) == [
+        (0, "t1", 5, "M"), (0, "t2", 10, None), (0, None, 10, "M"), (1, "t1", 7, "M"), (1, "t2", 10, "M"),
+    ]
+    assert "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
