@@ -892,8 +892,9 @@ def stream_silver(spark, sf_dir):
     root = new_folder(spark, "silver")
     silver = cleanse.bronze_to_silver(transactions(spark, sf_dir))
     raw = silver.withColumn("transaction_ts", iso_text("transaction_ts")).select(*RAW_COLUMNS)
-    raw.unionAll(raw).repartition(6).write.json(f"{root}/raw")
-    rows = append.silver_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=2))
+    files = _stream_files(spark, sf_dir, 6)
+    raw.unionAll(raw).repartition(files).write.json(f"{root}/raw", compression="gzip")
+    rows = append.silver_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=-(-files // 3)))
     append.append_stream(
         rows, f"{root}/checkpoint", path=f"{root}/target", available_now=True
     ).awaitTermination()
@@ -907,8 +908,9 @@ def stream_silver_damaged(spark, sf_dir):
     raw = transactions(spark, sf_dir).withColumn("transaction_ts", iso_text("transaction_ts"))
     # One row per id first: which of several stays would hang on the order of arrival.
     raw = dedup(raw, ["transaction_id"], ["transaction_ts", "amount", "merchant_name", "merchant_category"])
-    damaged(raw, transaction_ts="no time").repartition(6).write.json(f"{root}/raw")
-    rows = append.silver_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=2))
+    files = _stream_files(spark, sf_dir, 6)
+    damaged(raw, transaction_ts="no time").repartition(files).write.json(f"{root}/raw", compression="gzip")
+    rows = append.silver_stream(append.read_stream(spark, "json", RAW, f"{root}/raw", per_batch=-(-files // 3)))
     append.append_stream(
         rows, f"{root}/checkpoint", path=f"{root}/target", available_now=True
     ).awaitTermination()
