@@ -4,7 +4,7 @@ Beside the rows lies a blocked Bloom filter of their keys, one table of partial
 merged by ``bit_or``. A load's rows that the filter has not seen are new and skip the join with what
 is stored; the few it may have seen are compared exactly, with the stored keys that a
 filter of *them* lets through. So of the stored table one column set is scanned and next to
-nothing of it is shuffled.
+nothing of it is shuffled; of a load that is there already, the keys alone.
 """
 
 from __future__ import annotations
@@ -77,17 +77,16 @@ class UniqueLoads:
     def add(self, load: DataFrame, name: str) -> int:
         """Append what is new in ``load``; the number of rows that were."""
         spark = load.sparkSession
-        one = dedup(load, self.keys, self.newest_by)
         others = self._stored(spark, name)
-        if others is None:
-            fresh = one
-        else:
+        if others is not None:
             bloom = merged(spark.read.parquet(f"{self.root}/filter").where(F.col("load").cast("string") != name))
             path = new_folder(spark, "unique-load")
-            flagged(one, self.keys, bloom, self.blocks).write.parquet(path)
+            flagged(load, self.keys, bloom, self.blocks).write.parquet(path)
             staged = spark.read.parquet(path)
             suspects = staged.where("possible").select("own.*")
-            fresh = staged.where(~F.col("possible")).select("own.*").unionByName(self._unknown(suspects, others))
+            load = staged.where(~F.col("possible")).select("own.*").unionByName(self._unknown(suspects, others))
+        # Whether a row is new hangs on its key alone: only what is new is shuffled whole.
+        fresh = dedup(load, self.keys, self.newest_by)
         path = new_folder(spark, "unique-rows")
         fresh.write.parquet(path)
         fresh = spark.read.schema(load.schema).parquet(path)
@@ -111,6 +110,14 @@ class UniqueLoads:
         bloom = bloom_filter(suspects, self.keys, self.blocks)
         known = flagged(stored.select(*self.keys), self.keys, bloom, self.blocks).where("possible").select("own.*")
         known = known.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(self.keys)])
-        own = suspects.select(F.struct("*").alias("own"))
-        same = [F.col("own")[k].eqNullSafe(known[f"_{i}"]) for i, k in enumerate(self.keys)]
-        return own.join(known, reduce(and_, same), "left_anti").select("own.*")
+        # Found by keys alone and stored, so that few are joined to their rows without a shuffle of these.
+        new = self._joined(suspects.select(*self.keys).distinct(), known, "left_anti")
+        path = new_folder(suspects.sparkSession, "unique-keys")
+        new.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(self.keys)]).write.parquet(path)
+        return self._joined(suspects, suspects.sparkSession.read.parquet(path), "left_semi")
+
+    def _joined(self, rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        """Rows whose keys are, or are not, among ``keys``, there numbered."""
+        own = rows.select(F.struct("*").alias("own"))
+        same = [F.col("own")[k].eqNullSafe(keys[f"_{i}"]) for i, k in enumerate(self.keys)]
+        return own.join(keys, reduce(and_, same), how).select("own.*")
