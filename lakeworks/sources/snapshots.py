@@ -53,6 +53,8 @@ Directories = dict[str, int]
 SMALL_SHARE = 0.75
 # Groups of small files rewritten by one job: bounds the size of its plan.
 GROUPS_PER_JOB = 200
+# Values (rows times columns) that one task sorts: some 1 GB of memory, however well they compress.
+SORT_VALUES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -177,7 +179,9 @@ class SnapshotTable:
                 self._read_paths(spark, schema, sorted(g["merged"])).coalesce(g["wanted"])
                 for g in groups[at : at + GROUPS_PER_JOB]
             ]
-            self._write_load(reduce(DataFrame.unionAll, parts), load, "append")
+            # A task's rows are of one partition: its file needs no sort by partition.
+            with _unsorted_partitions(spark):
+                self._write_load(reduce(DataFrame.unionAll, parts), load, "append")
         new = self._inspect(spark, schema, load)[0]
         before = self._read_paths(spark, schema, sorted(p for g in groups for p in g["merged"]))
         self._verify(spark, schema, before, new, verify, load)
@@ -201,15 +205,17 @@ class SnapshotTable:
 
         Rows are range-partitioned by table partition and sort columns. The row's position
         ends the range key, so one value that holds most rows is still cut into many files.
-        Returns the number of files written.
+        A file is sorted by one task, so it takes at most ``SORT_VALUES`` values, about, even where
+        these take less than ``target_bytes``. Returns the number of files written.
         """
         self._check_partitions(spark)
         version = self._version(spark)
         schema, directories = self._contents(spark, version)
         if not directories:
             return 0
-        files = max(1, -(-self._bytes(spark, directories) // target_bytes))
         rows, own = self._read_directories(spark, schema, directories), list(self.partition_by)
+        values = rows.count() * len(schema)
+        files = max(1, -(-self._bytes(spark, directories) // target_bytes), -(-values // SORT_VALUES))
         columns = [c for c in columns if c not in own]
         key = own + columns
         if zorder and columns:
@@ -431,6 +437,22 @@ class SnapshotTable:
         return snapshot_id
 
 
+class _unsorted_partitions:
+    """Partitioned writes inside keep a writer open per partition, up to a few, instead of sorting a task's rows."""
+
+    NAME, WRITERS = "spark.sql.maxConcurrentOutputFileWriters", "8"
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        self.before = self.conf.get(self.NAME, None)
+        self.conf.set(self.NAME, self.WRITERS)
+
+    def __exit__(self, *error) -> None:
+        self.conf.unset(self.NAME) if self.before is None else self.conf.set(self.NAME, self.before)
+
+
 def _parent(path: Column | str) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
