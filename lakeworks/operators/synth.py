@@ -177,25 +177,22 @@ def sample(
     """
     k = F.xxhash64(F.col(key), F.lit(seed))
     linked, root = _linked(profile)
-    places = {c: uniform_int(k, f"place:{c}", 0, t.total - 1) for c, t in profile.tables.items()}
-    drawn = ids.select(
-        key,
-        k.alias("_k"),
-        *[_normal_draw(k, f"noise:{c}").alias(f"e{i}") for i, c in enumerate(linked)],
-        *[p.alias(f"_at_{c}") for c, p in places.items()],
+    rows = ids.select(key)
+    # First, while rows are a key: what is drawn besides follows from the key and need not be shuffled.
+    for c, t in profile.tables.items():
+        cells = t.table.select([F.col(n).alias(f"_{n}_{c}") for n in ("cell", "first", "end", "value")])
+        at = uniform_int(k, f"place:{c}", 0, t.total - 1)
+        met = F.floor(at / t.width) == F.col(f"_cell_{c}")
+        rows = rows.join(cells, met & (at >= F.col(f"_first_{c}")) & (at < F.col(f"_end_{c}")))
+        rows = rows.drop(*[f"_{n}_{c}" for n in ("cell", "first", "end")])
+    drawn = rows.withColumns(
+        {"_k": k} | {f"e{i}": _normal_draw(k, f"noise:{c}") for i, c in enumerate(linked)}
     )
     scores = {
         c: sum((F.col(f"e{j}") * F.lit(float(w)) for j, w in enumerate(root[i]) if w), F.lit(0.0))
         for i, c in enumerate(linked)
     }
-    rows = drawn.select(
-        key, "_k", *[f"_at_{c}" for c in places], *[s.alias(f"_z_{c}") for c, s in scores.items()]
-    )
-    for c, t in profile.tables.items():
-        cells = t.table.select([F.col(n).alias(f"_{n}_{c}") for n in ("cell", "first", "end", "value")])
-        at = F.col(f"_at_{c}")
-        met = F.floor(at / t.width) == F.col(f"_cell_{c}")
-        rows = rows.join(cells, met & (at >= F.col(f"_first_{c}")) & (at < F.col(f"_end_{c}")))
+    rows = drawn.withColumns({f"_z_{c}": s for c, s in scores.items()})
     values = {}
     for c, grid in profile.grids.items():
         own = uniform("_k", f"draw:{c}")

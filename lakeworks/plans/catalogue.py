@@ -555,7 +555,8 @@ def synthetic_domains(spark, sf_dir):
 def _learnable(spark, sf_dir):
     """The transactions as a stored table in several files: learning reads it a few times."""
     path = f"{new_folder(spark, 'learn')}/source"
-    transactions(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    # Files of so many rows, rather than a shuffle of whole rows to a number of tasks that does not grow.
+    transactions(spark, sf_dir).write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return spark.read.parquet(path)
 
 
