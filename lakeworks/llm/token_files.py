@@ -9,8 +9,10 @@ the ids of some documents without the rest.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeworks.llm.bpe import (
-    _WIDE_SPACE,
-    WORDS_REMEMBERED,
-    TextMemory,
-    Vocabulary,
-    vocabulary,
-)
+from lakeworks.llm.bpe import _WIDE_SPACE, WORDS_REMEMBERED, TextMemory, Vocabulary, vocabulary
 from lakeworks.llm.common import id_and_text, list_array, over_batches
 from lakeworks.llm.spans import NOT_SPACE, Words, blocks
 
@@ -43,6 +39,8 @@ STRINGS_AT_ONCE = 50
 
 #: Repeated chunks that a worker remembers, at most about.
 REPEATED_CHUNKS = 300_000
+#: Text bytes that are encoded together, about: what a worker holds beside its memory is some 50 times that.
+TEXTS_AT_ONCE = 1 << 20
 #: Places of the filter that says which chunks were met before.
 SEEN_PLACES = 1 << 22
 
@@ -71,10 +69,9 @@ class RepeatedMemory(TextMemory):
         if np.count_nonzero(self.seen) > SEEN_PLACES // 2:
             self.seen[:] = False
         self.seen[place] = True
-        get = memory.codes.get
-        code = np.fromiter((get(chunk, -1) for chunk in distinct), np.int64, len(distinct))
+        code = np.fromiter(map(memory.codes.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(code < 0)
-        letters = np.fromiter((distinct[i].isalpha() for i in new.tolist()), bool, len(new))
+        letters = np.fromiter(map(bytes.isalpha, map(distinct.__getitem__, new.tolist())), bool, len(new))
         # Those to remember first; among both, chunks of ASCII letters, which are words as they stand.
         groups = [new[kept & plain] for kept in (again[new], ~again[new]) for plain in (letters, ~letters)]
         encoded = [(np.empty(0, np.int32), np.empty(0, np.int64))]
@@ -87,7 +84,7 @@ class RepeatedMemory(TextMemory):
         code[new] = len(memory.start) + np.arange(len(new))
         size = int(lengths[:kept].sum())
         starts = len(memory.flat) + np.cumsum(lengths) - lengths
-        memory.codes.update((distinct[i], c) for i, c in zip(new[:kept].tolist(), code[new[:kept]].tolist()))
+        memory.codes.update(zip(map(distinct.__getitem__, new[:kept].tolist()), code[new[:kept]].tolist()))
         before = len(memory.flat), len(memory.start)
         memory.flat = np.concatenate([memory.flat, flat])
         memory.start = np.concatenate([memory.start, starts])
@@ -99,7 +96,7 @@ class RepeatedMemory(TextMemory):
 
     def _plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks that are one word each."""
-        words = [chunk.lower().decode() for chunk in chunks]
+        words = b" ".join(chunks).lower().decode().split(" ")
         self.words.known(list(dict.fromkeys(words)))
         codes = np.fromiter(map(self.words.codes.__getitem__, words), np.int64, len(words))
         return self.words.of(codes, np.ones(len(words), np.int64))
@@ -112,6 +109,8 @@ def _memory(path: str) -> TextMemory:
     It gets the distinct new words with spaces between them; the token that ends a word says
     where the next one begins.
     """
+    # A task has one core: threads of the library's own would take turns on it, each with memory of its own.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     known, tokenizer = vocabulary(path), Tokenizer.from_file(path)
@@ -150,7 +149,7 @@ def tokenized(docs: DataFrame, path: str, partitions: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         memory, texts = _memory(path), batch.column("text").to_pylist()
         parts, lengths = [], []
-        for some in blocks(texts):
+        for some in blocks(texts, TEXTS_AT_ONCE):
             ids, counts = memory.ids(texts[some])
             parts.append(np.insert(ids, np.cumsum(counts), END_ID))
             lengths.append(counts + 1)
