@@ -65,9 +65,9 @@ def test_files_of_a_stream_grow_with_the_input(spark, folders, monkeypatch, name
 
 
 def test_learning_shuffles_no_whole_rows_to_a_fixed_number_of_tasks(spark, folders, monkeypatch):
-    monkeypatch.setattr(catalogue, "FILE_ROWS", 1000)
+    monkeypatch.setattr(catalogue, "FILE_ROWS", 250)
     stored = catalogue._learnable(spark, SF)
-    assert len(stored.inputFiles()) >= 6
+    assert len(stored.inputFiles()) >= 20
     assert stored.count() == transactions(spark, SF, ["transaction_id"]).count()
 
 
