@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeworks.functions.columns import iso_text, parse_ts
+from lakeworks.functions.columns import by_bounds, iso_text, parse_ts
 from lakeworks.functions.hashing import pick, pick_weighted, uniform, uniform_int
 from lakeworks.schemas import RAW_COLUMNS
 from lakeworks.sources.scratch import new_folder
@@ -142,7 +142,7 @@ def learn(
     bins: int = SCORE_BINS,
     max_categories: int = MAX_CATEGORIES,
 ) -> Profile:
-    """Learn a profile: one pass for quantiles and nulls, one for the shares, one for correlations.
+    """Learn a profile: one pass for the quantiles, one for the shares, one for correlations.
 
     Every pass is a plain aggregate that combines per task. What reaches the driver is ``steps``
     numbers per numeric column and at most ``max_categories`` values per category; a column with
@@ -158,12 +158,13 @@ def learn(
     probabilities = [i / steps for i in range(steps + 1)]
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count(c).alias(f"n_{c}") for c in df.columns],
+        *[F.count(c).alias(f"n_{c}") for c in scored],
         *[F.percentile_approx(c, probabilities, 10000).alias(f"q_{c}") for c in scored],
     ).first()
-    nulls = {c: 1 - row[f"n_{c}"] / row["rows"] for c in df.columns} if row["rows"] else {}
     grids = {c: list(row[f"q_{c}"] or []) for c in scored}
-    shares, tables = _value_shares(df, categorical, max_categories)
+    shares, tables, totals = _value_shares(df, categorical, max_categories)
+    present = {c: row[f"n_{c}"] for c in scored} | totals
+    nulls = {c: 1 - n / row["rows"] for c, n in present.items()} if row["rows"] else {}
     found = Profile(grids, shares, None, tables, nulls, tuple(times), tuple(ids))
     return replace(found, correlation=_score_correlation(df, found, bins))
 
@@ -181,18 +182,19 @@ def sample(
     # First, while rows are a key: what is drawn besides follows from the key and need not be shuffled.
     for c, t in profile.tables.items():
         cells = t.table.select([F.col(n).alias(f"_{n}_{c}") for n in ("cell", "first", "end", "value")])
-        at = uniform_int(k, f"place:{c}", 0, t.total - 1)
+        # The place is a column of its own, not hashed again for every value it is compared with.
+        rows, at = rows.withColumn("_at", uniform_int(k, f"place:{c}", 0, t.total - 1)), F.col("_at")
         met = F.floor(at / t.width) == F.col(f"_cell_{c}")
         rows = rows.join(cells, met & (at >= F.col(f"_first_{c}")) & (at < F.col(f"_end_{c}")))
-        rows = rows.drop(*[f"_{n}_{c}" for n in ("cell", "first", "end")])
+        rows = rows.drop("_at", *[f"_{n}_{c}" for n in ("cell", "first", "end")])
     drawn = rows.withColumns(
-        {"_k": k} | {f"e{i}": _normal_draw(k, f"noise:{c}") for i, c in enumerate(linked)}
+        _compiled({"_k": k} | {f"e{i}": _normal_draw(k, f"noise:{c}") for i, c in enumerate(linked)}, F.col(key))
     )
     scores = {
         c: sum((F.col(f"e{j}") * F.lit(float(w)) for j, w in enumerate(root[i]) if w), F.lit(0.0))
         for i, c in enumerate(linked)
     }
-    rows = drawn.withColumns({f"_z_{c}": s for c, s in scores.items()})
+    rows = drawn.withColumns(_compiled({f"_z_{c}": s for c, s in scores.items()}, F.col("_k")))
     values = {}
     for c, grid in profile.grids.items():
         own = uniform("_k", f"draw:{c}")
@@ -206,7 +208,8 @@ def sample(
         if 0 < share:
             values[c] = F.when(uniform("_k", f"null:{c}") >= F.lit(share), values[c])
     values |= {c: _uuid(F.concat_ws(":", F.lit(seed), F.lit(c), F.col(key))) for c in profile.ids}
-    return rows.select(key, *[values[c].alias(c) for c in profile.columns])
+    values = _compiled({c: values[c] for c in profile.columns}, F.col("_k"))
+    return rows.select(key, *[value.alias(c) for c, value in values.items()])
 
 
 def learn_transactions(df: DataFrame) -> Profile:
@@ -226,16 +229,33 @@ def learned_transactions(ids: DataFrame, profile: Profile, key: str = "id", seed
     return sample(ids.select(F.col(key).alias("_key")), profile, "_key", seed).select(*RAW_COLUMNS)
 
 
-def _value_shares(df: DataFrame, columns: Sequence[str], most: int) -> tuple[dict, dict]:
-    """Shares of the values of each column: in a dictionary up to ``most`` values, else in a table."""
+def by_column(df: DataFrame, values: Mapping[str, Column], *others: Column) -> DataFrame:
+    """A row for each column of a row: its ``place`` among ``values``, its ``value``, and the others.
+
+    A place is a shorter key than a name, and an array costs a row less than a map, which looks
+    for a name that comes twice.
+    """
+    return df.select(F.posexplode(F.array(*values.values())).alias("place", "value"), *others)
+
+
+def column_at(place: str, columns: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col(place)).alias("column")
+
+
+def _value_shares(df: DataFrame, columns: Sequence[str], most: int) -> tuple[dict, dict, dict]:
+    """Shares of the values of each column: in a dictionary up to ``most`` values, else in a table.
+
+    And in how many rows each column has a value.
+    """
     if not columns:
-        return {}, {}
+        return {}, {}, {}
     folder = new_folder(df.sparkSession, "shares")
     (
-        df.select(F.explode(F.create_map(*_pairs(columns))).alias("column", "value"))
+        by_column(df, {c: F.col(c).cast("string") for c in columns})
         .where("value IS NOT NULL")
-        .groupBy("column", "value")
+        .groupBy("place", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(column_at("place", columns), "value", "n")
         .write.parquet(f"{folder}/counts")
     )
     counts = df.sparkSession.read.parquet(f"{folder}/counts")
@@ -250,7 +270,8 @@ def _value_shares(df: DataFrame, columns: Sequence[str], most: int) -> tuple[dic
         if c not in large:
             own = sorted((-r["n"], r["value"]) for r in found if r["column"] == c)
             shares[c] = {value: -n / sizes[c]["total"] for n, value in own}
-    return shares, _share_tables(counts, {c: sizes[c] for c in large}, f"{folder}/places")
+    totals = {c: sizes[c]["total"] if c in sizes else 0 for c in columns}
+    return shares, _share_tables(counts, {c: sizes[c] for c in large}, f"{folder}/places"), totals
 
 
 def _share_tables(counts: DataFrame, sizes: Mapping, path: str) -> dict[str, Shares]:
@@ -278,8 +299,15 @@ def _share_tables(counts: DataFrame, sizes: Mapping, path: str) -> dict[str, Sha
     }
 
 
-def _pairs(columns: Sequence[str]) -> list[Column]:
-    return [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
+def _compiled(columns: Mapping[str, Column], by: Column) -> dict[str, Column]:
+    """The columns, for a projection whose code is split into methods small enough to be compiled.
+
+    Code of a whole stage puts all columns of a row into one method, and past 8,000 bytes of it the
+    JVM interprets every row. A lambda (here one that is always true, over any column ``by`` of the
+    rows) keeps a projection out of that, and so its code in parts, however many columns there are.
+    """
+    always = F.exists(F.array(by), lambda x: F.lit(True))
+    return {c: F.when(always, column) if i == 0 else column for i, (c, column) in enumerate(columns.items())}
 
 
 def score_correlation(df: DataFrame, profile: Profile, bins: int = SCORE_BINS) -> np.ndarray:
@@ -303,14 +331,16 @@ def _score_correlation(df: DataFrame, profile: Profile, bins: int) -> np.ndarray
         middles = _middle_scores(share)
         if len(share) <= LISTED_VALUES:
             place = F.array_position(_texts(share), F.col(c)).cast("int") - 1
-            scores.append(F.when(place >= 0, F.get(_numbers(middles), place)) if share else F.lit(0.0))
+            # (No place is before the first one, where there is no number.)
+            scores.append(F.get(_numbers(middles), place) if share else F.lit(0.0))
         else:
             rows = [{f"_v{i}": v, f"_z{i}": z} for v, z in zip(share, middles)]
             known = _literal_rows(df.sparkSession, rows, f"_v{i} string, _z{i} double")
             df = df.join(F.broadcast(known), F.col(c) == F.col(f"_v{i}"), "left")
             scores.append(F.col(f"_z{i}"))
     # A row of the matrix per score: the score times all scores of its row, summed.
-    z = df.select(F.array(*[F.coalesce(s, F.lit(0.0)) for s in scores]).alias("z"))
+    z = F.array(*[F.coalesce(s, F.lit(0.0)) for s in scores])
+    z = df.select(_compiled({"z": z}, F.col(profile.correlated[0]))["z"].alias("z"))
     products = [F.sum(F.col("x") * F.get("z", F.lit(j))).alias(f"p{j}") for j in range(n)]
     # (The outer form, so that the array is not computed once more to see whether it is empty.)
     sums = z.select("z", F.posexplode_outer("z").alias("i", "x")).groupBy("i").agg(
@@ -403,9 +433,7 @@ def _number_score(col: Column, grid: Sequence[float], bins: int) -> Column:
         return F.lit(None).cast("double")
     bounds = np.interp(np.arange(1, bins) / bins, np.linspace(0, 1, len(grid)), grid)
     leaves = [NORMAL.inv_cdf((i + 0.5) / bins) for i in range(bins)]
-    # A loop over the bounds is less code than a tree of comparisons: a pass over many columns stays compiled.
-    stretch = F.size(F.filter(_numbers(bounds), lambda bound: bound <= col))
-    return F.when(col.isNotNull(), F.get(_numbers(leaves), stretch))
+    return F.when(col.isNotNull(), by_bounds(col, bounds, leaves))
 
 
 def _number_at(z: Column, grid: Sequence[float], max_score: float) -> Column:

@@ -599,6 +599,7 @@ def synthetic_learned_fit(spark, sf_dir):
     synth.learned_transactions(keys, learned, "transaction_id", seed=42).write.parquet(f"{root}/made")
     made = spark.read.parquet(f"{root}/made")
     numbers = ["amount", "balance_after", "transaction_ts"]
+    valued_columns = [c for c in RAW_COLUMNS if c != "transaction_id"]
     seconds = {"transaction_ts": parse_ts("transaction_ts").cast("double")}
     tenths = [i / 10 for i in range(1, 10)]
     bounds = (
@@ -611,12 +612,11 @@ def synthetic_learned_fit(spark, sf_dir):
         for c in numbers:
             tenth = by_bounds(F.col(c).cast("double"), bounds[c], [str(i) for i in range(10)])
             values[c] = F.when(F.col(c).isNotNull(), tenth)
-        pairs = F.create_map(*[x for c, v in values.items() for x in (F.lit(c), v)])
-        return rows.select(F.explode(pairs).alias("column", "value"), F.lit(side == "here").cast("int").alias("here"))
+        return synth.by_column(rows, {c: values[c] for c in valued_columns}, F.lit(int(side == "here")).alias("here"))
 
-    counts = valued(source, "here").unionAll(valued(made, "there")).groupBy("column", "value").agg(
-        F.sum("here").alias("here"), F.sum(1 - F.col("here")).alias("there")
-    )
+    counts = valued(source, "here").unionAll(valued(made, "there")).groupBy("place", "value").agg(
+        F.sum("here").alias("here"), (F.count(F.lit(1)) - F.sum("here")).alias("there")
+    ).withColumn("column", synth.column_at("place", valued_columns))
     null = F.col("value").isNull()
     gap = F.abs(F.col("there") - F.col("here"))
     n, distinct = F.col("n"), F.col("distinct")

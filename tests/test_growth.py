@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
@@ -91,6 +92,57 @@ def test_drawing_from_tables_shuffles_keys_and_values_only(spark):
     assert "noise:" not in joined and "_z_" not in joined
 
 
+def largest_method(spark, df):
+    """Bytes of the longest method that whole-stage code of a plan has; beyond 8,000 the JVM interprets it."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        parts = df.select("*")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set(name, before)
+    return max([parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())], default=0)
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_drawing_many_columns_stays_compiled(spark, linked):
+    grids = {f"n{i}": [0.0, 1.0, 10.0] for i in range(8)}
+    shares = {f"c{i}": {"a": 0.5, "b": 0.3, "c": 0.2} for i in range(8)}
+    off = np.full((16, 16), 0.3) + 0.7 * np.eye(16) if linked else None
+    nulls = {c: 0.1 for c in [*grids, *shares]}
+    made = synth.sample(spark.range(2000), synth.Profile(grids, shares, off, nulls=nulls, ids=["key"]))
+    assert largest_method(spark, made) < 8000
+    found = made.agg(F.count("*"), F.count("n0"), F.count("c7"), F.count("key")).first()
+    assert found[0] == found[3] == 2000 and all(1700 < n < 1900 for n in found[1:3])
+
+
+def test_scores_of_many_numbers_stay_compiled(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(synth, "_compiled", lambda columns, by, own=synth._compiled: (asked.append(list(columns)), own(columns, by))[1])
+    source = spark.range(200).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"n{i}") for i in range(12)])
+    learned = synth.learn(source, source.columns)
+    assert asked == [["z"]] and learned.correlation.shape == (12, 12)
+    scores = F.array(*[synth._number_score(F.col(c), learned.grids[c], 32) for c in source.columns])
+    assert largest_method(spark, source.select(scores.alias("z"))) > 8000
+    assert largest_method(spark, source.select(synth._compiled({"z": scores}, F.col("n0"))["z"].alias("z"))) < 8000
+
+
+def test_a_drawn_place_is_hashed_once(spark):
+    source = spark.range(3000).select(F.concat(F.lit("v"), "id").alias("a"))
+    text = plan(synth.sample(spark.range(500), synth.learn(source, [], ["a"], max_categories=100)))
+    met = next(line for line in text.splitlines() if "Join Inner" in line)
+    assert "xxhash64" not in met and "_at" in met
+
+
+def test_values_are_counted_by_the_place_of_their_column(spark):
+    source = spark.createDataFrame([("x", None, "1"), ("x", "x", None), (None, "y", None)], "a string, b string, c string")
+    pairs = synth.by_column(source, {c: F.col(c) for c in source.columns})
+    assert pairs.dtypes == [("place", "int"), ("value", "string")] and pairs.count() == 9
+    learned = synth.learn(source, [], source.columns)
+    assert learned.shares == {"a": {"x": 1.0}, "b": {"x": 0.5, "y": 0.5}, "c": {"1": 1.0}}
+    assert learned.nulls == pytest.approx({"a": 1 / 3, "b": 1 / 3, "c": 2 / 3})
+
+
 def test_a_compaction_sorts_no_rows_by_partition(spark, monkeypatch):
     target = snapshots.SnapshotTable(new_folder(spark, "compact"), ("p",))
     for _ in range(3):

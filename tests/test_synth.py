@@ -150,3 +150,12 @@ def test_columns_drawn_alone_follow_their_quantiles(spark):
     assert made.agg(F.min("a") >= 0, F.max("a") <= 10).first()[:] == (True, True)
     assert made.where("a < 1").count() / 20000 == pytest.approx(0.5, abs=0.02)
     assert made.where("a < 5.5").count() / 20000 == pytest.approx(0.75, abs=0.02)
+
+
+def test_scores_of_numbers_at_and_between_their_bounds(spark):
+    grid, bins = [0.0, 1.0, 1.0, 1.0, 7.5], 4
+    leaves = [synth.NORMAL.inv_cdf((i + 0.5) / bins) for i in range(bins)]
+    values = [-1.0, 0.0, 0.999, 1.0, 1.001, 7.5, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in df.select(synth._number_score(F.col("v"), grid, bins)).collect()]
+    assert found == [leaves[0], leaves[0], leaves[0], leaves[3], leaves[3], leaves[3], leaves[3], None]
